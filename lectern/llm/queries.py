@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, exact_dedup, secrets
-from lectern.llm.common import table
+from lectern.llm import chat_format, decontaminate, exact_dedup, language, line_dedup, mixing, quality, secrets
+from lectern.llm.common import fold, table
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_on(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,18 +28,44 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.without_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.EQUAL).select("doc_id", "source", "replica", "shuffle_key")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train_on(docs))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.chat_digests(chat_format.format_chat(rows))
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_source_mix": op7_source_mix,
+    "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op7_source_mix": mixing.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
 }
