@@ -72,3 +72,71 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         last = min(n, max(last, first + 1))
         yield first, last
         first = last
+
+
+def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 2000) -> DataFrame:
+    """Inner join of ``rows`` with their groups, where one group may hold most of the rows. Groups of over
+    1/share of the rows number ``share`` at most, so they are broadcast and their rows stay where they
+    are; the other rows meet their groups in a shuffle that no key can burden."""
+    limit = max(1, rows.count() // share)
+    hot = F.broadcast(groups.where(F.col(size) > limit))
+    light = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= limit), keys)
+    return rows.join(hot, keys).unionByName(light)
+
+
+#: Ids that are broadcast at most, about 64 MB of hash table; beyond, rows are shuffled to them.
+BROADCAST_IDS = 500_000
+
+
+def restricted(df: DataFrame, ids: DataFrame, on: Column, how: str) -> DataFrame:
+    """Semi or anti join of ``df`` with stored, distinct ids: broadcast only while they are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+# Hashing of byte strings in arrays -----------------------------------------------------------------
+
+_U = np.uint64
+BASE = _U(0x9E3779B97F4A7C15)
+BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    with np.errstate(over="ignore"):
+        x = x + _U(salt * 2 + 1) * BASE
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        return x ^ (x >> _U(31))
+
+
+#: A random number for each byte, so that the polynomials have no structure that text could meet.
+BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64), 77)
+
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2^64, as many as have been asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64), dtype=np.uint64)]) for b in (BASE, BASE_INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Polynomial prefix hashes modulo 2^64: entry i covers the first i bytes."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data] * POWERS.to(len(data))[0], out=out[1:], dtype=np.uint64)
+    return out
+
+
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from start to end, equal for equal bytes wherever they are."""
+    down = POWERS.to(len(prefix))[1]
+    return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))

@@ -7,10 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import scratch_dir, stored
-
-#: At most this many digests are broadcast: those that hold over 1/HOT_SHARE of the rows.
-HOT_SHARE = 2000
+from lectern.llm.common import by_group, scratch_dir, stored
 
 
 def normalised(text: Column) -> Column:
@@ -55,12 +52,7 @@ class DigestIndex:
         fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
         known = groups.join(self.seen().hint("merge"), "digest").select("digest", "keep_id", "group_size")
-        # Digests of very many rows number HOT_SHARE at most, so they can be broadcast; no task gets such a group.
-        limit = max(1, rows.count() // HOT_SHARE)
-        hot = F.broadcast(known.where(F.col("group_size") > limit))
-        heavy = rows.join(hot, "digest")
-        light = rows.join(hot, "digest", "left_anti").join(known.where(F.col("group_size") <= limit), "digest")
-        return heavy.unionByName(light).select(
+        return by_group(rows, known, ["digest"], "group_size").select(
             "doc_id",
             "keep_id",
             "group_size",
