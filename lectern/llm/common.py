@@ -36,7 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     table outlives the executors that wrote it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Nothing reads this job's shuffle files after it: they go at once, so steps don't add up on disk.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
