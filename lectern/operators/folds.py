@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +86,15 @@ def leader_clusters(images: DataFrame, file: str, pos: str, name: str, signature
     item = F.struct(F.col(pos).cast("bigint").alias("pos"), F.col(name).cast("string").alias("name"), F.col(signature).cast("bigint").alias("sig"))
     rows = images.groupBy(file).agg(F.array_sort(F.collect_list(item)).alias("__rows"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, items in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                out, leader = [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for n, items in enumerate(batch.column(1).to_pylist()):
+                leader = None
                 for x in items:
                     grp = candidate = sim = None
                     if x["name"] is not None and x["sig"] is not None:
-                        mine = (x["name"], int(x["sig"]) & (1 << 64) - 1)
+                        mine = (x["name"], x["sig"] & (1 << 64) - 1)
                         if leader is None:
                             leader = mine
                         else:
@@ -102,8 +103,11 @@ def leader_clusters(images: DataFrame, file: str, pos: str, name: str, signature
                                 grp = leader[0]
                             else:
                                 candidate, leader = leader[0], mine
-                    out.append((key, x["pos"], x["name"], grp, candidate, sim))
-                yield pd.DataFrame(out, columns=["k", "p", "n", "g", "c", "s"]).astype({"s": "float64"})
+                    keys.append(n)
+                    out.append((x["pos"], x["name"], grp, candidate, sim))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
+            yield pa.record_batch([batch.column(0).take(pa.array(keys, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[file, "pos", "name", "grp", "candidate", "similarity"])
 
     kind = dict(images.dtypes)[file]
-    return rows.mapInPandas(run, f"`{file}` {kind}, pos bigint, name string, grp string, candidate string, similarity double")
+    return rows.mapInArrow(run, f"`{file}` {kind}, pos bigint, name string, grp string, candidate string, similarity double")
