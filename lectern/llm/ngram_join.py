@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, name:
     sets = stored(_sets(restricted(docs, ids, F.col("doc") == F.col("__need"), "left_semi"), n), f"{name}-sets")
     held = todo.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("bs")), "b").join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("as_")), "a")
     common = F.size(F.array_intersect("as_", "bs"))
-    return stored(held.where(DEN * common >= NUM * (F.size("as_") + F.size("bs") - common)).select("a", "b").distinct(), f"{name}-links")
+    return stored(held.where(DEN * common >= NUM * (F.size("as_") + F.size("bs") - common)).select("a", "b"), f"{name}-links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
