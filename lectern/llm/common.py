@@ -139,11 +139,20 @@ POWERS = Powers()
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Polynomial prefix hashes modulo 2^64: entry i covers the first i bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * POWERS.to(len(data))[0], out=out[1:], dtype=np.uint64)
+    np.cumsum(np.take(BYTE_CODES, data) * POWERS.to(len(data))[0], out=out[1:], dtype=np.uint64)
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the bytes from start to end, equal for equal bytes wherever they are."""
     down = POWERS.to(len(prefix))[1]
-    return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    return mixed((np.take(prefix, end) - np.take(prefix, start)) * np.take(down, start) + (end - start).astype(np.uint64) * _LENGTH)
+
+
+_LENGTH = _U(0xD6E8FEB86659FD93)
+
+
+def gram_hashes(prefix: np.ndarray, n: int) -> np.ndarray:
+    """``span_hashes`` of the n bytes from every position."""
+    down = POWERS.to(len(prefix))[1]
+    return mixed((prefix[n:] - prefix[:-n]) * down[: len(prefix) - n] + _U(n * int(_LENGTH) % (1 << 64)))

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mixed, prefix_hashes, slices, span_hashes, stored, text_buffer
+from lectern.llm.common import gram_hashes, mixed, prefix_hashes, slices, span_hashes, stored, text_buffer
 from lectern.llm.suffix_sort import Suffixes
 
 LENGTH = 50
@@ -32,41 +33,61 @@ GROUP_ROWS = 50_000
 SORT_ROWS = 60_000
 
 
+_PLACE = np.uint64((1 << 26) - 1)
+#: Longer slices, of a single long text, are cut in pieces of so many windows.
+PIECE = 1 << 23
+
+
+def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``regions`` of a long slice. A region that a cut divides is compared by its windows."""
+    parts = []
+    for at in range(0, len(data) - LENGTH + 1, PIECE):
+        end = min(len(data), at + PIECE + LENGTH - 1)
+        inner = np.clip(bounds, at, end) - at
+        text, first, windows, anchor, gram, whole = regions(data[at:end], inner)
+        parts.append((text, first + at, windows, anchor + at, gram, whole))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
 def regions(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """All regions of some texts that lie one after the other in ``data``: text, first window, windows,
     anchor, and the hashes of the anchor's gram and of the region."""
     n = len(data)
     if n < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    if n > PIECE + LENGTH:
+        return _pieces(data, bounds)
     prefix = prefix_hashes(data)
-    at = np.arange(n - GRAM + 1)
-    gram = span_hashes(prefix, at, at + GRAM)
-    # The least gram of REACH neighbours, the leftmost of equal ones: windows double until they reach far enough.
-    least, where, width = gram, at.astype(np.int32), 1
+    gram = gram_hashes(prefix, GRAM)
+    # The least gram of REACH neighbours by the upper bits of its hash, the leftmost of equal ones: the lower
+    # bits hold its place. Windows double until they reach far enough.
+    least, width = gram & ~_PLACE | np.arange(n - GRAM + 1, dtype=np.uint64), 1
     while width < REACH:
         step = min(width, REACH - width)
-        right = least[step:] < least[:-step]
-        where = np.where(right, where[step:], where[:-step])
         least = np.minimum(least[step:], least[:-step])
         width += step
-    texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(where)]
-    fits = np.arange(len(where)) + LENGTH <= bounds[texts + 1]
+    where = (least & _PLACE).astype(np.int64)
+    # Windows that reach beyond their text don't count; as each text has some at its end, no run of equal anchors crosses texts.
+    fits = np.ones(len(where), bool)
+    for end in bounds[1:]:
+        fits[max(0, end - LENGTH + 1) : end] = False
     change = np.ones(len(where), bool)
-    change[1:] = (where[1:] != where[:-1]) | (texts[1:] != texts[:-1]) | (fits[1:] != fits[:-1])
+    change[1:] = (where[1:] != where[:-1]) | (fits[1:] != fits[:-1])
     first = np.nonzero(change)[0]
     last = np.append(first[1:], len(where)) - 1
     ok = fits[first]
     first, last = first[ok], last[ok]
-    anchor = where[first].astype(np.int64)
+    text = np.searchsorted(bounds, first, "right") - 1
+    anchor = where[first]
     shape = mixed(((anchor - first) * 64 + (last - first)).astype(np.uint64), 5)
     whole = mixed(span_hashes(prefix, first, last + LENGTH) ^ shape, 6)
-    return texts[first], first, last - first + 1, anchor, gram[anchor], whole
+    return text, first, last - first + 1, anchor, gram[anchor], whole
 
 
 def cut_regions(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
     """Slices of texts: number of the first text, the bytes, their bounds, the regions."""
     data, offsets = text_buffer(texts)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 1 << 18):
         part = data[offsets[a] : offsets[b]]
         bounds = offsets[a : b + 1] - offsets[a]
         yield a, part, bounds, regions(part, bounds)
@@ -257,39 +278,57 @@ def repeated_windows(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
 
+_NONE = np.zeros(0, np.int64)
+
+
+def _runs(texts: pa.Array, wholes: list[list[int]], masks: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the removed runs of each text, from its regions' masks."""
+    for a, _, bounds, (text, first, windows, _, _, whole) in cut_regions(texts):
+        edges = np.searchsorted(text, np.arange(len(bounds)))
+        for t in range(len(bounds) - 1):
+            known = np.array(wholes[a + t], np.int64)
+            by = np.argsort(known)
+            known, bits = known[by], np.array(masks[a + t], np.int64)[by].view(np.uint64)
+            own = slice(edges[t], edges[t + 1])
+            w = whole[own].view(np.int64)
+            slot = np.minimum(np.searchsorted(known, w), len(known) - 1)
+            hit = np.nonzero(known[slot] == w)[0]
+            bits, begin, count = bits[slot[hit]], first[own][hit] - bounds[t], windows[own][hit]
+            all_of = bits == _FULL
+            change = np.zeros(bounds[t + 1] - bounds[t] + 1, np.int64)
+            np.add.at(change, begin[all_of], 1)
+            np.add.at(change, begin[all_of] + count[all_of] + LENGTH - 1, -1)
+            for j in range(REACH):
+                p = begin[~all_of & (count > j) & (bits >> np.uint64(j) & np.uint64(1) == 1)] + j
+                np.add.at(change, p, 1)
+                np.add.at(change, p + LENGTH, -1)
+            gone = np.zeros(len(change) + 1, np.int8)
+            gone[1:-1] = np.cumsum(change[:-1]) > 0
+            step = np.diff(gone)
+            yield np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
+
+
+#: The mask of a region that is covered altogether.
+_FULL = np.uint64((1 << 64) - 1)
+
+
 def _cut(docs: DataFrame) -> DataFrame:
-    """The removed runs of each text, from its windows' masks."""
+    """What is left of each text without its covered windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            wholes, masks = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            masked = batch.filter(pc.greater(pc.list_value_length(batch.column(2)), 0))
+            cuts = _runs(masked.column(1), masked.column(2).to_pylist(), masked.column(3).to_pylist())
+            data, offsets = text_buffer(batch.column(1))
             out: list[tuple] = []
-            for a, data, bounds, (text, first, windows, _, _, whole) in cut_regions(batch.column(1)):
-                for t in range(len(bounds) - 1):
-                    b0, b1 = int(bounds[t]), int(bounds[t + 1])
-                    raw = data[b0:b1]
-                    starts = ends = np.zeros(0, np.int64)
-                    if wholes[a + t]:
-                        known = np.array(wholes[a + t], np.int64)
-                        by = np.argsort(known)
-                        known, bits = known[by], np.array(masks[a + t], np.int64)[by].view(np.uint64)
-                        lo, hi = np.searchsorted(text, [t, t + 1])
-                        w = whole[lo:hi].view(np.int64)
-                        slot = np.minimum(np.searchsorted(known, w), len(known) - 1)
-                        hit = np.nonzero(known[slot] == w)[0]
-                        change = np.zeros(len(raw) + 1, np.int64)
-                        for j in range(REACH):
-                            on = hit[(windows[lo + hit] > j) & ((bits[slot[hit]] >> np.uint64(j)) & np.uint64(1) == 1)]
-                            p = first[lo + on] - b0 + j
-                            np.add.at(change, p, 1)
-                            np.add.at(change, p + LENGTH, -1)
-                        gone = np.zeros(len(raw) + 2, np.int8)
-                        gone[1:-1] = np.cumsum(change[:-1]) > 0
-                        step = np.diff(gone)
-                        starts, ends = np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
-                        raw = raw[gone[1:-1] == 0]
-                    out.append((b1 - b0, int((ends - starts).sum()), len(starts), hashlib.sha256(raw.tobytes()).hexdigest(), starts, ends))
+            for k, n in enumerate(pc.list_value_length(batch.column(2)).to_pylist()):
+                raw = data[offsets[k] : offsets[k + 1]]
+                starts, ends = next(cuts) if n else (_NONE, _NONE)
+                kept = hashlib.sha256()
+                for a, b in zip([0, *ends], [*starts, len(raw)], strict=True):
+                    kept.update(raw[a:b])
+                out.append((len(raw), int((ends - starts).sum()), len(starts), kept.hexdigest(), starts, ends))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([ids, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
