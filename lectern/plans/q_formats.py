@@ -1,2 +1,66 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries over small inline files: codecs and exports, which SQL cannot express."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import folds
+from lectern.plans.tables import timed_events
+from lectern.sources import blocks, captions, markdown
+
+_VTT = "WEBVTT\n\nNOTE a note\n\nSTYLE\n::cue { color: red }\n\n1\n00:01.000 --> 00:02.500 align:start\nこれは<ruby>音<rt>おと</rt></ruby>です\n<i>two</i>\n\n00:00:03.000 --> 00:00:04.000\n<b>open\n"
+_TTML = '<tt xmlns="http://www.w3.org/ns/ttml" xmlns:tts="http://www.w3.org/ns/ttml#styling"><head><styling><style xml:id="r" tts:ruby="container"/><style xml:id="t" tts:ruby="text"/></styling></head><body><div><p begin="00:00:01.5" end="2500ms">A<br/>B</p><p begin="3s" end="0.1m">x<span style="r">音<span style="t">おと</span></span></p></div></body></tt>'
+
+
+def vtt_parse(spark, d):
+    return captions.cues_of(spark.createDataFrame([("a.vtt", _VTT)], "file string, content string"))
+
+
+def ttml_parse(spark, d):
+    return captions.cues_of(spark.createDataFrame([("a.ttml", _TTML)], "file string, content string"))
+
+
+def caption_export(spark, d):
+    """SubRip files of all events, one for each user, and how many cues they hold when read again."""
+    e = timed_events(spark, d)
+    files = captions.caption_files(e.where("start_us < end_us").withColumn("file", F.concat(F.col("file").cast("string"), F.lit(".srt"))), "file", "srt", "event_type", "start_us", "end_us")
+    return captions.cues_of(files).groupBy("file").agg(F.count("*").alias("n_cues"), F.min("markdown").alias("first_text"))
+
+
+def yaml_roundtrip(spark, d):
+    """Events as YAML blocks, written and parsed again: how many documents a user's file has."""
+    e = timed_events(spark, d).where("pos % 10 = 0")
+    block = F.struct(F.col("pos").cast("string").alias("id"), F.struct(F.struct(F.lit("00:00:01.000").alias("start"), F.lit("00:00:02.000").alias("end")).alias("timecodes"), F.col("event_type").alias("note")).alias("source"), F.array(F.struct(F.col("text"))).alias("chunks"))
+    files = blocks.yaml_files(e.select(F.col("file").cast("string").alias("file"), "pos", block.alias("block")))
+    return files.select("file", F.size(F.split("content", "(?m)^---\n")).cast("long").alias("n_docs"), F.md5("content").alias("md5"))
+
+
+def markdown_export(spark, d):
+    e = timed_events(spark, d).where("pos % 10 = 0")
+    refs = F.create_map(F.lit("en"), F.when(F.col("event_type") != "click", F.concat(F.lit("ref "), F.col("event_type"))))
+    rows = e.select(
+        F.col("file").cast("string").alias("file"), "pos", F.when(F.col("event_type") == "error", F.lit("note")).alias("note"), F.lit(None).cast("string").alias("resource"), F.col("start_us"), F.lit(None).cast("long").alias("ref_start_us"),
+        F.when(F.col("event_type") == "view", F.lit("a b.jpg")).alias("image"), F.lit(None).cast("string").alias("image_group"), F.when(F.col("event_type") == "purchase", F.lit("s.mp3")).alias("audio"), F.array(F.struct("text", refs.alias("references"))).alias("chunks"),
+    )
+    files = markdown.markdown_files(rows, markdown.Style(references="footnotes"))
+    return files.select("file", F.length("content").alias("n_chars"), F.md5("content").alias("md5"))
+
+
+def low_confidence_fold(spark, d):
+    rows = [("ab cd", [("ab", 0.1), ("cd", 0.9)]), ("ab cd", [("ab", 0.1), ("cd", 0.2)]), ("ab cd", [("ab", 0.9), ("cd", 0.1)]), ("x", []), ("ab cd tail", [("ab", 0.1), ("cd", 0.9)])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<text:string,confidence:double>>")
+    return df.select("text", folds.confident_text("text", "spans", 0.5).alias("cleaned"))
+
+
+def japanese_filter(spark, d):
+    rows = [(t,) for t in ("", "かな", "漢字", "latin", "口入人", "ロ", "桃[もも]を", None)]
+    df = spark.createDataFrame(rows, "text string")
+    return df.select("text", T.is_japanese_text("text").alias("kept"), T.ruby("text").alias("ruby"))
+
+
+QUERIES = {f.__name__: f for f in (vtt_parse, ttml_parse, caption_export, yaml_roundtrip, markdown_export, low_confidence_fold, japanese_filter)}
+ORACLE = {
+    "caption_export": """SELECT user_id || '.srt' AS file, count(*) AS n_cues, min(event_type) AS first_text FROM events WHERE round(value * 600) >= 1 GROUP BY user_id""",
+    "low_confidence_fold": "SELECT * FROM (VALUES ('ab cd', 'cd'), ('ab cd', NULL), ('ab cd', 'ab cd'), ('x', 'x'), ('ab cd tail', 'cd')) t(text, cleaned)",
+}
