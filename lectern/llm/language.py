@@ -18,6 +18,8 @@ BUCKETS = 1 << BUCKET_BITS
 GRAMS = (2, 3, 4)
 #: At most this many labelled documents train a model, those of the smallest hashes.
 MAX_TRAIN = 2_000
+#: Steps of descent at least; few samples are gone through more often.
+MIN_STEPS = 6_000
 UNKNOWN = "und"
 
 # Bytes that end a word: all of ASCII but the letters.
@@ -86,6 +88,7 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoc
     wts, bias = np.zeros((dim, len(langs))), np.zeros(len(langs))
     if len(langs) < 2:
         return Model(langs, emb, wts, bias)
+    epochs = max(epochs, -(-MIN_STEPS // max(1, len(samples) * 3 // 4)))
     held = [s for k, s in enumerate(samples) if k % 4 == 3]
     kept = [s for k, s in enumerate(samples) if k % 4 != 3] or samples
     steps, done = epochs * len(kept), 0
