@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import maps
 from lectern.functions import text as T
-from lectern.operators import graph, lookup, resolve, sequence, stats, upsert
+from lectern.operators import graph, lookup, reshape, resolve, sequence, stats, upsert
 from lectern.plans.tables import read
 
 
@@ -171,17 +171,45 @@ def affixes(spark, d):
     return stats.common_affixes(read(spark, d, "part"), "p_brand", "p_type").join(stats.common_affixes(read(spark, d, "customer"), "c_mktsegment", "c_name").select(F.col("c_mktsegment").alias("p_brand"), F.col("prefix").alias("q")), "p_brand", "full").select("p_brand", "prefix", "suffix", "q")
 
 
+def tag_shelf(spark, d):
+    p = read(spark, d, "part")
+    tags = F.concat(F.split("p_name", " "), F.array(F.lower("p_type"), F.concat(F.lit("collection-"), F.col("p_brand"))))
+    path = reshape.shelf(tags, ["economy", "promo"], {"economy": "economies"}, ["red", "blue", "small"])
+    return p.select("p_partkey", path.alias("shelf"), reshape.address(F.when(F.col("p_size") % 3 == 0, F.lit("notfound")).otherwise(F.col("p_brand")), "http://x/").alias("url"))
+
+
+def unified_records(spark, d):
+    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
+    parts = [
+        (c, {"kind": F.lit("customer"), "id": F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")), "name": F.col("c_name")}),
+        (s, {"kind": F.lit("supplier"), "id": F.col("s_suppkey"), "name": F.col("s_name")}),
+    ]
+    return reshape.unified(parts, "id")
+
+
+def cache_update(spark, d):
+    o = read(spark, d, "orders")
+    cache = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("n"))
+    new = o.where("o_orderstatus = 'O' and o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("path")).agg((-F.count("*")).alias("n"))
+    return reshape.update_cache(cache, new)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         null_safe_media_join, existence_flags, upsert_full_outer, stale_members_anti, semi_pushdown_enrich, or_condition_join, rating_lookup_default, fallback_lookup, positional_zip, id_agreement,
         title_normalize, fuzzy_title_ranked, merge_duplicates, map_scope_merge, episode_season_counts, slug_suffix, natural_sort_rank, decision_table, hierarchy_bfs, workflow_edges, first_and_top,
-        newer_rows, multimap_build, affixes,
+        newer_rows, multimap_build, affixes, tag_shelf, unified_records, cache_update,
     )
 }
 
 _LETTERS = r"[^\p{L}\p{Nd}]+"
 ORACLE = {
+    "tag_shelf": """WITH x AS (SELECT p_partkey, p_brand, p_size, CASE p_type WHEN 'ECONOMY' THEN 'economies' WHEN 'PROMO' THEN 'promos' END AS kind, list_min(list_filter(string_split(p_name, ' '), lambda t: t IN ('red', 'blue', 'small'))) AS st FROM part)
+        SELECT p_partkey, CASE WHEN kind IS NOT NULL THEN concat_ws('/', kind, p_brand, st) END AS shelf, CASE WHEN p_size % 3 <> 0 THEN 'http://x/' || p_brand END AS url FROM x""",
+    "unified_records": """SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""",
+    "cache_update": """WITH n AS (SELECT o_custkey AS path, -count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 2 = 0 GROUP BY 1)
+        SELECT * FROM n UNION ALL SELECT o_custkey, count(*) FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT path FROM n) GROUP BY 1""",
     "null_safe_media_join": """WITH m AS (SELECT l_orderkey % 100 AS ordinal, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS ref, count(*) AS n_items, max(l_quantity) AS top_quantity FROM lineitem GROUP BY ALL),
         o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS ref, o_orderkey % 100 AS ordinal FROM orders)
         SELECT o.o_orderkey, o.ref, o.ordinal, n_items, top_quantity FROM o LEFT JOIN m ON o.ordinal = m.ordinal AND o.ref IS NOT DISTINCT FROM m.ref""",

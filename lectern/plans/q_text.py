@@ -102,7 +102,7 @@ def _queries(spark, d, n):
 def phrase_search(spark, d):
     index = search.build(read(spark, d, "documents"), "doc_id", "text")
     out = search.search(index, _queries(spark, d, 6), "item_id", "q", 10)
-    return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "phrase", F.round("score", 4).alias("score"))
+    return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "phrase", "score")
 
 
 def search_link_top1(spark, d):
@@ -170,7 +170,7 @@ ORACLE = {
         SELECT label, vec_id, grp::VARCHAR AS grp, candidate::VARCHAR AS candidate, round(sim, 6) AS similarity FROM f""",
     "hash_similarity_topk": f"""WITH {_SIG}, p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, {_SIM.format("x.b", "y.b")} AS s FROM sig x JOIN sig y ON x.label = y.label AND x.vec_id <> y.vec_id)
         SELECT label, a, b, round(s, 6) AS similarity, row_number() OVER (PARTITION BY label, a ORDER BY s DESC, b) AS rank FROM p WHERE s >= 0.75 QUALIFY rank <= 3""",
-    "phrase_search": _scores(6) + " SELECT item_id, doc_id, phrase, round(score, 4) AS score FROM rk WHERE rank <= 10",
+    "phrase_search": _scores(6) + " SELECT item_id, doc_id, phrase, score FROM rk WHERE rank <= 10",
     "search_link_top1": _scores(12) + " SELECT b.item_id, rk.doc_id AS linked_doc, lang AS linked_lang FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id AND rank = 1 LEFT JOIN documents d ON d.doc_id = rk.doc_id",
     "ordered_subjects": """SELECT l_orderkey, count(s_name) AS n, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS names FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey * 2 GROUP BY 1""",
 }
