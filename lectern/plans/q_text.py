@@ -100,13 +100,13 @@ def _queries(spark, d, n):
 
 
 def phrase_search(spark, d):
-    index = search.build(read(spark, d, "documents"), "doc_id", "text")
+    index = search.build(read(spark, d, "documents"), "doc_id", "text").written()
     out = search.search(index, _queries(spark, d, 6), "item_id", "q", 10)
     return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "phrase", "score")
 
 
 def search_link_top1(spark, d):
-    index = search.build(read(spark, d, "documents"), "doc_id", "text", ["lang"])
+    index = search.build(read(spark, d, "documents"), "doc_id", "text", ["lang"]).written()
     return search.link(index, _queries(spark, d, 12), "item_id", "q", ["lang"]).select("item_id", "linked_doc", "linked_lang")
 
 
@@ -137,7 +137,7 @@ def _scores(n: int) -> str:
       q AS (SELECT item_id, list_slice({_WORDS}, 1, {n}) AS w FROM benchmark), qt AS (SELECT item_id, len(w) AS q_len, unnest(w) AS term, generate_subscripts(w, 1) AS qpos FROM q),
       ph AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, doc_id, pos - qpos AS pos0, q_len, count(DISTINCT qpos) AS n FROM p JOIN qt USING (term) GROUP BY ALL) WHERE n = q_len),
       tf AS (SELECT term, doc_id, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-      sc AS (SELECT item_id, doc_id, round(sum(sqrt(tf) * (1 + ln((SELECT count(*) FROM dt)::DOUBLE / (df + 1))) * (1 + ln((SELECT count(*) FROM dt)::DOUBLE / (df + 1))) / sqrt(len(w))) * count(*) / any_value(qn), 6) AS score
+      sc AS (SELECT item_id, doc_id, round(sum(sqrt(tf) * (1 + ln((SELECT count(*) FROM dt)::DOUBLE / (df + 1))) * (1 + ln((SELECT count(*) FROM dt)::DOUBLE / (df + 1))) ) / sqrt(any_value(len(w))) * count(*) / any_value(qn), 6) AS score
              FROM (SELECT DISTINCT item_id, term FROM qt) JOIN tf USING (term) JOIN df USING (term) JOIN dt USING (doc_id) JOIN (SELECT item_id, count(DISTINCT term) AS qn FROM qt GROUP BY 1) USING (item_id) GROUP BY ALL),
       hit AS (SELECT item_id, doc_id, score, true AS phrase FROM sc WHERE (item_id, doc_id) IN (SELECT item_id, doc_id FROM ph) UNION ALL SELECT item_id, doc_id, score, false FROM sc WHERE item_id NOT IN (SELECT item_id FROM ph)),
       rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit)"""
