@@ -87,13 +87,15 @@ def title_normalize(spark, d):
 
 
 def fuzzy_title_ranked(spark, d):
+    """Each part as a film, with all other parts that share its title as works. A title's works are ranked once:
+    a film's list is its title's without itself."""
     p = read(spark, d, "part")
-    films = p.where("p_partkey % 10 = 0").select("p_partkey", F.upper("p_name").alias("film_title"), "p_brand")
-    works = p.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("work"), F.concat("p_name", F.lit("!")).alias("t1"), "p_type", "p_retailprice", F.col("p_brand").alias("t2"))
-    c = resolve.title_candidates(films, works, "p_partkey", "film_title", "work", ["t1", "t2"]).join(works, "work")
+    films = p.select("p_partkey", T.title_key(F.upper("p_name")).alias("film_title"))
+    works = p.select(F.col("p_partkey").alias("work"), F.concat("p_name", F.lit("!")).alias("t1"), "p_type", "p_retailprice", F.col("p_brand").alias("t2"))
+    c = resolve.title_candidates(films.select("film_title"), works, "film_title", "film_title", "work", ["t1", "t2"]).join(works, "work")
     order = [resolve.type_rank("p_type", ["PROMO", "ECONOMY", "STANDARD"]), F.col("p_retailprice").desc(), F.col("work")]
-    r = resolve.ranked(c, "p_partkey", order, F.col("work"))
-    return r.select("p_partkey", "best", F.array_join(F.transform("ranked", lambda x: x.cast("string")), ",").alias("ranked"))
+    r = films.join(resolve.ranked(c, "film_title", order, F.col("work")), "film_title").withColumn("ranked", F.filter("ranked", lambda x: x != F.col("p_partkey")))
+    return r.where(F.size("ranked") > 0).select("p_partkey", F.col("ranked")[0].alias("best"), F.array_join(F.transform("ranked", lambda x: x.cast("string")), ",").alias("ranked"))
 
 
 def merge_duplicates(spark, d):
