@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from lectern.plans import catalogue
@@ -22,3 +23,31 @@ def test_fuzzy_title_ranked(spark, tmp_path):
             want[film] = (works[0], ",".join(map(str, works)))
     got = catalogue.QUERIES["fuzzy_title_ranked"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.p_partkey: (r.best, r.ranked) for r in got} == want
+
+
+def events(spark, folder) -> dict[int, list[tuple[int, str]]]:
+    """Writes a table of events; returns each user's (id, type)."""
+    kinds = ["click", "view", "purchase", "error"]
+    rows = [(k, k % 3, kinds[k % 4], f"1970-01-01 00:00:{k:02d}") for k in range(1, 24)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts string")
+    df.selectExpr("event_id", "user_id", "event_type", "1.0D AS value", "'{}' AS props", "CAST(ts AS timestamp_ntz) AS ts").write.parquet(f"{folder}/events.parquet")
+    return {u: [(r[0], r[2]) for r in rows if r[1] == u] for u in range(3)}
+
+
+def test_markdown_export(spark, tmp_path):
+    users = events(spark, tmp_path)
+    got = {r.file: (r.n_chars, r.md5) for r in catalogue.QUERIES["markdown_export"](spark, str(tmp_path)).collect()}
+    assert set(got) == {str(u) for u in users}
+    for user, its in users.items():
+        out, before = [f"# {user}"], None
+        for n, (k, kind) in enumerate(its, 1):
+            image = "a b.jpg" if kind == "view" else None
+            if image is None or image != before:
+                out.append("## note" if kind == "error" else f"## 00:00:{k:02d}")
+            if image and image != before:
+                out.append("![](images/a%20b.jpg)")
+            before = image
+            out += [f"{kind} {k}"] if kind == "click" else [f"{kind} {k}[^{user}-{n}]", f"[^{user}-{n}]: ref {kind}"]
+            out.append('<audio controls src="audio/s.mp3"></audio>' if kind == "purchase" else "---")
+        text = "\n\n".join(out) + "\n"
+        assert got[str(user)] == (len(text), hashlib.md5(text.encode()).hexdigest())
