@@ -29,11 +29,14 @@ def caption_export(spark, d):
 
 
 def yaml_roundtrip(spark, d):
-    """Events as YAML blocks, written and parsed again: how many documents a user's file has."""
-    e = timed_events(spark, d).where("pos % 10 = 0")
+    """All events as YAML blocks, written and parsed again: how many blocks each user's file has, and a digest of
+    the JSON of the blocks that were read, in order."""
+    e = timed_events(spark, d)
     block = F.struct(F.col("pos").cast("string").alias("id"), F.struct(F.struct(F.lit("00:00:01.000").alias("start"), F.lit("00:00:02.000").alias("end")).alias("timecodes"), F.col("event_type").alias("note")).alias("source"), F.array(F.struct(F.col("text"))).alias("chunks"))
     files = blocks.yaml_files(e.select(F.col("file").cast("string").alias("file"), "pos", block.alias("block")))
-    return files.select("file", F.size(F.split("content", "(?m)^---\n")).cast("long").alias("n_docs"), F.md5("content").alias("md5"))
+    read = blocks.parsed_yaml(files, blocks.BLOCK, "block")
+    one = read.groupBy("file").agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_list(F.struct("pos", F.to_json("block").alias("json")))).alias("b"))
+    return one.select("file", "n_docs", F.md5(F.array_join(F.transform("b", lambda x: x["json"]), "\n")).alias("md5"))
 
 
 def markdown_export(spark, d):

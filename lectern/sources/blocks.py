@@ -54,6 +54,11 @@ def read_yaml(spark: SparkSession, path: str, schema: str, glob: str = "*.yaml",
     """(file, pos, <column>): each document of each file below ``path``, not recursive, as ``schema`` reads
     it; unknown keys are in ``extra``, as JSON. A file is one task's work; files are read in any order."""
     raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return parsed_yaml(raw, schema, column)
+
+
+def parsed_yaml(files: DataFrame, schema: str, column: str = "doc") -> DataFrame:
+    """The same of rows whose first two columns are a file's name and its text."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +66,7 @@ def read_yaml(spark: SparkSession, path: str, schema: str, glob: str = "*.yaml",
                 docs = [json.dumps(d, ensure_ascii=False) for d in documents(text, file)]
                 yield pa.record_batch([pa.array([file] * len(docs), pa.string()), pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.string())], names=["file", "pos", "json"])
 
-    return raw.mapInArrow(parse, "file string, pos bigint, json string").select("file", "pos", F.from_json("json", schema).alias(column), F.col("json").alias("extra"))
+    return files.mapInArrow(parse, "file string, pos bigint, json string").select("file", "pos", F.from_json("json", schema).alias(column), F.col("json").alias("extra"))
 
 
 def read_content(spark: SparkSession, path: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from lectern.plans import catalogue
+from lectern.sources import blocks
 
 
 def test_fuzzy_title_ranked(spark, tmp_path):
@@ -51,3 +53,18 @@ def test_markdown_export(spark, tmp_path):
             out.append('<audio controls src="audio/s.mp3"></audio>' if kind == "purchase" else "---")
         text = "\n\n".join(out) + "\n"
         assert got[str(user)] == (len(text), hashlib.md5(text.encode()).hexdigest())
+
+
+def test_yaml_roundtrip(spark, tmp_path):
+    users = events(spark, tmp_path)
+    got = {r.file: (r.n_docs, r.md5) for r in catalogue.QUERIES["yaml_roundtrip"](spark, str(tmp_path)).collect()}
+    assert set(got) == {str(u) for u in users}
+    for user, its in users.items():
+        times = {"start": "00:00:01.000", "end": "00:00:02.000"}
+        text = "\n".join(json.dumps({"id": str(k), "source": {"timecodes": times, "note": kind}, "chunks": [{"text": f"{kind} {k}"}]}, separators=(",", ":")) for k, kind in its)
+        assert got[str(user)] == (len(its), hashlib.md5(text.encode()).hexdigest())
+
+
+def test_yaml_is_parsed(spark):
+    files = spark.createDataFrame([("a", "id: '1'\n---\nid: x # a note\nmore: 2\n---\n---\nid: |\n  ---\n")], "file string, content string")
+    assert [tuple(r) for r in blocks.parsed_yaml(files, "id string").selectExpr("file", "pos", "doc.id").orderBy("pos").collect()] == [("a", 0, "1"), ("a", 1, "x"), ("a", 2, "---\n")]
