@@ -82,7 +82,7 @@ def id_agreement(spark, d):
 
 def title_normalize(spark, d):
     p = read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.concat(F.lit("  The "), F.initcap("p_name"), F.lit(": "), F.col("p_brand"), F.lit("!")).alias("raw"))
-    t = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.substring("text", 1, 60).alias("raw"))
+    t = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("raw"))
     return p.unionByName(t).select("key", T.title_key("raw").alias("title"), T.slug("raw", "key").alias("slug"))
 
 

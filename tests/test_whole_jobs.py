@@ -68,3 +68,16 @@ def test_yaml_roundtrip(spark, tmp_path):
 def test_yaml_is_parsed(spark):
     files = spark.createDataFrame([("a", "id: '1'\n---\nid: x # a note\nmore: 2\n---\n---\nid: |\n  ---\n")], "file string, content string")
     assert [tuple(r) for r in blocks.parsed_yaml(files, "id string").selectExpr("file", "pos", "doc.id").orderBy("pos").collect()] == [("a", 0, "1"), ("a", 1, "x"), ("a", 2, "---\n")]
+
+
+def test_title_normalize(spark, tmp_path):
+    long = "Once -- upon a time, " * 10
+    texts = {1: long + "THE End!", 2: long + "no end", 3: "...", 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "red fox", "Brand#1")], "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.key: (r.title, r.slug) for r in catalogue.QUERIES["title_normalize"](spark, str(tmp_path)).collect()}
+    title = "once upon a time " * 10
+    assert got == {
+        "p1": ("the red fox brand 1", "the-red-fox-brand-1"), "d1": (title + "the end", (title + "the end").replace(" ", "-")), "d2": (title + "no end", (title + "no end").replace(" ", "-")),
+        "d3": ("", "d3"), "d4": (None, "d4"), "d5": (None, "d5"),
+    }
