@@ -60,7 +60,7 @@ def nav_prev_next(spark, d):
 
 
 def subtitle_clean(spark, d):
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("{\\an8}"), F.substring("text", 1, 30), F.lit("{x}")).alias("text"), F.col("turn").alias("start_us"), (F.col("turn") * 7 % 5).alias("end_us"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("{\\an8}"), F.col("text"), F.lit("{x}")).alias("text"), F.col("turn").alias("start_us"), (F.col("turn") * 7 % 5).alias("end_us"))
     c = sequence.ordinals(c, ["conv_id"], ["turn"])
     return filters.cleaned_cues(c).select("conv_id", F.col("ordinal").cast("long").alias("ordinal"), T.hard_breaks("text").alias("text"))
 
@@ -68,7 +68,7 @@ def subtitle_clean(spark, d):
 def script_filter(spark, d):
     x = read(spark, d, "documents")
     upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]", ""))
-    return x.select("doc_id", upper.cast("long").alias("n_upper"), T.kana_count("text").cast("long").alias("n_kana"), T.has_japanese("text").alias("japanese"), T.is_japanese_text(F.concat(F.lit("かな"), F.substring("text", 1, 5))).alias("kept"))
+    return x.select("doc_id", upper.cast("long").alias("n_upper"), T.kana_count("text").cast("long").alias("n_kana"), T.has_japanese("text").alias("japanese"), T.is_japanese_text("text").alias("kept"))
 
 
 def ruby_markup(spark, d):

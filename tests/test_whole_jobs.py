@@ -81,3 +81,21 @@ def test_title_normalize(spark, tmp_path):
         "p1": ("the red fox brand 1", "the-red-fox-brand-1"), "d1": (title + "the end", (title + "the end").replace(" ", "-")), "d2": (title + "no end", (title + "no end").replace(" ", "-")),
         "d3": ("", "d3"), "d4": (None, "d4"), "d5": (None, "d5"),
     }
+
+
+def test_script_filter(spark, tmp_path):
+    long = "plain Latin text, " * 10
+    texts = {1: long, 2: long + "かな", 3: long + "桃", 4: long + "口入人", 5: "ロ", 6: "ロか", 7: "", 8: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_upper, r.n_kana, r.japanese, r.kept) for r in catalogue.QUERIES["script_filter"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: (10, 0, False, False), 2: (10, 2, True, True), 3: (10, 0, True, True), 4: (10, 0, True, False), 5: (0, 1, True, False), 6: (0, 2, True, True), 7: (0, 0, False, False), 8: (None, 0, False, False),
+    }
+
+
+def test_subtitle_clean(spark, tmp_path):
+    long = "some words of a turn " * 5
+    texts = [(1, 0, long + "{\\i1}and more{\\i0}\nthe end"), (1, 1, long + "{open"), (1, 2, "{all}"), (1, 3, "not kept: it ends before it starts")]
+    spark.createDataFrame(texts, "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.ordinal: r.text for r in catalogue.QUERIES["subtitle_clean"](spark, str(tmp_path)).collect()}
+    assert got == {1: long + "and more  \nthe end", 2: long.strip()}
