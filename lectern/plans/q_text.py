@@ -94,20 +94,19 @@ def hash_similarity_topk(spark, d):
     return signatures.top_similar(signatures.similar_pairs(e, "label", "vec_id", "sig", 0.75), "label").select("label", "a", "b", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-def _queries(spark, d, n):
-    b = read(spark, d, "benchmark")
-    return b.select("item_id", F.array_join(F.slice(stats.words("text"), 1, n), " ").alias("q"))
+def _queries(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
 
 
 def phrase_search(spark, d):
     index = search.build(read(spark, d, "documents"), "doc_id", "text").written()
-    out = search.search(index, _queries(spark, d, 6), "item_id", "q", 10)
+    out = search.search(index, _queries(spark, d), "item_id", "q", 10)
     return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "phrase", "score")
 
 
 def search_link_top1(spark, d):
     index = search.build(read(spark, d, "documents"), "doc_id", "text", ["lang"]).written()
-    return search.link(index, _queries(spark, d, 12), "item_id", "q", ["lang"]).select("item_id", "linked_doc", "linked_lang")
+    return search.link(index, _queries(spark, d), "item_id", "q", ["lang"]).select("item_id", "linked_doc", "linked_lang")
 
 
 def ordered_subjects(spark, d):

@@ -99,3 +99,22 @@ def test_subtitle_clean(spark, tmp_path):
     spark.createDataFrame(texts, "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.ordinal: r.text for r in catalogue.QUERIES["subtitle_clean"](spark, str(tmp_path)).collect()}
     assert got == {1: long + "and more  \nthe end", 2: long.strip()}
+
+
+def search_tables(spark, folder) -> None:
+    item = " ".join(f"w{k}" for k in range(20))
+    texts = {1: item, 2: "so " + " ".join(item.split()[:15]) + " ends", 3: "other w18 w19", 4: "nothing", 5: "tail x17 x18 x19", 6: ""}
+    spark.createDataFrame([(k, t, f"l{k}") for k, t in texts.items()], "doc_id bigint, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    items = [(7, item), (8, " ".join(f"x{k}" for k in range(20)))]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_phrase_search(spark, tmp_path):
+    search_tables(spark, tmp_path)
+    # Document 2 has only the phrase's opening, 5 only words of the other item's end.
+    assert {(r.item_id, r.doc_id, r.phrase) for r in catalogue.QUERIES["phrase_search"](spark, str(tmp_path)).collect()} == {(7, 1, True), (8, 5, False)}
+
+
+def test_search_link_top1(spark, tmp_path):
+    search_tables(spark, tmp_path)
+    assert {tuple(r) for r in catalogue.QUERIES["search_link_top1"](spark, str(tmp_path)).collect()} == {(7, 1, "l1"), (8, 5, "l5")}
