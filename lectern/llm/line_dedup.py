@@ -6,7 +6,7 @@ estimate is near the threshold get an exact count of sites before anything is re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import stored
@@ -18,12 +18,19 @@ LG_K = 8
 BAND = 0.3
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    return F.when(F.col(id_col).cast("long").isNull(), F.md5(F.col(text_col))).otherwise("")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """(line, site, doc): the hash of each trimmed line that is long enough."""
+    """(line, site, doc, row): the hash of each trimmed line that is long enough. ``row`` tells texts of rows
+    without an id apart and is empty for the others."""
     hashes = F.transform(
         F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= min_chars), lambda x: F.xxhash64(x)
     )
-    return docs.select(F.explode(hashes).alias("line"), F.xxhash64(F.col(site_col)).alias("site"), F.col(id_col).cast("long").alias("doc"), F.col(site_col).isNotNull().alias("known"))
+    # The row's key is made before the lines are exploded, so that no line carries its whole text along.
+    keyed = docs.withColumn("__row", _row(id_col, text_col))
+    return keyed.select(F.explode(hashes).alias("line"), F.xxhash64(F.col(site_col)).alias("site"), F.col(id_col).cast("long").alias("doc"), F.col("__row").alias("row"), F.col(site_col).isNotNull().alias("known"))
 
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -54,17 +61,19 @@ def without_boilerplate(
 
     Lines end at \\n and are compared without spaces, tabs and \\r at their ends; shorter ones than
     ``min_chars`` are never removed. Null texts stay null, with 0 lines; empty ones have one line.
-    Null sites don't count as a site, null ids keep no first occurrence, and rows that repeat an id share its first
-    occurrences. An empty table stays empty.
+    Null sites don't count as a site, rows with a null id keep no first occurrence and so lose every such line, and
+    rows that repeat an id share its first occurrences. An empty table stays empty.
     """
     bad = stored(boilerplate(docs, id_col, text_col, site_col, min_sites, min_chars), "boilerplate")
-    hits = _lines(docs, id_col, text_col, site_col, min_chars).select("line", "doc").join(bad, "line")
-    per_doc = hits.where(F.col("doc").isNotNull()).groupBy("doc").agg(
-        F.collect_set(F.when(F.col("doc") != F.col("first_doc"), F.col("line"))).alias("__drop"),
-        F.collect_set(F.when(F.col("doc") == F.col("first_doc"), F.col("line"))).alias("__first"),
+    hits = _lines(docs, id_col, text_col, site_col, min_chars).select("line", "doc", "row").join(bad, "line")
+    is_first = F.coalesce(F.col("doc") == F.col("first_doc"), F.lit(False))
+    # Rows without an id have their text's digest as key; the others have none, so that the two never meet.
+    per_doc = hits.groupBy(F.coalesce("doc", F.lit(0)).alias("__doc"), F.col("row").alias("__row")).agg(
+        F.collect_set(F.when(~is_first, F.col("line"))).alias("__drop"),
+        F.collect_set(F.when(is_first, F.col("line"))).alias("__first"),
     )
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(per_doc.withColumnRenamed("doc", "__doc"), F.col(id_col).cast("long") == F.col("__doc"), "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(per_doc, (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col("__doc")) & (_row(id_col, text_col) == F.col("__row")), "left")
     none = F.array().cast("array<bigint>")
     lines = F.split(F.col(text_col), "\n")
     trimmed = F.transform("__lines", lambda x: F.btrim(x, F.lit(" \t\r")))

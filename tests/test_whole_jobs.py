@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import json
 import re
 
+from lectern.llm import line_dedup
 from lectern.plans import catalogue
 from lectern.sources import blocks
 
@@ -118,3 +120,15 @@ def test_phrase_search(spark, tmp_path):
 def test_search_link_top1(spark, tmp_path):
     search_tables(spark, tmp_path)
     assert {tuple(r) for r in catalogue.QUERIES["search_link_top1"](spark, str(tmp_path)).collect()} == {(7, 1, "l1"), (8, 5, "l5")}
+
+
+def test_line_dedup_null_ids(spark):
+    line, far = "Subscribe to our newsletter", "Only in rows without an id"
+    rows = [(k, f"own text {k}\n{line}", f"s{k}") for k in range(10)]
+    rows += [(None, f"no id {k}\n{line}\n{far}\n {far}", f"s{k}") for k in range(11)] + [(None, f"no id 3\n{line}\n{far}\n {far}", None), (None, None, "s1"), (None, "", "s1"), (None, "own text 0", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = line_dedup.without_boilerplate(docs).collect()
+    assert len(out) == len(rows)
+    got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out)
+    want = [(0, f"own text 0\n{line}", 2, 0)] + [(k, f"own text {k}", 2, 1) for k in range(1, 10)] + [(None, f"no id {k}", 4, 3) for k in [*range(11), 3]]
+    assert got == collections.Counter([*want, (None, None, 0, 0), (None, "", 1, 0), (None, "own text 0", 1, 0)])
