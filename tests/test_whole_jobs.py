@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import collections
 import hashlib
 import json
 import re
 
-from pyspark.sql import functions as F
-
-from lectern.llm import line_dedup, mixing
 from lectern.plans import catalogue
 from lectern.sources import blocks
 
@@ -122,37 +118,3 @@ def test_phrase_search(spark, tmp_path):
 def test_search_link_top1(spark, tmp_path):
     search_tables(spark, tmp_path)
     assert {tuple(r) for r in catalogue.QUERIES["search_link_top1"](spark, str(tmp_path)).collect()} == {(7, 1, "l1"), (8, 5, "l5")}
-
-
-def test_line_dedup_null_ids(spark):
-    line, far = "Subscribe to our newsletter", "Only in rows without an id"
-    rows = [(k, f"own text {k}\n{line}", f"s{k}") for k in range(10)]
-    rows += [(None, f"no id {k}\n{line}\n{far}\n {far}", f"s{k}") for k in range(11)] + [(None, f"no id 3\n{line}\n{far}\n {far}", None), (None, None, "s1"), (None, "", "s1"), (None, "own text 0", "s1")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    out = line_dedup.without_boilerplate(docs).collect()
-    assert len(out) == len(rows)
-    got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out)
-    want = [(0, f"own text 0\n{line}", 2, 0)] + [(k, f"own text {k}", 2, 1) for k in range(1, 10)] + [(None, f"no id {k}", 4, 3) for k in [*range(11), 3]]
-    assert got == collections.Counter([*want, (None, None, 0, 0), (None, "", 1, 0), (None, "own text 0", 1, 0)])
-
-
-def test_source_mix_large_rates(spark):
-    rows = [(1, "x", "a"), (2, "y", "a"), (3, "z" * 99_998, "b"), (4, "other", "c")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    rate = 25_000.0  # of source a: half of all 100,000 characters for 2
-
-    def run():
-        out = mixing.mix(docs, {"a": 1.0, "b": 1.0}).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("replica"), F.max("replica"), F.count_distinct("replica"), F.count_distinct("shuffle_key"))
-        return {r[0]: tuple(r[1:]) for r in out.collect()}
-
-    def draw(key, steps):
-        u = int(hashlib.md5(f"7:{key}".encode()).hexdigest()[:13], 16) / (1 << 52)
-        return sum(u >= p for p in steps)
-
-    got = run()
-    steps = mixing.poisson_steps(rate / 3)
-    for k in (1, 2):
-        n = sum(draw(key, steps) for key in (f"{k}", f"{k}:part:1", f"{k}:part:2"))
-        assert got[k] == (n, 1, n, n, n) and abs(n - rate) < 6 * rate**0.5
-    assert got.get(3, (0,))[0] == draw("3", mixing.poisson_steps(50_000 / 99_998)) and got.get(4, (0,))[0] == draw("4", mixing.poisson_steps(1.0))
-    assert run() == got
