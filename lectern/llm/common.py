@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,40 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step works on; it bounds a worker's memory.
+from lectern.operators._store import shared_folder, stored  # noqa: F401
+
+#: Bytes of text that one vectorised step works on. Longer texts are steps of their own, which work through
+#: them in pieces of this size.
 SLICE_BYTES = 1 << 20
 
 #: Whitespace of the word and normalisation rules: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        path = tempfile.mkdtemp(prefix="lectern-")
-        atexit.register(shutil.rmtree, path, True)
-        base = f"file://{path}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet below the shared folder and reads it back: lineage ends here, and the
-    table outlives the executors that wrote it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # Nothing reads this job's shuffle files after it: they go at once, so steps don't add up on disk.
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,6 +72,17 @@ def restricted(df: DataFrame, ids: DataFrame, on: Column, how: str) -> DataFrame
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+def by_top(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, top: int = 2000) -> DataFrame:
+    """Inner join of ``rows`` with stored groups of known sizes. Few groups are broadcast. Of many, the ``top``
+    largest are, and their rows stay where they are; any other has at most 1/top of all rows that join,
+    so that those can meet in a shuffle."""
+    if groups.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(groups), keys)
+    hot = F.broadcast(stored(groups.orderBy(F.col(size).desc(), *keys).limit(top), "hot-groups"))
+    light = rows.join(hot.select(*keys), keys, "left_anti").join(groups.join(hot.select(*keys), keys, "left_anti"), keys)
+    return rows.join(hot, keys).unionByName(light)
+
+
 # Hashing of byte strings in arrays -----------------------------------------------------------------
 
 _U = np.uint64
@@ -156,3 +139,52 @@ def gram_hashes(prefix: np.ndarray, n: int) -> np.ndarray:
     """``span_hashes`` of the n bytes from every position."""
     down = POWERS.to(len(prefix))[1]
     return mixed((prefix[n:] - prefix[:-n]) * down[: len(prefix) - n] + _U(n * int(_LENGTH) % (1 << 64)))
+
+
+def sparse_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = SLICE_BYTES) -> np.ndarray:
+    """``span_hashes`` of ascending spans, from prefix hashes that are made and dropped ``step`` bytes at a time."""
+    first, last, down = (np.zeros(len(starts), np.uint64) for _ in range(3))
+    carry, up, inverse = _U(0), _U(1), _U(1)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), step):
+            part = data[at : at + step]
+            local = prefix_hashes(part)
+            ups, downs = POWERS.to(len(part) + 1)
+            i, j = np.searchsorted(starts, [at, at + len(part)])
+            here = starts[i:j] - at
+            first[i:j], down[i:j] = carry + up * local[here], inverse * downs[here]
+            i, j = np.searchsorted(ends, [at, at + len(part)], "right")
+            last[i:j] = carry + up * local[ends[i:j] - at]
+            carry, up, inverse = carry + up * local[-1], up * ups[-1], inverse * downs[-1]
+    return mixed((last - first) * down + (ends - starts).astype(np.uint64) * _LENGTH)
+
+
+# Hot keys ------------------------------------------------------------------------------------------
+
+#: Keys that are split at most: any other has less than a thousandth or so of all rows.
+SPLIT_KEYS = 2_000
+
+
+def split_plan(sampled: DataFrame, group_rows: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams of ``sampled`` rows (gram), one document in ``sample``, sorted as unsigned
+    numbers, and into how many groups each is split: about the square root of its rows, if these are more than
+    ``group_rows``. It decides a layout only, never a result. SPLIT_KEYS rows at most come to the driver."""
+    counts = sampled.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, group_rows // (4 * sample)))
+    rows = sorted((r["gram"] & (1 << 64) - 1, r["n"] * sample) for r in counts.orderBy(F.col("n").desc(), "gram").limit(SPLIT_KEYS).collect())
+    sizes = np.array([n for _, n in rows], np.int64)
+    return np.array([g for g, _ in rows], np.uint64), np.where(sizes > group_rows, np.ceil(np.sqrt(sizes)).astype(np.int64), 1)
+
+
+def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array ``known`` has."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def salts(grams: np.ndarray, docs: np.ndarray, split: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The group of each row of a split gram, by its document; -1 for whole grams."""
+    out = np.full(len(grams), -1, np.int64)
+    mine = np.nonzero(within(grams, split))[0]
+    if len(mine):
+        many = parts[np.searchsorted(split, grams[mine])]
+        out[mine] = np.where(many > 1, (mixed(docs[mine].astype(np.int64).view(np.uint64), 3) % many.astype(np.uint64)).astype(np.int64), -1)
+    return out

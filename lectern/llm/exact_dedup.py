@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import by_group, scratch_dir, stored
+from lectern.llm.common import by_group, shared_folder, stored
 
 
 def normalised(text: Column) -> Column:
@@ -15,32 +16,55 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
+#: Digests that one bucket is meant to hold: about 200 MB, one task's share of a join.
+BUCKET_ROWS = 4_000_000
+
+
 class DigestIndex:
     """A table of the digests seen so far, bucketed and sorted by digest.
 
     ``ingest`` appends the digests of new rows that a sort-merge anti-join doesn't find in it. As the
     table is bucketed, only the new side of that join is shuffled, however large the index has become.
 
+    With a ``path`` the index outlasts its session: opening the path again finds what is there, with the
+    buckets that it was made with. Without one it is below the shared folder, under a name of its own. Each
+    ingest writes one file a bucket; ``expected`` digests set the number of buckets of a new index.
+
     Cases: null texts count as empty and equal each other. Rows that share the smallest doc_id of a
     group are one document and stay together. A row with a null id never stays before one with an id;
     a group of null ids only has keep_id null and kept false. Other columns are ignored. An empty
     table gives no rows and leaves the index as it was.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 32):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, expected: int = 0):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or f"{scratch_dir(spark)}/{self.name}"
-        self.buckets = buckets
+        self.path = (path or f"{shared_folder(spark)}/{self.name}").rstrip("/")
+        self.buckets = self._recorded() or max(8, -(-expected // BUCKET_ROWS))
         if not spark.catalog.tableExists(self.name):
             spark.sql(
                 f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'"
             )
 
+    def _recorded(self) -> int | None:
+        """The number of buckets that the files at the path were made with."""
+        try:
+            return self.spark.read.schema("buckets INT").parquet(f"{self.path}/buckets").first()["buckets"]
+        except AnalysisException:  # no index there yet
+            return None
+
     def seen(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self, files: bool = False) -> None:
+        """Takes the index out of the catalog; with ``files`` its digests go too. What ``ingest`` returned stays
+        readable: it doesn't read the index."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if files:
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """A row per input row: doc_id, keep_id, group_size (equal rows of this batch), kept, text_sha256."""
         rows = stored(
@@ -49,9 +73,12 @@ class DigestIndex:
         )
         groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), "groups")
         fresh = groups.join(self.seen().hint("merge"), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"))
-        fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
+        # Dealt as the buckets are, each task writes the one file of its bucket.
+        dealt = fresh.repartition(self.buckets, "digest")
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.path}/digests").saveAsTable(self.name)
+        self.spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.mode("overwrite").parquet(f"{self.path}/buckets")
         self.spark.catalog.refreshTable(self.name)
-        known = groups.join(self.seen().hint("merge"), "digest").select("digest", "keep_id", "group_size")
+        known = stored(groups.join(self.seen().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "known")
         return by_group(rows, known, ["digest"], "group_size").select(
             "doc_id",
             "keep_id",
