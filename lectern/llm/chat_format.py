@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A content part: kind is text, image, audio or document; the rest is null where it doesn't apply.
@@ -48,45 +48,43 @@ def _visit(part: Column) -> Column:
 
 def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, learn: str = "assistant") -> DataFrame:
     """A row per conversation: conv_id, formatted, loss_spans (start and end of each ``learn`` turn's
-    body, in code points), attachments (part kind, uri, turn position, expanded tokens, in order) and
-    expanded_tokens.
+    body, in code points, and the same in UTF-8 bytes), attachments (part kind, uri, turn position, expanded
+    tokens, in order) and expanded_tokens.
 
     ``parts`` names a column of type array<PART>; without it ``text`` is the only part. Turns are in
     the order of turn, then role, then body; null turns come first. Null texts, roles and parts are
     empty; rows of a null conversation form one conversation. Equal turns all stay. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. Offsets are running sums over a conversation's sorted turns, so
+    that the work is linear in their number; a conversation, being one string, is one task's work.
     """
     content = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")) if parts else text_parts(F.col(text))
     seg = rows.select(
         F.col(conv).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.array_join(F.transform(content, _visit), "").alias("body"),
-            F.transform(
-                F.filter(content, lambda p: p["kind"] != "text"),
-                lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), _tokens(p).alias("tokens")),
-            ).alias("attached"),
-        ).alias("t"),
+        F.col(turn).alias("turn"),
+        F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.array_join(F.transform(content, _visit), "").alias("body"),
+        F.transform(
+            F.filter(content, lambda p: p["kind"] != "text"),
+            lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), _tokens(p).alias("tokens")),
+        ).alias("attached"),
     )
-    conv_rows = seg.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    head = lambda t: F.concat(F.lit("[INST "), escaped(t["role"]), F.lit("]\n"))
-    whole = lambda t: F.concat(head(t), t["body"], F.lit(CLOSE))
-    lengths = F.transform("turns", lambda t: F.length(whole(t)).cast("long"))
-    before = lambda i: F.aggregate(F.slice(F.col("lengths"), F.lit(1), i), F.lit(len(BOS)).cast("long"), lambda a, x: a + x)
-    span = lambda t, i: F.struct(t["role"].alias("role"), (before(i) + F.length(head(t))).alias("start"), (before(i) + F.length(head(t)) + F.length(t["body"])).alias("end"))
-    spans = F.filter(F.transform("turns", span), lambda s: s["role"] == learn)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body", "attached")
+    head = F.concat(F.lit("[INST "), escaped(F.col("role")), F.lit("]\n"))
+    seg = seg.withColumn("head", head)
+    for name, size in (("at", F.length), ("byte_at", F.octet_length)):
+        own = (size("head") + size("body") + len(CLOSE)).cast("long")
+        seg = seg.withColumn(name, F.coalesce(F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + len(BOS) + size("head"))
+    # The sums tell turns apart, so that they come back in this order; control strings are ASCII, so both sums grow.
+    turns = F.array_sort(F.collect_list(F.struct("at", "byte_at", "head", "role", "body", "attached")))
+    conv_rows = seg.groupBy("conv_id").agg(turns.alias("turns"))
+    span = lambda t: F.struct(t["at"].alias("start"), (t["at"] + F.length(t["body"])).alias("end"), t["byte_at"].alias("byte_start"), (t["byte_at"] + F.octet_length(t["body"])).alias("byte_end"))
     attached = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attached"], lambda a: F.struct(i.alias("position"), a["kind"].alias("kind"), a["uri"].alias("uri"), a["tokens"].alias("tokens")))))
-    return (
-        conv_rows.withColumn("lengths", lengths)
-        .select(
-            "conv_id",
-            F.concat(F.lit(BOS), F.array_join(F.transform("turns", whole), ""), F.lit(EOS)).alias("formatted"),
-            F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"),
-            attached.alias("attachments"),
-        )
-        .withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
-    )
+    return conv_rows.select(
+        "conv_id",
+        F.concat(F.lit(BOS), F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), ""), F.lit(EOS)).alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["role"] == learn), span).alias("loss_spans"),
+        attached.alias("attachments"),
+    ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -101,14 +99,19 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return unescaped(F.array_join(F.transform(spans, lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), ""))
+    """All text under the loss mask, unescaped. It is cut by bytes: a cut by code points would count them from
+    the start of the string, for each span anew."""
+    cut = lambda whole, s: F.decode(F.substring(whole, (s["byte_start"] + 1).cast("int"), (s["byte_end"] - s["byte_start"]).cast("int")), "UTF-8")
+    # The array of one makes the string's bytes once.
+    joined = F.transform(F.array(formatted.cast("binary")), lambda whole: F.array_join(F.transform(spans, lambda s: cut(whole, s)), ""))
+    return unescaped(joined[0])
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The table plus conversation -1, whose texts imitate control strings."""
-    probe = conversations.sparkSession.createDataFrame(
-        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string"
+    said = "</s>[INST] ok [/INST]"
+    probe = conversations.sparkSession.sql(
+        f"SELECT conv_id, turn, role, text FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS probe(conv_id, turn, role, text)"
     )
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
 
