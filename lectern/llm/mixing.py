@@ -38,40 +38,47 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 7, id_col: str =
     its rate is target over present characters. Documents of other sources, or of none, have rate 1.
     A document's count inverts the Poisson distribution at a hash of its id: it depends on nothing else,
     so lost tasks come out the same when they run again. A rate over MAX_RATE is split evenly: the count is the
-    sum of as many independent counts, each of a hash of its own. Rows that repeat an id have one count; a null
-    id counts as the text "null". A source without characters has rate 0. An empty table stays empty.
+    sum of as many independent counts, each of a hash of its own. Rows that repeat an id have one count; rows
+    without an id are told apart by their texts, and count as the text "null:" with the text's MD5. A source
+    without characters has rate 0. An empty table stays empty.
 
-    Returns the input's columns, replica (1, 2, ...) and shuffle_key; columns of these names are
-    replaced. The rows are dealt to partitions by shuffle_key and sorted by it.
+    Returns the input's columns, whatever their names, replica (1, 2, ...) and shuffle_key; columns of these
+    names are replaced. The rows are dealt to partitions by shuffle_key and sorted by it; rows that share one,
+    as repeated rows do, are dealt by their place in the input too, so that no partition gets all of them.
     """
     if not weights or any(w < 0 for w in weights.values()) or not sum(weights.values()):
         raise ValueError("weights must be positive")
-    listed = docs.where(F.col(source_col).isin(list(weights)))
+    source, text, doc = (F.col(f"`{c}`") for c in (source_col, text_col, id_col))
+    listed = docs.where(source.isin(list(weights)))
     # At most a row for each listed source: as bounded as the weights themselves.
-    sizes = {r[0]: r[1] for r in listed.groupBy(F.col(source_col)).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long"))).collect()}
+    sizes = {r[0]: r[1] for r in listed.groupBy(source).agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long"))).collect()}
     total, weight = sum(sizes.values()), sum(weights[s] for s in sizes if sizes[s]) or 1.0
     rates = {s: weights[s] / weight * total / n if n else 0.0 for s, n in sizes.items()}
     parts = {s: math.ceil(r / MAX_RATE) for s, r in rates.items() if r > MAX_RATE}
     steps = F.lit(None).cast("array<double>")
     if rates:
         table = F.create_map(*[x for s in sorted(rates) for x in (F.lit(s), F.array(*[F.lit(p) for p in poisson_steps(rates[s] / parts.get(s, 1))]))])
-        steps = F.try_element_at(table, F.col(source_col))
+        steps = F.try_element_at(table, F.col("__source"))
     steps = F.coalesce(steps, F.array(*[F.lit(p) for p in poisson_steps(1.0)]))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    u = uniform(seed, name)
-    count = F.size(F.filter(steps, lambda p: u >= p))
-    kept = [c for c in docs.columns if c.lower() not in ("replica", "shuffle_key")]
+    name = F.coalesce(doc.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    count = F.size(F.filter(steps, lambda p: uniform(seed, F.col("__name")) >= p))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("replica", "shuffle_key")]
+    named = docs.select(F.struct(*kept).alias("__row"), name.alias("__name"), source.alias("__source"))
     if parts:
-        more = F.try_element_at(F.create_map(*[x for s in sorted(parts) for x in (F.lit(s), F.lit(parts[s] - 1))]), F.col(source_col))
-        draw = lambda k: F.size(F.filter(steps, lambda p: uniform(seed, F.concat(name, F.lit(":part:"), k.cast("string"))) >= p))
+        more = F.try_element_at(F.create_map(*[x for s in sorted(parts) for x in (F.lit(s), F.lit(parts[s] - 1))]), F.col("__source"))
+        draw = lambda k: F.size(F.filter(steps, lambda p: uniform(seed, F.concat(F.col("__name"), F.lit(":part:"), k.cast("string"))) >= p))
         count = count + F.when(more.isNotNull(), F.aggregate(F.sequence(F.lit(1), more), F.lit(0), lambda n, k: n + draw(k))).otherwise(0)
-        runs = docs.select(*kept, count.alias("__count")).where("__count > 0").select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(__count - 1) div {RUN}").cast("int"))).alias("__run"))
-        numbers = F.sequence(F.col("__run") * RUN + 1, F.least(F.col("__count"), F.col("__run") * RUN + RUN))
-        copies = runs.select(*kept, F.explode(numbers).alias("replica"))
+    last = F.when(F.col("__count") > 0, F.col("__count"))
+    counted = named.select("__row", "__name", count.alias("__count")).where("__count > 0")
+    if parts:  # a long list of copies is never one array
+        counted = counted.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(__count - 1) div {RUN}").cast("int"))).alias("__run"))
+        numbers = F.sequence(F.col("__run") * RUN + 1, F.least(last, F.col("__run") * RUN + RUN))
     else:
-        copies = docs.select(*kept, count.alias("__count")).where("__count > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("replica"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("replica").cast("string"))))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        numbers = F.sequence(F.lit(1), last)
+    copies = counted.select("__row", "__name", F.explode(numbers).alias("replica"))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), "__name", F.col("replica").cast("string"))))
+    dealt = keyed.withColumn("__at", F.monotonically_increasing_id() % 1024).repartition("shuffle_key", "__at").sortWithinPartitions("shuffle_key")
+    return dealt.select("__row.*", "replica", "shuffle_key")
 
 
 #: The query's target: equal shares of the twenty sources.
