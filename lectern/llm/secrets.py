@@ -1,13 +1,15 @@
 """Secret scan: one deterministic automaton for all rules, read over the bytes of each text once.
 
 The combined automaton reads a text from its last byte to its first; where it accepts, a match of the
-accepted rules starts. So one pass finds every start of every rule, and an anchored automaton of the
-rule then finds the longest end, at starts that no earlier match of the rule covers.
+accepted rules starts. So one pass finds every start of every rule. Ends aren't found by that automaton: an
+anchored one, compiled from the rule alone in the same way, walks to the longest end, from starts that no
+earlier match of the rule covers.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -50,8 +52,8 @@ class Accepting:
     """Stands for an accepting state's row of transitions. It can't be indexed, so the scan's loop needs
     no test at each byte: the step after an accepting state raises TypeError."""
 
-    def __init__(self, rules: list[int]):
-        self.rules, self.after = rules, []
+    def __init__(self, bits: int):
+        self.bits, self.after = bits, []
 
 
 class Scanner:
@@ -61,7 +63,7 @@ class Scanner:
         dfa = automaton.build([automaton.mirrored(t) for t in trees], anywhere=True)
         n = len(dfa.rules)
         # A state is its row of transitions: 256 references to the rows of the next states.
-        rows = [Accepting([k for k in range(len(rules)) if bits >> k & 1]) if bits else [] for bits in dfa.rules.tolist()]
+        rows = [Accepting(bits) if bits else [] for bits in dfa.rules.tolist()]
         for q in range(n):
             steps = [rows[x // 256] for x in dfa.table[q * 256 : q * 256 + 256].tolist()]
             if isinstance(rows[q], Accepting):
@@ -72,31 +74,49 @@ class Scanner:
         self.whole = [_walker(automaton.build([t], anywhere=False)) for t in trees]
         self.heads = [_walker(automaton.build([automaton.parse(r.head, r.ignore_case)], anywhere=False)) for r in rules]
 
-    def starts(self, data: bytes) -> list[tuple[int, list[int]]]:
-        """(position, rules) wherever matches start, from the last to the first: the one pass."""
-        row, left, found = self.first, reversed(data), []
+    def starts(self, data: bytes) -> tuple[array, array, array]:
+        """Runs of positions at which matches of the same rules start, from the last to the first: the first and
+        the last position of each, and the rules' bits. This is the one pass."""
+        row, left = self.first, reversed(data)
+        low, high, bits = array("q"), array("q"), array("q")
         while True:
             try:
                 for byte in left:
                     row = row[byte]
-                break
+                if not isinstance(row, Accepting):
+                    break
+                at, byte = 0, None
             except TypeError:  # the row before this byte accepts
-                found.append((left.__length_hint__() + 1, row.rules))
+                at = left.__length_hint__() + 1
+            # Through a run of starts, as of a long hexadecimal text, without an exception for each.
+            first, rules = at, row.bits
+            while byte is not None:
                 row = row.after[byte]
-        if isinstance(row, Accepting):
-            found.append((0, row.rules))
-        return found
+                if not isinstance(row, Accepting) or row.bits != rules:
+                    break
+                at -= 1
+                byte = next(left, None)
+            low.append(at)
+            high.append(first)
+            bits.append(rules)
+            if byte is None:
+                break
+        return low, high, bits
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes: leftmost, longest, not overlapping within a rule."""
         free, out = [0] * len(self.rules), []
-        for at, rules in reversed(self.starts(data)):
-            for k in rules:
-                if at >= free[k]:
+        low, high, bits = self.starts(data)
+        for i in range(len(low) - 1, -1, -1):
+            for k, rule in enumerate(self.rules):
+                if not bits[i] >> k & 1:
+                    continue
+                at = max(low[i], free[k])
+                while at <= high[i]:
                     end = free[k] = self.whole[k](data, at)
-                    rule = self.rules[k]
                     if end - (at if rule.whole else self.heads[k](data, at)) >= rule.least:
                         out.append((at, k, end))
+                    at = max(end, at + 1)
         return sorted(out)
 
 
