@@ -8,14 +8,16 @@ compared, by Myers' bit-parallel edit distance.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import restricted, shared_folder, stored
+
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.05
 #: Characters of benchmark items that one automaton holds; more items make further rounds over the texts.
@@ -150,45 +152,80 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float, limi
 SCHEMA = "doc_id long, item_id long, distance int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+def _search(items: list[Item], key: str):
+    """For rows (key, text): (key, item_id, distance) of all items that occur in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items)
+        for batch in batches:
+            rows = [(d, i, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, e in matcher.find(folded(t))]
+            ids, hits, edits = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(hits, pa.int64()), pa.array(edits, pa.int32())], names=[key, "item_id", "distance"])
+
+    return run
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, rate: float, limit: int) -> DataFrame:
+    """``_search`` of (key, text) rows for the whole benchmark. A benchmark of one block is one lazy map. Of a
+    longer one, each block makes a round over the texts, whose hits are written before the next block is
+    read: the driver and every worker hold one block, however long the benchmark is."""
+    key, kind = rows.dtypes[0]
+    schema = f"{key} {kind}, item_id long, distance int"
+    parts = blocks(benchmark, item_col, item_text, rate, limit)
+    block, following = next(parts, None), next(parts, None)
+    if block is None:
+        return rows.limit(0).select(key, F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("int").alias("distance"))
+    if following is None:
+        return rows.mapInArrow(_search(block, key), schema)
+    path = f"{shared_folder(rows.sparkSession)}/benchmark-hits-{uuid.uuid4().hex}"
+    while block is not None:
+        rows.mapInArrow(_search(block, key), schema).write.mode("append").parquet(path)
+        block, following = following, next(parts, None)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """A row (doc_id, item_id, distance) for each document and item where some part of the document's
     folded text is within the item's edit budget (``rate`` times its length, rounded down).
 
     Null and empty texts contain nothing; empty items and items without id are left out. Repeated rows,
-    of documents or of items, give repeated rows here. An empty table on either side gives no rows.
-    Long texts are searched whole. The benchmark is read in blocks of bounded size, each sent with the
-    tasks of its own round, so neither side has to fit in one task.
+    of documents or of items, give repeated rows here; a null id stays null. An empty table on either side
+    gives no rows; other columns are ignored. Long texts are searched whole. The benchmark is read in blocks
+    of ``block_chars`` characters, so neither side has to fit in one task.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def search(items: list[Item]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
-            for batch in batches:
-                rows = [(d, i, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, e in matcher.find(folded(t))]
-                ids, hits, edits = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hits, pa.int64()), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "distance"])
-
-        return run
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _hits(texts, benchmark, item_col, item_text, rate, block_chars)
 
-    rounds = [texts.mapInArrow(search(block), SCHEMA) for block in blocks(benchmark, item_col, item_text, rate)]
-    return reduce(DataFrame.unionAll, rounds) if rounds else texts.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("int").alias("distance"))
 
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """The documents without a leak, with all columns of the input, whatever their names.
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The documents without a leak, all columns kept: each block of items is one map over the rows, and
-    nothing is shuffled. Null texts stay."""
-    schema = docs.schema
+    Null and empty texts stay; repeated rows stay or go together, as the text alone decides, and so do rows
+    without an id. An empty table stays empty, an empty benchmark lets all rows stay. With a benchmark of
+    one block nothing is shuffled: the rows are filtered where they are. With more, the rounds leave the
+    SHA-256 digests of texts that hold an item, and rows are anti-joined with these.
+    """
+    parts = blocks(benchmark, item_col, item_text, rate, block_chars)
+    block, following = next(parts, None), next(parts, None)
+    if block is None:
+        return docs
+    if following is not None:
+        digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
+        texts = docs.select(digest.alias("digest"), F.col(f"`{text_col}`").alias("text"))
+        found = _hits(texts, benchmark, item_col, item_text, rate, block_chars).select(F.col("digest").alias("__found")).distinct()
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), digest.alias("__digest"))
+        return restricted(rows, stored(found, "leaked-texts"), F.col("__digest") == F.col("__found"), "left_anti").select("__row.*")
     place = docs.columns.index(text_col)
 
-    def clean(items: list[Item]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
-            for batch in batches:
-                yield batch.filter(pa.array([not (t and matcher.find(folded(t))) for t in batch.column(place).to_pylist()], pa.bool_()))
-
-        return run
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block)
+        for batch in batches:
+            yield batch.filter(pa.array([not (t and matcher.find(folded(t))) for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    for block in blocks(benchmark, item_col, item_text, rate):
-        docs = docs.mapInArrow(clean(block), schema)
-    return docs
+    # Python workers get plain names: a name with a dot can't be handed to them.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
