@@ -181,7 +181,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalties: tuple[float, ...] = (0.02, 0.01
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_fold: tuple[int, int] = (5, 0), max_train: int = MAX_TRAIN) -> Model:
     """A model of the labelled rows outside the held-out fold. Their ids of the smallest hashes,
     ``max_train`` at most, are the sample; only its statistics come to the driver. Ids with null or
-    contradicting labels are left out."""
+    contradicting labels are left out; an id that several documents have is one sample."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold("doc_id", held_fold[0]) != held_fold[1]))
@@ -193,10 +193,10 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if not picked:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__body")).where(F.col("__id").isin(list(picked)))
-    got = with_statistics(texts, "__body").select("__id", *FEATURES).toArrow().sort_by([("__id", "ascending"), *[(f, "ascending") for f in FEATURES]])
+    # Of rows that repeat an id, the least by their statistics: so no more rows than ids come to the driver.
+    got = with_statistics(texts, "__body").groupBy("__id").agg(F.min(F.struct(*FEATURES)).alias("s")).select("__id", "s.*").toArrow().sort_by("__id")
     x = np.column_stack([got[f].to_numpy() for f in FEATURES]) if got.num_rows else np.zeros((0, len(FEATURES)))
-    y = np.array([picked[i] for i in got["__id"].to_pylist()], float)
-    return fit(x[: 2 * max_train], y[: 2 * max_train])
+    return fit(x, np.array([picked[i] for i in got["__id"].to_pylist()], float))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -213,4 +213,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    return scored(docs, model, text_col).where(F.col("quality_score") >= threshold).drop("quality_score")
+    """The documents that score ``threshold`` or more, with all columns of the input as they are, one named
+    quality_score too. Null and empty texts have a score like any other; repeated rows stay or go together;
+    an empty table stays empty."""
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__input"), F.col(f"`{text_col}`").alias("__text_in"))
+    return scored(kept, model, "__text_in").where(F.col("quality_score") >= threshold).select("__input.*")
