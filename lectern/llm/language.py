@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fold, slices, text_buffer
+from lectern.llm.common import SLICE_BYTES, fold, slices, text_buffer
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -54,14 +54,25 @@ def padded(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise("", pc.utf8_lower(pc.fill_null(texts, "")), "", " ")
 
 
+def pieces(letters: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``grams`` of a long buffer, SLICE_BYTES at a time: the first position, buckets, and which are subwords."""
+    for at in range(0, len(letters), SLICE_BYTES):
+        ids, ok = grams(letters[at : at + SLICE_BYTES + n - 1], n)
+        yield at, ids[:SLICE_BYTES], ok[:SLICE_BYTES]
+
+
 def feature_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets and their counts of each text."""
     data, offsets = text_buffer(padded(texts))
     out = []
     for i in range(len(texts)):
         letters = _LETTERS[data[offsets[i] : offsets[i + 1]]]
-        ids = [g[ok] for g, ok in (grams(letters, n) for n in GRAMS)]
-        out.append(np.unique(np.concatenate(ids), return_counts=True))
+        total = np.zeros(BUCKETS, np.int64)
+        for n in GRAMS:
+            for _, ids, ok in pieces(letters, n):
+                total += np.bincount(ids[ok], minlength=BUCKETS)
+        used = np.nonzero(total)[0]
+        out.append((used, total[used]))
     return out
 
 
@@ -132,11 +143,12 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoc
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_fold: tuple[int, int] = (3, 1), max_train: int = MAX_TRAIN) -> Model:
     """A model of the rows with a language that are not in the held-out fold. Their ids of the smallest
-    hashes, ``max_train`` at most, are the sample; only bucket counts come to the driver."""
+    hashes, ``max_train`` at most, are the sample; only bucket counts come to the driver. Rows that repeat an
+    id are one sample."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_fold[0]) != held_fold[1])
     )
-    ids = [r[0] for r in known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()]
+    ids = [r[0] for r in known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +158,10 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 names=["doc_id", "lang", "ids", "counts"],
             )
 
-    sample = known.where(F.col("doc_id").isin(ids)) if ids else known.limit(0)
+    # Of rows that repeat an id, the least by language and text: no more rows than ids come to the driver.
+    sample = (known.where(F.col("doc_id").isin(ids)) if ids else known.limit(0)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("s")).select("doc_id", "s.text", "s.lang")
     got = sample.mapInArrow(counted, "doc_id long, lang string, ids array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    return train([(lang.as_py(), np.asarray(i.values), np.asarray(c.values)) for lang, i, c in zip(got["lang"], got["ids"], got["counts"], strict=True)][: 2 * max_train])
+    return train([(lang.as_py(), np.asarray(i.values), np.asarray(c.values)) for lang, i, c in zip(got["lang"], got["ids"], got["counts"], strict=True)])
 
 
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -189,17 +202,19 @@ def mean_logits(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     """The mean of the buckets' scores over all subwords of each text."""
     data, offsets = text_buffer(texts)
     data = data[offsets[0] : offsets[-1]]
-    starts = offsets[:-1] - offsets[0]
+    starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
     letters = _LETTERS[data]
     total, count = np.zeros((len(starts), table.shape[1])), np.zeros(len(starts))
     extended = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
     for n in GRAMS:
-        ids, ok = grams(letters, n)
-        for j in range(1, n):  # not across two texts
-            edge = starts[1:] - j
-            ok[edge[edge >= 0]] = False
-        ok[len(ok) - n + 1 :] = False
-        ids = np.where(ok, ids, np.uint32(BUCKETS)).astype(np.intp)
-        total += np.add.reduceat(np.take(extended, ids, axis=0), starts, axis=0)
-        count += np.add.reduceat(ok.astype(np.int32), starts)
+        for at, ids, ok in pieces(letters, n):
+            end = at + len(ids)
+            here = slice(int(np.searchsorted(ends, at, "right")), int(np.searchsorted(starts, end)))
+            for j in range(1, n):  # not across two texts
+                edge = ends[here] - j - at
+                ok[edge[(edge >= 0) & (edge < len(ok))]] = False
+            ids = np.where(ok, ids, np.uint32(BUCKETS)).astype(np.intp)
+            inner = np.maximum(starts[here] - at, 0)
+            total[here] += np.add.reduceat(np.take(extended, ids, axis=0), inner, axis=0)
+            count[here] += np.add.reduceat(ok.astype(np.int32), inner)
     return total / np.maximum(count, 1)[:, None]
