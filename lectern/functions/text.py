@@ -115,7 +115,7 @@ def language_codes(x: Column | str, codes: dict[str, str], original_only: bool =
     """Codes of a comma-separated list of track names, distinct and sorted. Notes in brackets and the audio
     description mark are dropped; a name that isn't known loses leading words until it is."""
     table = F.create_map(*[F.lit(y) for pair in sorted(codes.items()) for y in pair])
-    parts = F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
     if original_only:
         parts = F.filter(parts, lambda p: p.contains("[Original]"))
     plain = lambda p: F.trim(F.lower(F.regexp_replace(F.regexp_replace(p, r" - Audio Description|\[Original\]", ""), r"\([^)]*\)", "")))
@@ -200,7 +200,7 @@ def parenthetical_ruby(x: Column | str) -> Column:
 
 def split_list(x: Column | str) -> Column:
     """A comma-separated list; null if missing."""
-    return F.transform(F.split(null_marker(x), ","), F.trim)
+    return F.transform(F.split(null_marker(x), ","), lambda p: F.trim(p))
 
 
 def substituted(template: Column | str, values: dict[str, Column], mark: str = "%{}%") -> Column:

@@ -62,5 +62,10 @@ def midpoint_cue(start: Column | str, end: Column | str, most: int = 100_000) ->
     return F.struct(mid.alias("start_us"), F.least(_c(end), mid + most).alias("end_us"))
 
 
+def iso_utc(ts: Column | str) -> Column:
+    """``yyyy-mm-ddThh:mm:ssZ`` of a time in UTC."""
+    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def year_of(first: Column | str, second: Column | str) -> Column:
     return F.coalesce(F.year(_c(first)), F.year(_c(second)))

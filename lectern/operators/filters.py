@@ -59,8 +59,20 @@ def with_tags(volumes: DataFrame, pattern: str | None = None, tags: list[str] =
     return out
 
 
-def title_matches(titles: DataFrame, pattern: str, title: str = "title") -> DataFrame:
-    return titles.where(F.col(title).rlike("(?i)" + pattern))
+def title_matches(titles: DataFrame, pattern: str, title: str = "title", without: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Titles that fit a pattern in any case, but for those whose key is in ``without``."""
+    found = titles.where(F.col(title).rlike("(?i)" + pattern))
+    return found if without is None else found.join(without.select(key), key, "left_anti")
+
+
+def primary(kind: Column) -> Column:
+    """Content that counts: of the primary kind, which is the one that isn't named."""
+    return F.coalesce(kind, F.lit("Primary")) == "Primary"
+
+
+def unresolved(catalogue_id: Column, entity: Column) -> Column:
+    """In the catalogue, but without an entity yet."""
+    return catalogue_id.isNotNull() & entity.isNull()
 
 
 def export_edges(edges: Column) -> Column:

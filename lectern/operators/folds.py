@@ -19,6 +19,11 @@ def map_chunks(chunks: Column | str, f: Callable[[Column], Column]) -> Column:
     return F.filter(F.transform(c, f), lambda x: x.isNotNull())
 
 
+def base_record(block: Column) -> Column:
+    """A block without its chunks: image and source."""
+    return F.struct(block["image"].alias("image"), block["source"].alias("source"))
+
+
 def single(chunks: Column | str) -> Column:
     """The only chunk, null if none, an error if several."""
     c = F.col(chunks) if isinstance(chunks, str) else chunks

@@ -26,6 +26,11 @@ def first_filled(records: list[Column], fields: list[str], tags: str = "tags") -
     return F.struct(*plain, F.array_sort(F.array_distinct(F.concat(*[F.coalesce(r[tags], none) for r in records]))).alias(tags))
 
 
+def text_only(chunks: Column, fields: tuple[str, ...] = ("text", "role")) -> Column:
+    """Copies of chunks with these fields only."""
+    return F.transform(chunks, lambda c: F.struct(*[c[f].alias(f) for f in fields]))
+
+
 def without_offsets(tokens: Column, fields: tuple[str, ...] = ("startOffset", "endOffset", "positionIncrement", "positionLength")) -> Column:
     return F.transform(tokens, lambda t: t.dropFields(*fields))
 

@@ -67,6 +67,11 @@ def natural_rank(rows: DataFrame, by: list[str], name: str, out: str = "natural_
     return rows.withColumn(out, F.row_number().over(_w(by, [natural_key(name), F.col(name)])))
 
 
+def by_number(ids: Column) -> Column:
+    """An array of ids given as text, in the order of their numbers."""
+    return F.transform(F.array_sort(F.transform(ids, lambda i: F.struct(i.try_cast("long").alias("n"), i.alias("id")))), lambda x: x["id"])
+
+
 def capped(rows: DataFrame, by: list[str], order: list, most: int = 10_000) -> DataFrame:
     """The rows, or an error if a stream has more than ``most``."""
     k = F.row_number().over(_w(by, order))

@@ -80,6 +80,18 @@ def common_affixes(rows: DataFrame, key: str, name: str) -> DataFrame:
     return agg.select(key, common("a", "b").alias("prefix"), F.reverse(common("c", "d")).alias("suffix"))
 
 
+def summary(rows: DataFrame, by: str, status: str, names: list[str]) -> DataFrame:
+    """Rows of each group, those of each status, and the percentage of the first one."""
+    counts = [F.count_if(F.col(status) == n).alias(f"n_{n}") for n in names]
+    share = F.round(F.try_divide(100.0 * F.count_if(F.col(status) == names[0]), F.count("*")), 6).alias(f"percent_{names[0]}")
+    return rows.groupBy(by).agg(F.count("*").alias("n_rows"), *counts, share)
+
+
+def samples(rows: DataFrame, by: str, value: str, separator: str = ", ") -> DataFrame:
+    """One value of each group, the least so that it is always the same, and all distinct ones, joined."""
+    return rows.groupBy(by).agg(F.min(value).alias("sample"), F.array_join(F.array_sort(F.collect_set(value)), separator).alias("values"))
+
+
 def duplicates(rows: DataFrame, key: str, ignore_case: bool = True) -> DataFrame:
     """Keys that occur more than once."""
     k = F.lower(key) if ignore_case else F.col(key)

@@ -233,12 +233,11 @@ ORACLE = {
     "positional_zip": """SELECT a.rn, s_suppkey, c_custkey FROM (SELECT *, row_number() OVER (ORDER BY s_name, s_suppkey) AS rn FROM supplier) a JOIN (SELECT *, row_number() OVER (ORDER BY c_name, c_custkey) AS rn FROM customer) b ON a.rn = b.rn""",
     "id_agreement": "SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS flag, count(DISTINCT l_returnflag) AS n_values FROM lineitem GROUP BY 1",
     "title_normalize": rf"""WITH x AS (SELECT 'p' || p_partkey AS key, '  The ' || list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') || ': ' || p_brand || '!' AS raw FROM part
-          UNION ALL SELECT 'd' || doc_id, substr(text, 1, 60) FROM documents)
+          UNION ALL SELECT 'd' || doc_id, text FROM documents)
         SELECT key, CASE WHEN raw <> '' THEN trim(regexp_replace(lower(raw), '{_LETTERS}', ' ', 'g')) END AS title, coalesce(nullif(trim(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '-'), ''), key) AS slug FROM x""",
-    "fuzzy_title_ranked": rf"""WITH f AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '{_LETTERS}', ' ', 'g')) AS t FROM part WHERE p_partkey % 10 = 0),
-        w AS (SELECT p_partkey AS work, p_type, p_retailprice, unnest([trim(regexp_replace(lower(p_name), '{_LETTERS}', ' ', 'g')), trim(regexp_replace(lower(p_brand), '{_LETTERS}', ' ', 'g'))]) AS t FROM part WHERE p_partkey % 10 = 1),
-        c AS (SELECT DISTINCT f.p_partkey, work, p_type, p_retailprice, CASE p_type WHEN 'PROMO' THEN 0 WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 2 ELSE 99 END AS r FROM f JOIN w ON f.t = w.t)
-        SELECT p_partkey, first(work ORDER BY r, p_retailprice DESC, work) AS best, string_agg(work::VARCHAR, ',' ORDER BY r, p_retailprice DESC, work) AS ranked FROM c GROUP BY 1""",
+    "fuzzy_title_ranked": rf"""WITH p AS (SELECT p_partkey, p_type, p_retailprice, trim(regexp_replace(lower(p_name), '{_LETTERS}', ' ', 'g')) AS t1, trim(regexp_replace(lower(p_brand), '{_LETTERS}', ' ', 'g')) AS t2 FROM part),
+        w AS (SELECT DISTINCT p_partkey AS work, p_retailprice, CASE p_type WHEN 'PROMO' THEN 0 WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 2 ELSE 99 END AS r, unnest([t1, t2]) AS t FROM p)
+        SELECT p_partkey, first(work ORDER BY r, w.p_retailprice DESC, work) AS best, string_agg(work::VARCHAR, ',' ORDER BY r, w.p_retailprice DESC, work) AS ranked FROM p JOIN w ON t1 = t AND t <> '' AND work <> p_partkey GROUP BY 1""",
     "merge_duplicates": """WITH c AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS name, CASE WHEN c_acctbal > 5000 THEN c_acctbal END AS bal, CASE WHEN c_acctbal > 9000 THEN c_custkey % 2 END AS owned FROM customer),
         g AS (SELECT c_nationkey, first(name ORDER BY c_custkey) FILTER (name IS NOT NULL) AS n1, first(bal ORDER BY c_custkey) FILTER (bal IS NOT NULL) AS b1, arg_min_null(name, c_custkey) AS n0, arg_min_null(bal, c_custkey) AS b0,
               string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS tags, count(*) AS n_merged, coalesce(min(owned) <> max(owned), false) AS conflict FROM c GROUP BY 1)

@@ -1,4 +1,4 @@
-"""Queries over small inline files: codecs and exports, which SQL cannot express."""
+"""Queries over caption, YAML and Markdown files: codecs and exports."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import folds
-from lectern.plans.tables import timed_events
+from lectern.plans.tables import EVENTS_SQL, timed_events
 from lectern.sources import blocks, captions, markdown
 
 _VTT = "WEBVTT\n\nNOTE a note\n\nSTYLE\n::cue { color: red }\n\n1\n00:01.000 --> 00:02.500 align:start\nこれは<ruby>音<rt>おと</rt></ruby>です\n<i>two</i>\n\n00:00:03.000 --> 00:00:04.000\n<b>open\n"
@@ -57,13 +57,26 @@ def low_confidence_fold(spark, d):
 
 
 def japanese_filter(spark, d):
-    rows = [(t,) for t in ("", "かな", "漢字", "latin", "口入人", "ロ", "桃[もも]を", None)]
+    rows = [(t,) for t in ("", "やま", "山川", "latin", "人日", "ロ", "森[もり]の", None)]
     df = spark.createDataFrame(rows, "text string")
     return df.select("text", T.is_japanese_text("text").alias("kept"), T.ruby("text").alias("ruby"))
 
 
 QUERIES = {f.__name__: f for f in (vtt_parse, ttml_parse, caption_export, yaml_roundtrip, markdown_export, low_confidence_fold, japanese_filter)}
 ORACLE = {
+    "vtt_parse": r"""SELECT * FROM (VALUES ('a.vtt', 1, '1', 1000000, 2500000, 'align:start', 'これは<ruby>音<rt>おと</rt></ruby>です' || chr(10) || '<i>two</i>', 'これは 音[おと]です  ' || chr(10) || 'two'),
+        ('a.vtt', 2, NULL, 3000000, 4000000, NULL, '<b>open', 'open')) t(file, ordinal, id, start_us, end_us, settings, raw, markdown)""",
+    "ttml_parse": r"""SELECT * FROM (VALUES ('a.ttml', 1, NULL, 1500000, 2500000, NULL, 'A' || chr(10) || 'B', 'A  ' || chr(10) || 'B'),
+        ('a.ttml', 2, NULL, 3000000, 6000000, NULL, 'x<ruby>音<rt>おと</rt></ruby>', 'x 音[おと]')) t(file, ordinal, id, start_us, end_us, settings, raw, markdown)""",
     "caption_export": """SELECT user_id || '.srt' AS file, count(*) AS n_cues, min(event_type) AS first_text FROM events WHERE round(value * 600) >= 1 GROUP BY user_id""",
+    "yaml_roundtrip": """WITH b AS (SELECT user_id, event_id, '{"id":"' || event_id || '","source":{"timecodes":{"start":"00:00:01.000","end":"00:00:02.000"},"note":"' || event_type || '"},"chunks":[{"text":"' || event_type || ' ' || event_id || '"}]}' AS j FROM events)
+        SELECT user_id::VARCHAR AS file, count(*) AS n_docs, md5(string_agg(j, chr(10) ORDER BY event_id)) AS md5 FROM b GROUP BY 1""",
+    "markdown_export": f"""WITH {EVENTS_SQL}, n AS (SELECT *, file || '-' || row_number() OVER w AS id, event_type = 'view' AND coalesce(lag(event_type) OVER w = 'view', false) AS again FROM ev WINDOW w AS (PARTITION BY file ORDER BY pos)),
+        m AS (SELECT file, pos, concat_ws(chr(10) || chr(10), CASE WHEN NOT again THEN '## ' || CASE event_type WHEN 'error' THEN 'note' ELSE printf('%02d:%02d:%02d', s // 3600000000, s // 60000000 % 60, s // 1000000 % 60) END END,
+          CASE WHEN event_type = 'view' AND NOT again THEN '![](images/a%20b.jpg)' END, CASE event_type WHEN 'click' THEN text ELSE text || '[^' || id || ']' END, CASE WHEN event_type <> 'click' THEN '[^' || id || ']: ref ' || event_type END,
+          CASE event_type WHEN 'purchase' THEN '<audio controls src="audio/s.mp3"></audio>' ELSE '---' END) AS t FROM n),
+        f AS (SELECT file::VARCHAR AS file, '# ' || file || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY pos) || chr(10) AS c FROM m GROUP BY m.file)
+        SELECT file, length(c) AS n_chars, md5(c) AS md5 FROM f""",
     "low_confidence_fold": "SELECT * FROM (VALUES ('ab cd', 'cd'), ('ab cd', NULL), ('ab cd', 'ab cd'), ('x', 'x'), ('ab cd tail', 'cd')) t(text, cleaned)",
+    "japanese_filter": """SELECT * FROM (VALUES ('', false, ''), ('やま', true, 'やま'), ('山川', true, '山川'), ('latin', false, 'latin'), ('人日', false, '人日'), ('ロ', false, 'ロ'), ('森[もり]の', true, '<ruby>森<rt>もり</rt></ruby>の'), (NULL, false, NULL)) t(text, kept, ruby)""",
 }

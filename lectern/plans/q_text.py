@@ -130,10 +130,9 @@ _SIG = """sig AS (SELECT label, vec_id, list_transform(embedding, lambda v: CAST
 _SIM = "(1 - len(list_filter(list_zip({0}, {1}), lambda p: p[1] <> p[2])) / 64)"
 
 
-def _scores(n: int) -> str:
-    """The search's scores in SQL for queries of the items' first n words."""
-    return rf"""WITH dt AS (SELECT doc_id, lang, {_WORDS} AS w FROM documents WHERE text <> ''), p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM dt),
-      q AS (SELECT item_id, list_slice({_WORDS}, 1, {n}) AS w FROM benchmark), qt AS (SELECT item_id, len(w) AS q_len, unnest(w) AS term, generate_subscripts(w, 1) AS qpos FROM q),
+#: The search's scores for queries of all words of the items.
+_SCORES = rf"""WITH dt AS (SELECT doc_id, lang, {_WORDS} AS w FROM documents WHERE text <> ''), p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM dt),
+      q AS (SELECT item_id, {_WORDS} AS w FROM benchmark), qt AS (SELECT item_id, len(w) AS q_len, unnest(w) AS term, generate_subscripts(w, 1) AS qpos FROM q),
       ph AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, doc_id, pos - qpos AS pos0, q_len, count(DISTINCT qpos) AS n FROM p JOIN qt USING (term) GROUP BY ALL) WHERE n = q_len),
       tf AS (SELECT term, doc_id, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
       sc AS (SELECT item_id, doc_id, round(sum(sqrt(tf) * (1 + ln((SELECT count(*) FROM dt)::DOUBLE / (df + 1))) * (1 + ln((SELECT count(*) FROM dt)::DOUBLE / (df + 1))) ) / sqrt(any_value(len(w))) * count(*) / any_value(qn), 6) AS score
@@ -153,10 +152,12 @@ ORACLE = {
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, md5(t) AS text_md5, md5(r) AS ref_md5 FROM y""",
     "nav_prev_next": """SELECT conv_id, turn, lag(role) OVER w AS previous, lead(role) OVER w AS next, (row_number() OVER w - 1) % 2 = 0 AND role = 'assistant' AS made_heading,
         CASE WHEN role = 'user' THEN CAST(sum(CAST(role = 'user' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS note_no FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
-    "subtitle_clean": r"""WITH x AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, trim(regexp_replace('{\an8}' || substr(text, 1, 30) || '{x}', '\{.*?\}', '', 'g'), ' ') AS t FROM conversations)
+    "subtitle_clean": r"""WITH x AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, trim(regexp_replace('{\an8}' || text || '{x}', '\{.*?\}', '', 'g'), ' ') AS t FROM conversations)
         SELECT conv_id, ordinal, replace(t, chr(10), '  ' || chr(10)) AS text FROM x WHERE turn <= turn * 7 % 5 AND length(t) > 1""",
-    "script_filter": r"""SELECT doc_id, CAST(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(text, '[^ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿｦ-ﾟ]', '', 'g')) AS BIGINT) AS n_kana,
-        regexp_matches(text, '[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]') AS japanese, true AS kept FROM documents""",
+    "script_filter": r"""WITH x AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '[^ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿｦ-ﾟ]', '', 'g') AS kana, regexp_replace(coalesce(text, ''), '[^一-鿿㐀-䶿]', '', 'g') AS kanji FROM documents),
+        y AS (SELECT *, length(kana) AS n, length(replace(kana, 'ロ', '')) AS sure, length(regexp_replace(kanji, '[口入人日]', '', 'g')) AS han FROM x)
+        SELECT doc_id, CAST(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS BIGINT) AS n_upper, CAST(n AS BIGINT) AS n_kana, coalesce(regexp_matches(text, '[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]'), false) AS japanese,
+               sure > 1 OR (sure > 0 AND n > 1) OR han > 0 AS kept FROM y""",
     "ruby_markup": r"""WITH p AS (SELECT p_partkey, regexp_replace(p_name, ' ', '[x] ', 'g') || '[yz] end' AS raw FROM part)
         SELECT p_partkey, regexp_replace(raw, ' ?([a-z]+)\[([a-z]+)\]', '<ruby>\1<rt>\2</rt></ruby>', 'g') AS html, regexp_replace(raw, ' ?([a-z]+)\[([a-z]+)\]', '\1', 'g') AS plain FROM p""",
     "html_extract": """WITH x AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)
@@ -169,7 +170,7 @@ ORACLE = {
         SELECT label, vec_id, grp::VARCHAR AS grp, candidate::VARCHAR AS candidate, round(sim, 6) AS similarity FROM f""",
     "hash_similarity_topk": f"""WITH {_SIG}, p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, {_SIM.format("x.b", "y.b")} AS s FROM sig x JOIN sig y ON x.label = y.label AND x.vec_id <> y.vec_id)
         SELECT label, a, b, round(s, 6) AS similarity, row_number() OVER (PARTITION BY label, a ORDER BY s DESC, b) AS rank FROM p WHERE s >= 0.75 QUALIFY rank <= 3""",
-    "phrase_search": _scores(6) + " SELECT item_id, doc_id, phrase, score FROM rk WHERE rank <= 10",
-    "search_link_top1": _scores(12) + " SELECT b.item_id, rk.doc_id AS linked_doc, lang AS linked_lang FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id AND rank = 1 LEFT JOIN documents d ON d.doc_id = rk.doc_id",
+    "phrase_search": _SCORES + " SELECT item_id, doc_id, phrase, score FROM rk WHERE rank <= 10",
+    "search_link_top1": _SCORES + " SELECT b.item_id, rk.doc_id AS linked_doc, lang AS linked_lang FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id AND rank = 1 LEFT JOIN documents d ON d.doc_id = rk.doc_id",
     "ordered_subjects": """SELECT l_orderkey, count(s_name) AS n, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS names FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey * 2 GROUP BY 1""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import os
 
 import duckdb
@@ -21,9 +22,12 @@ def canonical(columns: list[str], rows: list[tuple]) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda k: columns[k])
 
     def value(v):
-        if isinstance(v, float):
-            return "nan" if v != v else f"{v:.6g}"
-        return "" if v is None else f"{v:.6g}" if isinstance(v, int) and abs(v) < 10**6 and not isinstance(v, bool) else str(v)
+        """A text that tells null from empty and keeps nine digits of fractions: sums come in any order."""
+        if v is None:
+            return "\0null"
+        if isinstance(v, (float, decimal.Decimal)):
+            return "nan" if v != v else f"{float(v):.9g}"
+        return f"{v:.9g}" if isinstance(v, int) and abs(v) < 10**9 and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(value(r[k]) for k in order) for r in rows)
 
