@@ -1,7 +1,8 @@
 """Line dedup: boilerplate is what many distinct sites repeat.
 
-A HyperLogLog sketch of the sites is kept for each line hash; sketches merge by aggregation. Lines whose
-estimate is near the threshold get an exact count of sites before anything is removed.
+Lines that are frequent enough get a HyperLogLog sketch of their sites for each line hash: the sketches of a
+task's lines merge before anything is shuffled. Only lines whose estimate is near the threshold are paired with
+their sites, for an exact count; estimates beyond that band decide alone.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import BROADCAST_IDS, by_top, stored
 
 MIN_SITES = 10
 MIN_CHARS = 10
@@ -23,33 +24,41 @@ def _row(id_col: str, text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """(line, site, doc, row): the hash of each trimmed line that is long enough. ``row`` tells texts of rows
-    without an id apart and is empty for the others."""
+    """(line, site, doc, row): the hash of each trimmed line that is long enough; a null site stays null.
+    ``row`` tells texts of rows without an id apart and is empty for the others."""
     hashes = F.transform(
         F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= min_chars), lambda x: F.xxhash64(x)
     )
+    site = F.when(F.col(site_col).isNotNull(), F.xxhash64(F.col(site_col)))
     # The row's key is made before the lines are exploded, so that no line carries its whole text along.
-    keyed = docs.withColumn("__row", _row(id_col, text_col))
-    return keyed.select(F.explode(hashes).alias("line"), F.xxhash64(F.col(site_col)).alias("site"), F.col(id_col).cast("long").alias("doc"), F.col("__row").alias("row"), F.col(site_col).isNotNull().alias("known"))
+    keyed = docs.select(hashes.alias("__hashes"), site.alias("site"), F.col(id_col).cast("long").alias("doc"), _row(id_col, text_col).alias("row"))
+    return keyed.select(F.explode("__hashes").alias("line"), "site", "doc", "row")
 
 
-def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(line, first_doc) of the lines on ``min_sites`` distinct sites or more.
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(line, n, first_doc) of stored lines (line, site, doc): those on ``min_sites`` distinct sites or more, how often each occurs, and the
+    smallest id of its documents.
 
-    Three steps over less and less: lines that occur fewer than ``min_sites`` times, or on one site,
-    cannot qualify; the rest get sketches; those near the threshold get exact counts.
+    No row of a line is shuffled by the line alone: what is, are partial counts and partial sketches, one for
+    each task. Lines that occur fewer than ``min_sites`` times need no sketch, and only those near the threshold
+    need pairs of line and site; either are chosen by broadcast. Were the chosen lines too many for that, all
+    lines would get sketches, and the distinct pairs of all would be joined.
     """
-    lines = _lines(docs, id_col, text_col, site_col, min_chars)
-    seen = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"), F.min("doc").alias("first_doc"))
-    often = stored(seen.where((F.col("n") >= min_sites) & (F.col("a") != F.col("b"))).select("line", "first_doc"), "often")
-    # One row for each line and site, so that later steps see no hot line; the partial counts merge before the shuffle.
-    pairs = stored(lines.where("known").join(often.select("line"), "line", "left_semi").groupBy("line", "site").agg(F.count("*").alias("n")), "line-sites")
-    spread = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-    spread = stored(spread.where(F.col("sites") >= min_sites * (1 - BAND)), "line-spread")
-    far = spread.where(F.col("sites") > min_sites * (1 + BAND)).select("line")
-    near = spread.where(F.col("sites") <= min_sites * (1 + BAND)).select("line")
-    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
-    return often.join(far.unionByName(exact), "line", "left_semi")
+    often = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"))
+    often = stored(often.where(F.col("n") >= min_sites), "often")
+    some = lines.join(F.broadcast(often.select("line")), "line", "left_semi") if often.count() <= BROADCAST_IDS else lines
+    sketches = some.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    spread = stored(often.join(sketches.where(F.col("sites") >= min_sites * (1 - BAND)), "line"), "line-spread")
+    near = F.col("sites") <= min_sites * (1 + BAND)
+    far, close = spread.where(~near).drop("sites"), spread.where(near).drop("sites")
+    n_close = close.count()
+    if not n_close:
+        return far
+    pairs = lines.where("site is not null").select("line", "site")
+    few = n_close <= BROADCAST_IDS
+    pairs = pairs.join(F.broadcast(close.select("line")), "line", "left_semi").distinct() if few else pairs.distinct().join(close.select("line"), "line", "left_semi")
+    exact = pairs.groupBy("line").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
+    return far.unionByName(close.join(exact.select("line"), "line", "left_semi"))
 
 
 def without_boilerplate(
@@ -64,18 +73,23 @@ def without_boilerplate(
     Null sites don't count as a site, rows with a null id keep no first occurrence and so lose every such line, and
     rows that repeat an id share its first occurrences. An empty table stays empty.
     """
-    bad = stored(boilerplate(docs, id_col, text_col, site_col, min_sites, min_chars), "boilerplate")
-    hits = _lines(docs, id_col, text_col, site_col, min_chars).select("line", "doc", "row").join(bad, "line")
+    # Hashes of lines are a small part of the texts: texts are taken apart once, and all counts read these.
+    lines = stored(_lines(docs, id_col, text_col, site_col, min_chars), "lines")
+    bad = stored(boilerplate(lines, min_sites), "boilerplate")
+    hits = by_top(lines.select("line", "doc", "row"), bad, ["line"], "n")
     is_first = F.coalesce(F.col("doc") == F.col("first_doc"), F.lit(False))
     # Rows without an id have their text's digest as key; the others have none, so that the two never meet.
-    per_doc = hits.groupBy(F.coalesce("doc", F.lit(0)).alias("__doc"), F.col("row").alias("__row")).agg(
+    per_doc = hits.groupBy(F.coalesce("doc", F.lit(0)).alias("__doc"), F.col("row").alias("__key")).agg(
         F.collect_set(F.when(~is_first, F.col("line"))).alias("__drop"),
         F.collect_set(F.when(is_first, F.col("line"))).alias("__first"),
     )
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(per_doc, (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col("__doc")) & (_row(id_col, text_col) == F.col("__row")), "left")
+    others = [c for c in kept if c != text_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row") if others else F.lit(0).alias("__row"), F.col(text_col).alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__doc"), _row(id_col, text_col).alias("__key"))
+    # A null text has no key; it has no lines either.
+    joined = rows.join(per_doc, ["__doc", "__key"], "left")
     none = F.array().cast("array<bigint>")
-    lines = F.split(F.col(text_col), "\n")
+    lines = F.split("__text", "\n")
     trimmed = F.transform("__lines", lambda x: F.btrim(x, F.lit(" \t\r")))
     hashes = F.transform(trimmed, lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(x)))
     drop = F.when(F.size("__drop") > 0, F.transform("__hash", lambda h: F.coalesce(F.array_contains("__drop", h), F.lit(False))))
@@ -92,10 +106,10 @@ def without_boilerplate(
         .withColumn("__gone", F.when(touched, either))
     )
     left = F.array_join(F.transform(F.filter(F.arrays_zip("__lines", "__gone"), lambda p: ~p["__gone"]), lambda p: p["__lines"]), "\n")
-    text = F.when(F.col("__gone").isNotNull() & F.exists("__gone", lambda g: g), left).otherwise(F.col(text_col))
+    text = F.when(F.col("__gone").isNotNull() & F.exists("__gone", lambda g: g), left).otherwise(F.col("__text"))
     removed = F.coalesce(F.size(F.filter("__gone", lambda g: g)), F.lit(0))
-    out = {c: (text if c == text_col else F.col(f"`{c}`")) for c in kept}
-    return marked.select(*[e.alias(c) for c, e in out.items()], F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(removed, F.lit(0)).cast("long").alias("n_removed"))
+    out = [(text if c == text_col else F.col("__row").getField(c)).alias(c) for c in kept]
+    return marked.select(*out, F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(removed, F.lit(0)).cast("long").alias("n_removed"))
 
 
 ORACLE = f"""
