@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a Python worker gets at once.
+ROWS_PER_BATCH = 1_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; on a cluster
     that would be a folder of each machine's own, so it is an error."""
@@ -25,17 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what was stored at a path, once nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet below the shared folder and reads it back: lineage ends here, and the
     table outlives the executors that wrote it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    # Nothing reads this job's shuffle files after it: they go at once, so steps don't add up on disk.
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    path = path or scratch_path(spark, name)
+    # Nothing reads this job's shuffle files after it: they go at once, so steps don't add up on disk. Python workers
+    # get whole texts, so few at a time.
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", rows: str(min(ROWS_PER_BATCH, int(spark.conf.get(rows)) or ROWS_PER_BATCH))}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
