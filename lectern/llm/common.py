@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators._store import shared_folder, stored  # noqa: F401
+from lectern.operators._store import removed, scratch_path, shared_folder, stored  # noqa: F401
 
 #: Bytes of text that one vectorised step works on. Longer texts are steps of their own, which work through
 #: them in pieces of this size.

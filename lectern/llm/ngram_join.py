@@ -6,26 +6,39 @@ prefixes are joined. A list of all documents with one prefix gram is not expande
 document is first compared with the list's hub, and what hubs link forms components; then pairs of
 different components are compared, as far as the length, positional and suffix filters let them pass.
 So every pair that could join two components is verified, and none within a component needs to be.
+
+A list in which many documents are outside the hub's component, as those of a passage that unlike documents
+share, would still make a square of pairs. Its gram is no rare one, whatever the counters say: its documents are
+joined anew with such grams ranked last, which moves the passage out of their prefixes. Any order of grams
+finds all links, so the rank is a matter of speed alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, by_group, mixed, prefix_hashes, restricted, slices, span_hashes, stored, text_buffer
+from lectern.llm.common import BROADCAST_IDS, SPACES, by_group, mixed, restricted, salts, slices, sparse_span_hashes, split_plan, stored, text_buffer
 from lectern.llm.components import connected
 
 N = 5
 #: The threshold as a fraction, so that comparisons stay in integers.
 NUM, DEN = 75, 100
-#: Counters of the frequency sketch: 4 MB, whatever the size of the corpus.
+#: Counters of the frequency sketch: 4 MB, whatever the size of the corpus. Grams that it takes for rare and that
+#: turn out to be frequent are ranked last by their lists.
 SKETCH_BITS = 20
 SLOTS = 64
+#: Documents outside the hub's component that a list's others are compared with at most, before its gram is ranked last.
+OUTSIDERS = 1_000
+#: Lists of more rows than this, as the planning sample has it, are made in groups.
+GROUP_ROWS = 8_000
+#: One document in so many plans which lists are split. It decides the layout only, never a result.
+SAMPLE = 64
 #: Hash ranges of the suffix filter.
 RANGES = 16
 
@@ -50,7 +63,7 @@ def gram_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
         finishes = inside.copy()
         finishes[:-1] &= ~inside[1:] | begins[1:]
         starts, ends = np.nonzero(begins)[0], np.nonzero(finishes)[0] + 1
-        words = span_hashes(prefix_hashes(low), starts, ends)
+        words = sparse_span_hashes(low, starts, ends)
         first = np.searchsorted(starts, bounds)
         grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
         for j in range(n):
@@ -78,10 +91,27 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-n * num // den) + 1
 
 
-def rare_first(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` rarest grams by the corpus counts of their buckets; ties by hash. It is one order for
-    all documents, which is what prefix filtering needs; the rarer its front, the fewer candidates."""
-    return grams[np.lexsort((grams, counts[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.intp)]))[:size]]
+@dataclass(frozen=True)
+class Late:
+    """Grams that are ranked after all others, and among themselves by how many documents have them."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+
+    def rank(self, grams: np.ndarray) -> np.ndarray:
+        """0 for a gram that isn't late."""
+        at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
+        return np.where(self.grams[at] == grams, self.counts[at], 0) if len(self.grams) else np.zeros(len(grams), np.int64)
+
+
+NONE = Late(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def rare_first(grams: np.ndarray, counts: np.ndarray, size: int, late: Late = NONE) -> np.ndarray:
+    """The ``size`` rarest grams by the corpus counts of their buckets, ties by hash, late ones after all
+    others. It is one order for all documents, which is what prefix filtering needs; the rarer its front, the
+    fewer candidates."""
+    return grams[np.lexsort((grams, counts[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.intp)], late.rank(grams)))[:size]]
 
 
 def _profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
@@ -123,8 +153,8 @@ def _profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("slot is null").select("doc", "n", "d1", "d2", "ranges"), np.minimum(counts.ravel(), 2**31 - 1).astype(np.int32)
 
 
-def _postings(docs: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
-    """(gram, doc, pos, size) for the prefix of each document; of equal sets in a batch only the first."""
+def _postings(docs: DataFrame, counts: np.ndarray, n: int, late: Late, split: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """(gram, salt, doc, pos, size) for the prefix of each document; of equal sets in a batch only the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,12 +164,32 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
                 if doc is None or not len(grams) or digest in known:
                     continue
                 known.add(digest)
-                front = rare_first(grams, counts, prefix_length(len(grams)))
-                out.append((front.view(np.int64), np.full(len(front), doc, np.int64), np.arange(len(front), dtype=np.int32), np.full(len(front), len(grams), np.int32)))
+                front = rare_first(grams, counts, prefix_length(len(grams)), late)
+                out.append((front, np.full(len(front), doc, np.int64), np.arange(len(front), dtype=np.int32), np.full(len(front), len(grams), np.int32)))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["gram", "doc", "pos", "size"])
-
-    return docs.mapInArrow(run, "gram long, doc long, pos int, size int")
+                gram, doc, pos, size = (np.concatenate(c) for c in zip(*out, strict=True))
+                salt = salts(gram, doc, split, parts).astype(np.int32)
+                yield pa.record_batch([pa.array(c) for c in (gram.view(np.int64), salt, doc, pos, size)], names=["gram", "salt", "doc", "pos", "size"])
+
+    return docs.mapInArrow(run, "gram long, salt int, doc long, pos int, size int")
+
+
+def _lists(docs: DataFrame, counts: np.ndarray, n: int, late: Late, group_rows: int, sample: int) -> DataFrame:
+    """The lists of at least two documents, (gram, doc, pos, size, own, hub): each row with the hub of its list,
+    and its group's own hub if the list is split. A hub is where the gram comes earliest, so that the fewest
+    rare grams set it apart."""
+    none = np.zeros(0, np.uint64)
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0)
+    split, parts = split_plan(_postings(some, counts, n, late, none, none), group_rows, sample)
+    group = Window.partitionBy("gram", "salt")
+    rows = _postings(docs, counts, n, late, split, parts).withColumns({"own": F.min(F.struct("pos", "doc", "size")).over(group), "n": F.count("*").over(group)})
+    rows = stored(rows.where("n > 1 or salt >= 0").drop("n"), "gram-lists")
+    whole = rows.where("salt < 0").withColumn("hub", F.col("own"))
+    if not (parts > 1).any():
+        return whole.drop("salt")
+    # At most SPLIT_KEYS lists are split.
+    tops = rows.where("salt >= 0").groupBy("gram").agg(F.min("own").alias("hub"))
+    return whole.unionByName(rows.where("salt >= 0").join(F.broadcast(tops), "gram")).drop("salt")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -184,13 +234,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, name:
     return stored(held.where(DEN * common >= NUM * (F.size("as_") + F.size("bs") - common)).select("a", "b"), f"{name}-links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
+def _crossing(part: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of different components that one of the lists in ``part`` (gram, doc, pos, size,
+    component, outside) has and that the length and positional filters let pass: documents outside the hub's
+    component meet all others of a fitting size."""
+    bucket = lambda size: F.floor(F.log(size) / F.log(F.lit(1.05))).cast("int")
+    highest = F.least(F.col("size") * DEN / NUM, (F.col("size") - F.col("pos")) * ((NUM + DEN) / NUM) - F.col("size"))
+    left = part.where(F.col("outside") & (highest >= F.col("size") * NUM / DEN)).select(
+        "gram", *[F.col(c).alias(f"l_{c}") for c in ("doc", "pos", "size", "component")], F.explode(F.sequence(bucket(F.col("size") * NUM / DEN), bucket(highest + 1e-6))).alias("bucket")
+    )
+    right = part.withColumn("bucket", bucket(F.col("size")))
+    met = left.join(right, ["gram", "bucket"]).where((F.col("component") != F.col("l_component")) & (~F.col("outside") | (F.col("doc") > F.col("l_doc"))) & _passes("size", "l_size", "pos", "l_pos"))
+    return met.select(F.least("doc", "l_doc").alias("a"), F.greatest("doc", "l_doc").alias("b"))
+
+
+def _frequent(docs: DataFrame, n: int, least: int) -> Late:
+    """The grams that more than ``least`` of these documents have, the most frequent BROADCAST_IDS of them at
+    most: which grams are late affects no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams in gram_sets(batch.column(0), n):
+                yield pa.record_batch([pa.array(grams.view(np.int64))], names=["gram"])
+
+    counts = docs.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    rows = sorted((r["gram"] & (1 << 64) - 1, r["n"]) for r in counts.orderBy(F.col("n").desc(), "gram").limit(BROADCAST_IDS).collect())
+    return Late(np.array([g for g, _ in rows], np.uint64), np.array([k for _, k in rows], np.int64))
+
+
+def _candidates(lists: DataFrame, texts: DataFrame, named: DataFrame, counts: np.ndarray, n: int, outsiders: int, group_rows: int, sample: int) -> DataFrame:
+    """Pairs (a, b) that may join components. Lists with more than ``outsiders`` documents outside the hub's
+    component aren't joined. Their documents' grams are counted instead, and their lists made anew with grams
+    that more than ``outsiders`` of them have ranked last; these lists are joined as they are."""
+    of = lambda d, c: named.select(F.col("doc").alias(d), F.col("component").alias(c))
+
+    def parts(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        part = lists.select("gram", "doc", "pos", "size", F.col("hub.doc").alias("hub")).join(of("doc", "component"), "doc").join(of("hub", "hub_component"), "hub")
+        part = stored(part.select("gram", "doc", "pos", "size", "component", (F.col("component") != F.col("hub_component")).alias("outside")), "gram-parts")
+        return part, part.groupBy("gram").agg(F.count_if("outside").alias("k")).where("k > 0")
+
+    part, several = parts(lists)
+    several = stored(several, "gram-several")
+    long = several.where(F.col("k") > outsiders)
+    crossed = _crossing(part.join(several.where(F.col("k") <= outsiders).select("gram"), "gram", "left_semi"))
+    if not long.isEmpty():
+        ids = stored(part.join(long.select("gram"), "gram", "left_semi").select(F.col("doc").alias("__need")).distinct(), "gram-again")
+        again = stored(restricted(texts, ids, F.col("doc") == F.col("__need"), "left_semi"), "gram-again-texts")
+        part, several = parts(_lists(again, counts, n, _frequent(again, n, outsiders), group_rows, sample))
+        crossed = crossed.unionByName(_crossing(part.join(several.select("gram"), "gram", "left_semi")))
+    return crossed.distinct()
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, outsiders: int = OUTSIDERS, group_rows: int = GROUP_ROWS, sample: int = SAMPLE
+) -> DataFrame:
     """A row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     A-Z are lower-cased; words are what spaces, tabs and line ends separate. Texts without words, and
     null texts, have empty sets and link with nothing. Equal sets link without comparison. Rows that
     repeat an id share its links; a row without id links with nothing and has component_id null. An
-    empty table gives no rows. Sets are compared as 64-bit hashes of their n-grams.
+    empty table gives no rows. Sets are compared as 64-bit hashes of their n-grams. ``outsiders``, ``group_rows``
+    and ``sample`` affect speed only.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     profile, counts = _profile(texts, n)
@@ -198,35 +302,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "gram-classes")
     reps = stored(by_group(some, classes, ["d1", "d2"], "copies").select("doc", "n", "ranges", "rep"), "gram-reps")
 
-    # Lists of at least two documents, each row with its list's hub: the one where the gram comes earliest, so that the fewest rare grams set it apart.
-    order = Window.partitionBy("gram").orderBy("pos", "doc")
-    lists = (
-        _postings(texts, counts, n)
-        .withColumn("hub", F.first(F.struct("doc", "pos", "size")).over(order))
-        .withColumn("next", F.lead("doc").over(order))
-        .where("next is not null or doc <> hub.doc or pos <> hub.pos")
-        .select("gram", "doc", "pos", "size", F.col("hub.doc").alias("hub"), F.col("hub.pos").alias("hpos"), F.col("hub.size").alias("hsize"))
-    )
-    lists = stored(lists, "gram-lists")
-    spokes = lists.where((F.col("doc") != F.col("hub")) & _passes("size", "hsize", "pos", "hpos")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    first = connected(_verified(spokes, texts, reps, n, "spoke"))
+    lists = _lists(texts, counts, n, NONE, group_rows, sample)
+    met = lambda hub: (F.col("doc") != F.col(hub)["doc"]) & _passes("size", f"{hub}.size", "pos", f"{hub}.pos")
+    spoke = lambda hub: lists.where(met(hub)).select(F.col(hub)["doc"].alias("a"), F.col("doc").alias("b"))
+    # A split list's documents meet their group's hub, and these hubs, like all others, the list's.
+    inner = lists.where("own.doc = doc").where(met("hub")).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"))
+    first = connected(_verified(spoke("own").unionByName(inner).distinct(), texts, reps, n, "spoke"))
     named = stored(
         reps.select("doc", "rep").distinct().join(first, F.col("rep") == F.col("node"), "left").select("doc", "rep", F.coalesce("component", "rep").alias("component")), "gram-components"
     )
 
-    # What is left: lists that hold several components. Members outside the hub's component meet all others of a fitting size.
-    part = lists.join(named.select("doc", "component"), "doc").join(named.select(F.col("doc").alias("hub"), F.col("component").alias("hub_component")), "hub")
-    part = stored(part.select("gram", "doc", "pos", "size", "component", (F.col("component") != F.col("hub_component")).alias("outside")), "gram-parts")
-    several = part.groupBy("gram").agg(F.max("outside").alias("o")).where("o").select("gram")
-    part = part.join(several, "gram", "left_semi")
-    bucket = lambda size: F.floor(F.log(size) / F.log(F.lit(1.05))).cast("int")
-    highest = F.least(F.col("size") * DEN / NUM, (F.col("size") - F.col("pos")) * ((NUM + DEN) / NUM) - F.col("size"))
-    left = part.where(F.col("outside") & (highest >= F.col("size") * NUM / DEN)).select(
-        "gram", *[F.col(c).alias(f"l_{c}") for c in ("doc", "pos", "size", "component")], F.explode(F.sequence(bucket(F.col("size") * NUM / DEN), bucket(highest + 1e-6))).alias("bucket")
-    )
-    right = part.withColumn("bucket", bucket(F.col("size")))
-    met = left.join(right, ["gram", "bucket"]).where((F.col("component") != F.col("l_component")) & (~F.col("outside") | (F.col("doc") > F.col("l_doc"))) & _passes("size", "l_size", "pos", "l_pos"))
-    crossed = met.select(F.least("doc", "l_doc").alias("a"), F.greatest("doc", "l_doc").alias("b")).distinct()
+    crossed = _candidates(lists, texts, named.select("doc", "component").distinct(), counts, n, outsiders, group_rows, sample)
     bridges = _verified(crossed, texts, reps, n, "bridge")
     of = lambda s: named.select(F.col("doc").alias(s), F.col("component").alias(f"{s}c")).distinct()
     joined = connected(bridges.join(of("a"), "a").join(of("b"), "b").select(F.col("ac").alias("a"), F.col("bc").alias("b"))).withColumnRenamed("component", "whole")
