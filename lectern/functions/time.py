@@ -40,16 +40,21 @@ def vtt_time(x: Column | str) -> Column:
     return F.when(F.trim(_c(x)).rlike(pattern), total)
 
 
+def _known(us: Column | str, pattern: str, *parts: Column) -> Column:
+    """The formatted parts of a time; null stays null, which format_string would spell out."""
+    return F.when(_c(us).isNotNull(), F.format_string(pattern, *parts))
+
+
 def format_vtt(us: Column | str, comma: bool = False) -> Column:
     """``HH:MM:SS.mmm``, or with a comma as SRT has it."""
     ms = F.floor(_c(us) / 1000)
-    return F.format_string("%02d:%02d:%02d" + ("," if comma else ".") + "%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    return _known(us, "%02d:%02d:%02d" + ("," if comma else ".") + "%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
 def format_clock(us: Column | str) -> Column:
     """``HH:MM:SS`` by total hours, truncated."""
     s = F.floor(_c(us) / SECOND)
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    return _known(us, "%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
 def overlap(s: Column | str, e: Column | str, s2: Column | str, e2: Column | str) -> Column:

@@ -57,6 +57,17 @@ def acyclic_paths(edges: DataFrame, roots: DataFrame, parent: str = "parent", ch
     return found if found is not None else roots.limit(0).select(F.col(node).alias("root"), F.col(node).alias("parent"), F.col(node).alias("child"), F.lit(0).alias("depth"), F.lit(False).alias("dashed"))
 
 
+def linked(volumes: DataFrame, moniker: str = "moniker", links: str = "linkedVolumes") -> DataFrame:
+    """(moniker, link_no, linked): each volume's linked volumes that exist, in the order of its list."""
+    named = volumes.select(F.col(moniker).alias("linked"))
+    return volumes.select(F.col(moniker).alias("moniker"), F.posexplode(links).alias("link_no", "linked")).join(named, "linked", "left_semi").select("moniker", "link_no", "linked")
+
+
+def renamed(edges: DataFrame, root: str = "root", child: str = "child") -> DataFrame:
+    """Edges whose child has the name of its own root under another name: so the two are different nodes."""
+    return edges.withColumn(child, F.when(F.col(root) == F.col(child), F.concat(F.col(child).cast("string"), F.lit("'"))).otherwise(F.col(child).cast("string")))
+
+
 def workflow_edges(operations: DataFrame, name: str = "name", inputs: str = "inputs", outputs: str = "outputs") -> DataFrame:
     """(source, target): inputs to their operation, operations to their outputs."""
     into = operations.select(F.explode(inputs).alias("source"), F.col(name).alias("target"))

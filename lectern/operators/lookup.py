@@ -110,6 +110,11 @@ def ordered_lookup(left: DataFrame, id_col: str, list_col: str, table: DataFrame
     return left.join(met.select(F.col(id_col), F.transform("__v", lambda v: v[value]).alias(name)), id_col, "left").withColumn(name, F.coalesce(name, empty))
 
 
+def or_default(left: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
+    """Left rows with the table's value for their key, the default where it has none."""
+    return left.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+
+
 def newer(source: DataFrame, target: DataFrame, key: str, mtime: str = "mtime") -> DataFrame:
     """Source rows that the target lacks or has of an earlier time."""
     t = target.select(key, F.col(mtime).alias("__t"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import folds, intervals, lookup, search
 from lectern.sources import blocks as B
+from lectern.sources import markdown
 
 
 def flat_blocks(content: DataFrame) -> DataFrame:
@@ -62,14 +63,55 @@ def transform_content(content: DataFrame, name: str, **options) -> DataFrame:
     return content.withColumn("block", b.withField("chunks", chunks))
 
 
-def import_media(content: DataFrame, media: DataFrame, files: DataFrame) -> DataFrame:
-    """Images and audio by the block's ordinal, else by its first reference's."""
+def markdown_rows(content: DataFrame) -> DataFrame:
+    """Blocks as ``markdown.render`` takes them."""
+    b, start = F.col("block"), B.block_times("block")[0]
+    timed = F.filter(F.array_sort(F.map_entries(b["references"])), lambda e: e["value"]["source"]["timecodes"]["start"].isNotNull())
+    first = F.get(timed, F.lit(0))["value"]
+    chunk = lambda c: F.struct(c["text"].alias("text"), F.map_filter(F.transform_values(c["references"], lambda _, v: v["text"]), lambda _, v: v.isNotNull()).alias("references"))
+    return content.select(
+        T.base_name("file").alias("file"), "pos", b["source"]["note"].alias("note"), b["source"]["resource"].alias("resource"), start.alias("start_us"), F.col("pos").alias("__pos"), first.alias("__first"), b["image"]["name"].alias("image"), b["image"]["group"]["name"].alias("image_group"),
+        b["audio"]["name"].alias("audio"), F.transform(b["chunks"], chunk).alias("chunks"),
+    ).withColumn("ref_start_us", B.block_times("__first")[0]).drop("__pos", "__first")
+
+
+def subtitle_cues(content: DataFrame, include_ref: str | None = None, extend_ms: int = 0, extraction: bool = False) -> DataFrame:
+    """Cues (file, cue_start, cue_end, cue_text) of blocks. With ``extraction`` a cue's text is its media key,
+    base|ordinal or base|reference|ordinal, else it is the plain text of the chunks."""
+    b, base = F.col("block"), T.base_name("file")
+    start, end = B.block_times("block")
+    joined = lambda texts: T.combined(texts, "  \n")
+    rows = content.select("file", "pos", start.alias("start_us"), end.alias("end_us"), joined(F.transform(b["chunks"], lambda c: c["text"])).alias("text"), b["source"]["ordinal"].alias("own"), b["chunks"].alias("chunks"), F.try_element_at(b["references"], F.lit(include_ref or "")).alias("ref"))
+    ref_start, ref_end = B.block_times("ref")
+    rows = rows.withColumns({"ref_start_us": ref_start, "ref_end_us": ref_end, "ref_text": joined(F.transform("chunks", lambda c: F.try_element_at(c["references"], F.lit(include_ref or ""))["text"])), "base": base})
+    if extraction:
+        key = lambda *parts: F.concat_ws("|", "base", *parts)
+        rows = rows.withColumns({"text": F.when(F.trim("text") != "", key(F.col("own").cast("string"))), "ref_text": F.when(F.trim("ref_text") != "", key(F.lit(include_ref), F.col("ref.source.ordinal").cast("string")))})
+    cues = intervals.cues_of_blocks(rows, include_ref=include_ref is not None, extend_us=extend_ms * 1000)
+    text = F.col("cue_text") if extraction else F.regexp_replace(markdown.markdown_to_plain("cue_text"), r"\n$", "")
+    return cues.select(F.concat("base", F.lit(".srt")).alias("file"), "cue_start", "cue_end", text.alias("cue_text"))
+
+
+def linked_blocks(content: DataFrame, index: search.Index, name: str, tokens=search.cjk_tokens) -> tuple[DataFrame, DataFrame]:
+    """Blocks whose chunks have the text of their best hit as reference ``name``, and the totals of ``link_content``."""
+    links, totals = link_content(content, index, name, tokens)
+    each = links.groupBy("file", "pos").agg(F.map_from_entries(F.collect_list(F.when(F.col("references").isNotNull(), F.struct("chunk_no", F.try_element_at("references", F.lit(name)))))).alias("__found"))
+    met = content.join(each, ["file", "pos"], "left")
+    kind = dict(content.select(F.get("block.chunks", F.lit(0))["references"].alias("r")).dtypes)["r"]
+    added = lambda i: F.from_json(F.to_json(F.create_map(F.lit(name), F.struct(F.try_element_at("__found", i).alias("text")))), kind)
+    none = F.from_json(F.lit("{}"), kind)
+    chunk = lambda c, i: F.when(F.try_element_at("__found", i).isNotNull(), c.withField("references", F.map_concat(F.map_filter(F.coalesce(c["references"], none), lambda k, _: k != name), added(i)))).otherwise(c)
+    return met.withColumn("block", F.col("block").withField("chunks", F.transform("block.chunks", chunk))).drop("__found"), totals
+
+
+def import_media(content: DataFrame, media: DataFrame, files: DataFrame, image_prefix: str = "", audio_prefix: str = "") -> DataFrame:
+    """Images and audio by the block's ordinal, else by its first reference's; names get a prefix."""
     rows = content.withColumn("base", T.base_name("file"))
     refs = F.array_sort(F.map_entries("block.references"))
     first = F.get(F.filter(refs, lambda e: e["value"]["source"]["ordinal"].isNotNull()), F.lit(0))
     own = F.col("block.source.ordinal")
     rows = rows.withColumns({"ref": F.when(own.isNull(), first["key"]), "ordinal": F.coalesce(own, first["value"]["source"]["ordinal"])})
-    met = lookup.import_media(rows, media, files)
+    met = lookup.import_media(rows, media, files).withColumns({"image": F.concat(F.lit(image_prefix), "image"), "audio": F.concat(F.lit(audio_prefix), "audio")})
     block = F.col("block").withField("image", F.when(F.col("image").isNotNull(), F.struct(F.col("image").alias("name"), F.col("block.image.group").alias("group"), F.col("block.image.groupCandidate").alias("groupCandidate"))).otherwise(F.col("block.image")))
     block = block.withField("audio", F.when(F.col("audio").isNotNull(), F.struct(F.col("audio").alias("name"))).otherwise(F.col("block.audio")))
     return met.select("file", "pos", block.alias("block"))

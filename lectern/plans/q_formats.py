@@ -47,7 +47,7 @@ def markdown_export(spark, d):
         F.when(F.col("event_type") == "view", F.lit("a b.jpg")).alias("image"), F.lit(None).cast("string").alias("image_group"), F.when(F.col("event_type") == "purchase", F.lit("s.mp3")).alias("audio"), F.array(F.struct("text", refs.alias("references"))).alias("chunks"),
     )
     files = markdown.markdown_files(rows, markdown.Style(references="footnotes"))
-    return files.select("file", F.length("content").alias("n_chars"), F.md5("content").alias("md5"))
+    return files.select("file", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("md5"))
 
 
 def low_confidence_fold(spark, d):
@@ -64,9 +64,9 @@ def japanese_filter(spark, d):
 
 QUERIES = {f.__name__: f for f in (vtt_parse, ttml_parse, caption_export, yaml_roundtrip, markdown_export, low_confidence_fold, japanese_filter)}
 ORACLE = {
-    "vtt_parse": r"""SELECT * FROM (VALUES ('a.vtt', 1, '1', 1000000, 2500000, 'align:start', 'これは<ruby>音<rt>おと</rt></ruby>です' || chr(10) || '<i>two</i>', 'これは 音[おと]です  ' || chr(10) || 'two'),
+    "vtt_parse": r"""SELECT file, ordinal, id, start_us::BIGINT AS start_us, end_us::BIGINT AS end_us, settings, raw, markdown FROM (VALUES ('a.vtt', 1, '1', 1000000, 2500000, 'align:start', 'これは<ruby>音<rt>おと</rt></ruby>です' || chr(10) || '<i>two</i>', 'これは 音[おと]です  ' || chr(10) || 'two'),
         ('a.vtt', 2, NULL, 3000000, 4000000, NULL, '<b>open', 'open')) t(file, ordinal, id, start_us, end_us, settings, raw, markdown)""",
-    "ttml_parse": r"""SELECT * FROM (VALUES ('a.ttml', 1, NULL, 1500000, 2500000, NULL, 'A' || chr(10) || 'B', 'A  ' || chr(10) || 'B'),
+    "ttml_parse": r"""SELECT file, ordinal, id::VARCHAR AS id, start_us::BIGINT AS start_us, end_us::BIGINT AS end_us, settings::VARCHAR AS settings, raw, markdown FROM (VALUES ('a.ttml', 1, NULL, 1500000, 2500000, NULL, 'A' || chr(10) || 'B', 'A  ' || chr(10) || 'B'),
         ('a.ttml', 2, NULL, 3000000, 6000000, NULL, 'x<ruby>音<rt>おと</rt></ruby>', 'x 音[おと]')) t(file, ordinal, id, start_us, end_us, settings, raw, markdown)""",
     "caption_export": """SELECT user_id || '.srt' AS file, count(*) AS n_cues, min(event_type) AS first_text FROM events WHERE round(value * 600) >= 1 GROUP BY user_id""",
     "yaml_roundtrip": """WITH b AS (SELECT user_id, event_id, '{"id":"' || event_id || '","source":{"timecodes":{"start":"00:00:01.000","end":"00:00:02.000"},"note":"' || event_type || '"},"chunks":[{"text":"' || event_type || ' ' || event_id || '"}]}' AS j FROM events)

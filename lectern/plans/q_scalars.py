@@ -188,7 +188,7 @@ ORACLE = {
     "option_values": r"""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN c_custkey::VARCHAR WHEN 2 THEN (c_custkey % 100) || '.5' WHEN 3 THEN '"a \"b\" ' || c_custkey || '"' ELSE 'false' END AS value FROM customer""",
     "text_lines": r"""WITH x AS (SELECT doc_id, text, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents), y AS (SELECT *, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS k FROM x)
         SELECT doc_id, len(k) AS n_lines, md5(array_to_string(k, '|')) AS lines_md5, md5(regexp_replace(regexp_replace('<i>' || coalesce(text, '') || '&lrm;</i>' || chr(8207), '<[^>]*>', '', 'g'), '&[lr]rm;|' || chr(8206) || '|' || chr(8207), '', 'g')) AS plain_md5 FROM y""",
-    "transcript_lines": """SELECT conv_id, turn, 1 AS part, 'Primary' AS kind, role AS actor, md5(text) || chr(10) || 'and on' AS text FROM conversations
+    "transcript_lines": """SELECT conv_id, turn, 1::BIGINT AS part, 'Primary' AS kind, role AS actor, md5(text) || chr(10) || 'and on' AS text FROM conversations
         UNION ALL SELECT conv_id, turn, 2, 'SoundEffect', NULL, '（noise）' FROM conversations UNION ALL SELECT conv_id, turn, 3, 'Primary', NULL, 'turn ' || turn FROM conversations""",
     "time_expressions": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN ((event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 59) * 1000000 + 500000 WHEN 1 THEN (event_id % 1000) * 1000000 + 250000 WHEN 2 THEN (event_id % 9999) * 1000 WHEN 3 THEN event_id END AS ttml_us,
           CASE WHEN event_id % 2 = 0 THEN ((event_id % 60) * 60 + event_id % 60) * 1000000 + (event_id % 1000) * 1000 END AS vtt_us, year(ts) + CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS year, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS run_at FROM events""",

@@ -141,6 +141,13 @@ _SCORES = rf"""WITH dt AS (SELECT doc_id, lang, {_WORDS} AS w FROM documents WHE
       rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit)"""
 
 
+_LEADERS = f"""WITH RECURSIVE {_SIG}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM sig),
+        f AS (SELECT label, n, vec_id, CAST(NULL AS BIGINT) AS grp, CAST(NULL AS BIGINT) AS candidate, CAST(NULL AS DOUBLE) AS sim, vec_id AS lead_id, b AS lead_b FROM r WHERE n = 1
+          UNION ALL
+          SELECT label, n, vec_id, CASE WHEN sim >= 0.6 THEN lead_id END, CASE WHEN sim < 0.6 THEN lead_id END, sim, CASE WHEN sim >= 0.6 THEN lead_id ELSE vec_id END, CASE WHEN sim >= 0.6 THEN lead_b ELSE b END
+          FROM (SELECT r.label, r.n, r.vec_id, r.b, f.lead_id, f.lead_b, {_SIM.format("f.lead_b", "r.b")} AS sim FROM f JOIN r ON r.label = f.label AND r.n = f.n + 1))
+        SELECT label, vec_id, grp::VARCHAR AS grp, candidate::VARCHAR AS candidate, round(sim, 6) AS similarity FROM f"""
+
 ORACLE = {
     "term_frequency": f"SELECT lang, term, count(*) AS cnt FROM (SELECT lang, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL",
     "corpus_document_frequency": f"SELECT term, count(*) AS cnt, count(DISTINCT source) AS n_docs FROM (SELECT source, unnest({_WORDS}) AS term FROM documents) GROUP BY 1",
@@ -162,12 +169,7 @@ ORACLE = {
         SELECT p_partkey, regexp_replace(raw, ' ?([a-z]+)\[([a-z]+)\]', '<ruby>\1<rt>\2</rt></ruby>', 'g') AS html, regexp_replace(raw, ' ?([a-z]+)\[([a-z]+)\]', '\1', 'g') AS plain FROM p""",
     "html_extract": """WITH x AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)
         SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS title, generate_subscripts(l, 1) - 1 AS link_no, unnest(l) AS link FROM x""",
-    "leader_clusters": f"""WITH RECURSIVE {_SIG}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM sig),
-        f AS (SELECT label, n, vec_id, CAST(NULL AS BIGINT) AS grp, CAST(NULL AS BIGINT) AS candidate, CAST(NULL AS DOUBLE) AS sim, vec_id AS lead_id, b AS lead_b FROM r WHERE n = 1
-          UNION ALL
-          SELECT label, n, vec_id, CASE WHEN sim >= 0.6 THEN lead_id END, CASE WHEN sim < 0.6 THEN lead_id END, sim, CASE WHEN sim >= 0.6 THEN lead_id ELSE vec_id END, CASE WHEN sim >= 0.6 THEN lead_b ELSE b END
-          FROM (SELECT r.label, r.n, r.vec_id, r.b, f.lead_id, f.lead_b, {_SIM.format("f.lead_b", "r.b")} AS sim FROM f JOIN r ON r.label = f.label AND r.n = f.n + 1))
-        SELECT label, vec_id, grp::VARCHAR AS grp, candidate::VARCHAR AS candidate, round(sim, 6) AS similarity FROM f""",
+    "leader_clusters": _LEADERS,
     "hash_similarity_topk": f"""WITH {_SIG}, p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, {_SIM.format("x.b", "y.b")} AS s FROM sig x JOIN sig y ON x.label = y.label AND x.vec_id <> y.vec_id)
         SELECT label, a, b, round(s, 6) AS similarity, row_number() OVER (PARTITION BY label, a ORDER BY s DESC, b) AS rank FROM p WHERE s >= 0.75 QUALIFY rank <= 3""",
     "phrase_search": _SCORES + " SELECT item_id, doc_id, phrase, score FROM rk WHERE rank <= 10",

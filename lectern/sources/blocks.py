@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
 import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,22 @@ def parsed_yaml(files: DataFrame, schema: str, column: str = "doc") -> DataFrame
     return files.mapInArrow(parse, "file string, pos bigint, json string").select("file", "pos", F.from_json("json", schema).alias(column), F.col("json").alias("extra"))
 
 
+def read_optional(spark: SparkSession, path: str, schema: str, glob: str = "*.yaml", column: str = "doc") -> DataFrame:
+    """``read_yaml``, without rows where there is no such path or no such file."""
+    try:
+        return read_yaml(spark, path, schema, glob, column)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"file string, pos bigint, `{column}` {schema if schema.startswith('struct') else f'struct<{schema}>'}, extra string")
+
+
+def read_block_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of all ``.jsonl`` and ``.yaml`` files below ``path``, by their extension."""
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select(F.from_json("value", schema).alias("doc"))
+    return lines.unionByName(read_yaml(spark, path, schema).select("doc"))
+
+
 def read_content(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, block) of a directory of ``*.content.yaml`` files."""
     return read_yaml(spark, path, BLOCK, "*.content.yaml", "block").drop("extra")
@@ -144,7 +163,22 @@ def yaml_files(rows: DataFrame, file: str = "file", pos: str = "pos", record: st
     return joined.mapInArrow(write, "file string, content string")
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """One directory ``file=<name>`` with a text file for each row of (file, content), on any file system
-    that Spark writes to."""
-    files.select("file", F.regexp_replace("content", r"\n$", "").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+def write_files(files: DataFrame, path: str) -> list[str]:
+    """A text file of its name below ``path`` for each row of (file, content), on any file system that Spark writes
+    to; files of these names are replaced. Executors write the texts; the driver gives each its name."""
+    spark = files.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    files.select("file", F.regexp_replace("content", r"\n$", "").alias("value")).write.partitionBy("file").text(staging)
+    fs, names = place(staging).getFileSystem(conf), []
+    for folder in fs.listStatus(place(staging)):
+        if not folder.isDirectory():
+            continue
+        name = unquote(folder.getPath().getName().removeprefix("file="))
+        for part in fs.listStatus(folder.getPath()):
+            fs.delete(place(path, name), False)
+            fs.rename(part.getPath(), place(path, name))
+            names.append(name)
+    fs.delete(place(staging), True)
+    return sorted(names)

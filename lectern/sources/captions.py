@@ -382,6 +382,22 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     return cues_of(raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content")))
 
 
+def webvtt_files(texts: DataFrame) -> DataFrame:
+    """(file, content) of TTML files as WebVTT files, ruby kept; an error names the file."""
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, out = batch.column(0).to_pylist(), []
+            for name, body in zip(names, batch.column(1).to_pylist(), strict=True):
+                try:
+                    out.append(write_vtt(parse_ttml(body or "")))
+                except CaptionError as e:
+                    raise CaptionError(f"{name}: {e}") from e
+            yield pa.record_batch([pa.array([re.sub(r"\.[^.]*$", "", n) + ".vtt" for n in names], pa.string()), pa.array(out, pa.string())], names=["file", "content"])
+
+    return texts.select("file", "content").mapInArrow(convert, "file string, content string")
+
+
 def caption_files(cues: DataFrame, file: str = "file", kind: str = "srt", text: str = "cue_text", start: str = "cue_start", end: str = "cue_end") -> DataFrame:
     """(file, content): caption files from cues, renumbered by start and end."""
     rows = cues.select(F.col(file).alias("file"), F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(text).alias("t")).alias("c")).groupBy("file").agg(F.array_sort(F.collect_list("c")).alias("c"))

@@ -18,7 +18,8 @@ from lectern.operators import sequence
 
 @dataclass(frozen=True)
 class Style:
-    """How blocks are shown. references: quote, footnotes or blur; labels: none, first or all."""
+    """How blocks are shown. references: quote, footnotes or blur; labels: none, first, all, or several, that is
+    all where a chunk has more than one reference."""
 
     headings: bool = True
     ruby: str = "none"
@@ -46,20 +47,41 @@ def audio_line(name: Column, prefix: str) -> Column:
 def reference_text(refs: Column, style: Style, note_id: Column) -> Column:
     """A chunk's references (a map of name to text) in the style, by name. Blank ones are left out."""
     items = F.filter(F.array_sort(F.map_entries(refs)), lambda e: ~T.blank(e["value"]))
-    label = lambda e, first: F.when(F.lit(style.labels == "all") | (F.lit(style.labels == "first") & first), F.concat(e["key"], F.lit(": "))).otherwise("")
+    label = lambda e, first: F.when(F.lit(style.labels == "all") | (F.lit(style.labels == "several") & (F.size(refs) > 1)) | (F.lit(style.labels == "first") & first), F.concat(e["key"], F.lit(": "))).otherwise("")
     body = lambda e: F.regexp_replace(e["value"], r"\n{2,}", "  \n  \n") if style.tight_breaks else e["value"]
     if style.references == "footnotes":
         shown = F.transform(items, lambda e, i: F.concat(label(e, i == 0), F.regexp_replace(body(e), "\n", "\n    ")))
         joined = F.array_join(shown, "\n\n    ")
         return F.when(F.size(items) > 0, F.concat(F.lit("[^"), note_id, F.lit("]: "), joined))
     if style.references == "blur":
-        shown = F.transform(items, lambda e, i: F.concat(F.lit('<span class="blurText">'), label(e, i == 0), _escaped(body(e)), F.lit("</span>")))
+        shown = F.transform(items, lambda e, i: blurred(e["value"], F.concat_ws("-", note_id, F.lit("ref"), e["key"]), "blurText", F.rtrim(label(e, i == 0))))
         return F.when(F.size(items) > 0, F.array_join(shown, "\n\n"))
-    quote = "> " if style.labels != "none" else ""
-    shown = F.transform(items, lambda e, i: F.concat(F.lit(quote), label(e, i == 0), F.regexp_replace(body(e), "\n", "\n" + quote)))
+    quoted = F.lit(style.labels in ("first", "all")) | (F.lit(style.labels == "several") & (F.size(refs) > 1))
+    quote = F.when(quoted, "> ").otherwise("")
+    shown = F.transform(items, lambda e, i: F.concat(quote, label(e, i == 0), F.replace(body(e), F.lit("\n"), F.concat(F.lit("\n"), quote))))
     return F.when(F.size(items) > 0, F.array_join(shown, "\n\n"))
 
 
+def html_of(x: Column) -> Column:
+    """Markdown as HTML, as far as texts of captions have it: paragraphs, strong, emphasis, code, links, hard breaks."""
+    body = _escaped(x)
+    for pattern, tag in ((r"\*\*(.+?)\*\*", "strong"), (r"__(.+?)__", "strong"), (r"\*(.+?)\*", "em"), (r"(?<!\w)_(.+?)_(?!\w)", "em"), (r"`(.+?)`", "code")):
+        body = F.regexp_replace(body, pattern, f"<{tag}>$1</{tag}>")
+    body = F.regexp_replace(body, r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>')
+    body = F.regexp_replace(body, r" {2,}\n|\\\n", "<br />\n")
+    parts = F.filter(F.split(F.regexp_replace(body, r"^\n+|\n+$", ""), r"\n\s*\n"), lambda p: F.trim(p) != "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n")
+
+
+def blurred(x: Column, id_: Column, style: str, label: Column) -> Column:
+    """A text as HTML that a tap on its checkbox shows: each paragraph for itself, as a span after a label."""
+    tag = F.when(label != "", "span").otherwise("p")
+    begin = F.concat(F.lit("<"), tag, F.lit(f" class='{style}'><input type='checkbox' id='"), id_, F.lit("'/><label for='"), id_, F.lit("'>"))
+    end = F.concat(F.lit("</label></"), tag, F.lit(">"))
+    inner = F.replace(F.replace(html_of(x), F.lit("<p>"), begin), F.lit("</p>"), end)
+    return F.when(label != "", F.concat(F.lit("<p><span>"), label, F.lit("</span> "), inner, F.lit("</p>"))).otherwise(inner)
+
+
 def _escaped(x: Column) -> Column:
     return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -77,7 +99,7 @@ def render(blocks: DataFrame, style: Style = Style()) -> DataFrame:
     block_id = F.concat_ws("-", "file", F.col("__n").cast("string"))
     note_id = lambda i: F.when(F.size("chunks") > 1, F.concat_ws("-", block_id, (i + 1).cast("string"))).otherwise(block_id)
     mark = lambda c, i: F.when(F.lit(style.references == "footnotes") & (F.size(F.filter(F.map_values(c["references"]), lambda v: ~T.blank(v))) > 0), F.concat(F.lit("[^"), note_id(i), F.lit("]"))).otherwise("")
-    chunk = lambda c, i: F.array_join(F.array(F.concat(T.ruby(F.coalesce(c["text"], F.lit("")), style.ruby), mark(c, i)), reference_text(c["references"], style, note_id(i))), "\n\n")
+    chunk = lambda c, i: F.array_join(F.array(F.nullif(F.concat(T.ruby(F.coalesce(c["text"], F.lit("")), style.ruby), mark(c, i)), F.lit("")), reference_text(c["references"], style, note_id(i))), "\n\n")
     shown = F.filter(F.transform("chunks", chunk), lambda t: t != "")
     again = F.col("__again")
     parts = F.array(
@@ -91,6 +113,12 @@ def render(blocks: DataFrame, style: Style = Style()) -> DataFrame:
     return rows.select("file", "pos", F.array_join(parts, "\n\n").alias("markdown"))
 
 
+def combined_file(files: DataFrame, name: str) -> DataFrame:
+    """All files, in the order of their names, as one."""
+    one = files.agg(F.array_sort(F.collect_list(F.struct("file", "content"))).alias("f"))
+    return one.select(F.lit(name).alias("file"), F.array_join(F.transform("f", lambda x: x["content"]), "\n").alias("content"))
+
+
 def markdown_files(blocks: DataFrame, style: Style = Style(), most: int = 10_000) -> DataFrame:
     """(file, content): each file's blocks under its name; an error beyond ``most`` blocks."""
     rows = sequence.capped(render(blocks, style), ["file"], ["pos"], most)

@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Further providers: their schema, and what makes (file, pos, text, spans) rows of it.
+_MORE: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {}
+
+
+def register(provider: str, schema: str, lines: Callable[[DataFrame], DataFrame]) -> None:
+    """Adds a provider of ``*.<provider>.json`` files: ``lines`` gets rows of ``schema`` with a column file."""
+    _MORE[provider] = (schema, lines)
+
+
+def _name() -> Column:
+    """The file's name; Spark gives it as a part of an address."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 _WORD = "struct<text:string,confidence:double>"
 _SCHEMAS = {
     "acv4": f"readResult struct<blocks:array<struct<lines:array<struct<text:string,words:array<{_WORD}>>>>>>",
     "easyocr": "readResult array<struct<text:string,confident:double>>",
     "acv": "analyzeResult struct<readResults:array<struct<lines:array<struct<text:string,boundingBox:array<int>,words:array<struct<text:string,boundingBox:array<int>,confidence:double>>>>>>>",
-    "gcv": "responses array<struct<fullTextAnnotation:struct<pages:array<struct<blocks:array<struct<paragraphs:array<struct<words:array<struct<confidence:double,symbols:array<struct<text:string>>>>>>>>>>>>",
+    "gcv": "responses array<struct<fullTextAnnotation:struct<pages:array<struct<blocks:array<struct<paragraphs:array<struct<words:array<struct<confidence:double,symbols:array<struct<text:string>>>>>>>>>>>>>",
 }
 
 
 def read_recognised(spark: SparkSession, path: str, provider: str) -> DataFrame:
     """Lines of all ``*.<provider>.json`` files below ``path``; blank ones are dropped."""
+    if provider in _MORE:
+        schema, lines = _MORE[provider]
+        raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", f"*.{provider}.json").json(path)
+        rows = lines(raw.withColumn("file", F.regexp_replace(_name(), rf"\.{provider}\.json$", "")))
+        return rows.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     df = spark.read.schema(_SCHEMAS[provider]).option("multiLine", True).option("pathGlobFilter", f"*.{provider}.json").json(path)
-    base = F.regexp_replace(F.col("_metadata.file_name"), rf"\.{provider}\.json$", "").alias("file")
+    base = F.regexp_replace(_name(), rf"\.{provider}\.json$", "").alias("file")
     span = lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"))
     if provider == "acv4":
         lines = F.flatten(F.transform("readResult.blocks", lambda b: b["lines"]))

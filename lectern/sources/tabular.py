@@ -58,6 +58,21 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str
     return rows.select("file", "pos", *[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(columns)])
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A table with a header line in each file."""
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def extracted(spark: SparkSession, source: str, target: str, force: bool = False) -> str:
+    """The lines of compressed text at ``target``, once: what is there is used again, unless ``force``. Compressed
+    files can't be split, so their lines are dealt out anew."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if force or not done.getFileSystem(conf).exists(done):
+        spark.read.text(source).write.mode("overwrite").text(target)
+    return target
+
+
 def mapped(rows: DataFrame, spec: list[dict], out: str = "block") -> DataFrame:
     """Columns put into a nested record: ``spec`` lists {target, order, value}, where value is a Column or a
     column's name. Empty values are left out; targets come by order."""
@@ -90,11 +105,11 @@ def package_metadata(xml: Column) -> dict[str, Column]:
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of a structured-text XML of pages, their characters joined."""
+    """Blocks of a structured-text XML of pages, by the page's number, their characters joined."""
     schema = "_number int, block array<struct<line:array<struct<font:array<struct<char:array<struct<_c:string>>>>>>>>"
     df = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
     line = lambda x: F.array_join(F.flatten(F.transform(x["font"], lambda f: F.transform(f["char"], lambda c: c["_c"]))), "")
-    return df.select(F.monotonically_increasing_id().alias("page"), F.posexplode("block").alias("pos", "b")).select("page", "pos", F.array_join(F.transform("b.line", line), "\n").alias("text"))
+    return df.select(F.col("_number").alias("page"), F.posexplode("block").alias("pos", "b")).select("page", "pos", F.array_join(F.transform("b.line", line), "\n").alias("text"))
 
 
 def embedded_json(html: Column, schema: str, script_id: str = "__NEXT_DATA__") -> Column:

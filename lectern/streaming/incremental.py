@@ -19,6 +19,12 @@ def process_new_files(spark: SparkSession, path: str, glob: str, transform: Call
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def budgeted(wanted: DataFrame, done: DataFrame, key: str, budget: int) -> DataFrame:
+    """The next ``budget`` keys that no earlier run has done, by their order. Runs that append what they did to
+    ``done`` resume where the one before stopped, whether it ended or failed."""
+    return wanted.select(key).distinct().join(done.select(key), key, "left_anti").orderBy(key).limit(budget)
+
+
 def event_windows(events: DataFrame, ts: str, keys: list[str], value: str, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and keys; rows later than ``lateness`` are left out."""
     w = F.window(ts, width)
