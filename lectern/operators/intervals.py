@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import blank
+from lectern.operators._store import stored
+
+
+#: Buckets that an interval is spread over at most.
+WIDEST = 8
 
 
 @dataclass(frozen=True)
@@ -29,17 +34,35 @@ def overlapping(a: DataFrame, b: DataFrame, bucket_us: int | None = None) -> Dat
     """Pairs of ``a_`` and ``b_`` rows of one file whose half-open intervals overlap.
 
     With ``bucket_us``, both sides are spread over time buckets and joined on (file, bucket) too, so that
-    one long file is many join keys; a pair is met only in the bucket where its overlap begins. Without
-    times nothing overlaps.
+    one long file is many join keys; a pair is met only in the bucket where its overlap begins. Intervals of
+    over WIDEST buckets are met in wider ones, so that none is spread over more. Without times nothing overlaps.
     """
     a, b = a.where("a_s < a_e"), b.where("b_s < b_e")
     test = (F.col("a_s") < F.col("b_e")) & (F.col("b_s") < F.col("a_e"))
     if bucket_us is None:
         return a.join(b, (F.col("a_file") == F.col("b_file")) & test)
-    at = lambda c: F.floor(F.col(c) / bucket_us)
-    spread = lambda df, m: df.withColumn(f"{m}_bucket", F.explode(F.sequence(at(f"{m}_s"), F.floor((F.col(f"{m}_e") - 1) / bucket_us))))
-    met = spread(a, "a").join(spread(b, "b"), (F.col("a_file") == F.col("b_file")) & (F.col("a_bucket") == F.col("b_bucket")) & test)
-    return met.where(F.col("a_bucket") == F.greatest(at("a_s"), at("b_s"))).drop("a_bucket", "b_bucket")
+    widths = [w for k in range(20) if (w := bucket_us * WIDEST**k) * WIDEST < 1 << 62]
+
+    def level(mark: str) -> Column:
+        out = F.lit(len(widths) - 1)
+        for k in range(len(widths) - 2, -1, -1):
+            out = F.when(F.col(f"{mark}_e") - F.col(f"{mark}_s") <= widths[k] * WIDEST, k).otherwise(out)
+        return out
+
+    a, b = a.withColumn("a_level", level("a")), b.withColumn("b_level", level("b"))
+    # As many numbers as there are widths, mostly one.
+    used = sorted(r[0] for r in a.select("a_level").union(b.select("b_level")).distinct().collect()) or [0]
+    width = F.get(F.array(*[F.lit(w) for w in widths]), F.col("level"))
+
+    def spread(df: DataFrame, mark: str) -> DataFrame:
+        """At its own level and at all wider ones, where it may meet longer intervals."""
+        rows = df.withColumn("level", F.explode(F.filter(F.array(*[F.lit(k) for k in used]), lambda k: k >= F.col(f"{mark}_level"))))
+        return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{mark}_s") / width), F.floor((F.col(f"{mark}_e") - 1) / width)))).withColumnsRenamed({"level": f"{mark}_at", "bucket": f"{mark}_bucket"})
+
+    keys = (F.col("a_file") == F.col("b_file")) & (F.col("a_at") == F.col("b_at")) & (F.col("a_bucket") == F.col("b_bucket"))
+    met = spread(a, "a").join(spread(b, "b"), keys & test & (F.col("a_at") == F.greatest("a_level", "b_level")))
+    first = F.floor(F.greatest("a_s", "b_s") / F.get(F.array(*[F.lit(w) for w in widths]), F.col("a_at")))
+    return met.where(F.col("a_bucket") == first).drop("a_bucket", "b_bucket", "a_at", "b_at", "a_level", "b_level")
 
 
 def _order(mark: str) -> list[Column]:
@@ -69,10 +92,13 @@ def align(inputs: DataFrame, refs: DataFrame, names: Timed = Timed(), tenths: in
     """
     a, b = names.prefixed(inputs, "a"), names.prefixed(refs, "b")
     pairs = overlapping(a, b, bucket_us)
+    enough = F.least(F.col("a_e") - F.col("a_s"), F.col("b_e") - F.col("b_s")) * tenths
+    # Pairs and links serve several steps each, so they are made once.
+    pairs = stored(pairs.where((F.least("a_e", "b_e") - F.greatest("a_s", "b_s")) * 10 > enough))
     won = _best(pairs, "a", "b", tenths).select(F.col("a_file").alias("file"), F.col("a_pos").alias("in_pos"), F.col("b_pos").alias("ref_pos"))
     taken = won.select(F.col("file").alias("b_file"), F.col("ref_pos").alias("b_pos")).distinct()
     second = _best(pairs.join(taken, ["b_file", "b_pos"], "left_anti"), "b", "a", tenths).select(F.col("a_file").alias("file"), F.col("a_pos").alias("in_pos"), F.col("b_pos").alias("ref_pos"))
-    links = won.unionByName(second)
+    links = stored(won.unionByName(second))
     matched = a.select(F.col("a_file").alias("file"), F.col("a_pos").alias("in_pos"), F.col("a_s").alias("g_s"), F.col("a_e").alias("g_e"), F.col("a_ord").alias("g_ord")).join(links, ["file", "in_pos"], "left")
     alone = b.select(F.col("b_file").alias("file"), F.col("b_pos").alias("ref_pos"), F.col("b_s").alias("g_s"), F.col("b_e").alias("g_e"), F.col("b_ord").alias("g_ord")).join(
         links.select("file", "ref_pos").distinct(), ["file", "ref_pos"], "left_anti"

@@ -43,10 +43,19 @@ _Loader.add_implicit_resolver("tag:lectern,number", yaml.resolver.re.compile(r"^
 _Loader.add_constructor("tag:lectern,number", lambda loader, node: json.loads(loader.construct_scalar(node)))
 
 
+class _FastLoader(getattr(yaml, "CSafeLoader", _Loader)):
+    """The same with the C parser, which can't be made to refuse aliases: for texts without any."""
+
+    yaml_implicit_resolvers = _Loader.yaml_implicit_resolvers
+
+
+_FastLoader.add_constructor("tag:lectern,number", lambda loader, node: json.loads(loader.construct_scalar(node)))
+
+
 def documents(text: str, file: str = "") -> Iterator[Any]:
     """The documents of a YAML stream that aren't null; errors name the file."""
     try:
-        for doc in yaml.load_all(text, _Loader):
+        for doc in yaml.load_all(text, _Loader if "*" in text else _FastLoader):
             if doc is not None:
                 yield doc
     except yaml.YAMLError as e:
@@ -122,7 +131,7 @@ class _FlowList(list):
     pass
 
 
-class _Dumper(yaml.SafeDumper):
+class _Dumper(getattr(yaml, "CSafeDumper", yaml.SafeDumper)):
     def ignore_aliases(self, data):
         return True
 

@@ -10,6 +10,19 @@ from lectern.operators.intervals import Timed
 SCHEMA = "file string, pos long, ordinal int, start_us long, end_us long, text string"
 
 
+def test_very_long_intervals(spark):
+    import random
+
+    from lectern.operators.intervals import Timed, overlapping
+
+    rng = random.Random(1)
+    made = lambda n: [("f", k, s, s + rng.choice([1, 50, 700, 10**6, 10**10])) for k in range(n) for s in [rng.randrange(10**7)]]
+    a, b = made(60), made(60)
+    df = lambda x: spark.createDataFrame(x, "file string, pos long, start_us long, end_us long")
+    got = [(r.a_pos, r.b_pos) for r in overlapping(Timed().prefixed(df(a), "a"), Timed().prefixed(df(b), "b"), 10).collect()]
+    assert sorted(got) == sorted((x[1], y[1]) for x in a for y in b if x[2] < y[3] and y[2] < x[3])
+
+
 def rows(*items, file="f"):
     return [(file, k, None, s, e, t) for k, (t, s, e) in enumerate(items)]
 
