@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -211,8 +214,15 @@ def substituted(template: Column | str, values: dict[str, Column], mark: str = "
     return out
 
 
+@F.pandas_udf("string")
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Characters in their compatible form, full-width letters and digits as plain ones."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def natural_key(x: Column | str, digits: int = 10) -> Column:
-    """A key under which runs of digits sort by their value: each is padded with zeros to ``digits``."""
+    """A key under which runs of digits sort by their value: each is padded with zeros to ``digits``. Names of
+    full-width digits are to be put through ``nfkc`` before."""
     parts = F.regexp_extract_all(_c(x), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, F.greatest(F.lit(digits), F.length(p)), F.lit("0"))).otherwise(p)), "")
 

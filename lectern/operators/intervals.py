@@ -106,6 +106,15 @@ def align(inputs: DataFrame, refs: DataFrame, names: Timed = Timed(), tenths: in
     return matched.unionByName(alone, allowMissingColumns=True).select("file", "in_pos", "ref_pos", "g_s", "g_e", "g_ord")
 
 
+def align_by_order(inputs: DataFrame, refs: DataFrame, names: Timed = Timed(), bucket_us: int | None = None) -> DataFrame:
+    """What ``align`` gives, for streams without times: the n-th input of a file with its n-th reference."""
+    a, b = names.prefixed(inputs, "a"), names.prefixed(refs, "b")
+    nth = lambda df, m: df.withColumn("n", F.row_number().over(Window.partitionBy(f"{m}_file").orderBy(f"{m}_pos"))).withColumnRenamed(f"{m}_file", "file")
+    met = nth(a, "a").join(nth(b, "b"), ["file", "n"], "full")
+    either = lambda k: F.when(F.col("a_pos").isNotNull(), F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")).alias(f"g_{k}")
+    return met.select("file", F.col("a_pos").alias("in_pos"), F.col("b_pos").alias("ref_pos"), *[either(k) for k in ("s", "e", "ord")])
+
+
 def merged_refs(aligned: DataFrame, refs: DataFrame, names: Timed = Timed(), text: str = "text") -> DataFrame:
     """A row per group of ``align``: the reference source (ordinal of the first that has one, start of the
     first, end of the last) and the references' texts, a blank line between those that aren't blank."""

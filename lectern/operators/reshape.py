@@ -67,20 +67,24 @@ def leaf_count(nested: Column, *path: str) -> Column:
     return F.aggregate(nested, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(leaf_count(x[path[0]], *path[1:]), F.lit(0)))
 
 
-def line_kinds(blocks: DataFrame, file: str = "file", pos: str = "pos", text: str = "text") -> DataFrame:
+#: Lines that only sound, and a name before what is said.
+EFFECT, ACTOR = r"^\s*(?:（[^（）]*）|♪～|～♪|♪)\s*$", r"^\s*（([^（）]+)）\s*"
+
+
+def line_kinds(blocks: DataFrame, file: str = "file", pos: str = "pos", text: str = "text", effect_pattern: str = EFFECT, actor_pattern: str = ACTOR) -> DataFrame:
     """Blocks split where the kind of their lines changes: (file, pos, part, kind, actor, text).
 
     A line of full-width parentheses only, or between note and wave signs, is a sound effect; a line that
     begins with parentheses and goes on names an actor, who says the lines that follow.
     """
     lines = blocks.select(F.col(file).alias("file"), F.col(pos).alias("pos"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
-    effect = F.col("line").rlike(r"^\s*(?:（[^（）]*）|♪～|～♪|♪)\s*$")
-    actor = F.nullif(F.regexp_extract("line", r"^\s*（([^（）]+)）\s*\S", 1), F.lit(""))
+    effect = F.col("line").rlike(effect_pattern)
+    actor = F.nullif(F.regexp_extract("line", actor_pattern + r"\S", 1), F.lit(""))
     w = Window.partitionBy("file", "pos").orderBy("line_no")
     rows = lines.withColumns({"effect": effect, "__actor": F.when(~effect, actor)})
     new = F.when(F.col("__actor").isNotNull() | (F.col("effect") != F.lag("effect", 1).over(w)) | F.lag("effect").over(w).isNull(), 1).otherwise(0)
     rows = rows.withColumn("part", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    said = F.when(F.col("__actor").isNotNull(), F.regexp_replace("line", r"^\s*（[^（）]+）\s*", "")).otherwise(F.col("line"))
+    said = F.when(F.col("__actor").isNotNull(), F.regexp_replace("line", actor_pattern, "")).otherwise(F.col("line"))
     out = rows.withColumn("said", said).groupBy("file", "pos", "part").agg(
         F.when(F.bool_or("effect"), "SoundEffect").otherwise("Primary").alias("kind"), F.max("__actor").alias("actor"), F.array_sort(F.collect_list(F.struct("line_no", "said"))).alias("l")
     )
@@ -99,6 +103,13 @@ def update_cache(cache: DataFrame, computed: DataFrame, key: str = "path") -> Da
     return cache.join(computed.select(key), key, "left_anti").unionByName(computed)
 
 
+def cache_files(cache: DataFrame, group: str, name: str, value: str) -> DataFrame:
+    """(file, content): each group's cache as JSON, its names in order, so that equal caches are equal files."""
+    entry = F.concat(F.to_json(F.struct(F.col(name).alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(name).alias("k")))) - 6), F.lit(':"'), F.col(value), F.lit('"'))
+    one = cache.groupBy(F.col(group).alias("file")).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), entry.alias("e")))).alias("x"))
+    return one.select("file", F.concat(F.lit('{"images":{'), F.array_join(F.transform("x", lambda x: x["e"]), ","), F.lit("}}\n")).alias("content"))
+
+
 def to_compute(wanted: DataFrame, cache: DataFrame, key: str = "path") -> DataFrame:
     """Keys without a cached row, each once, however many ask for it."""
     return wanted.select(key).distinct().join(cache, key, "left_anti")

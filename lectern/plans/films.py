@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import maps
@@ -65,14 +67,22 @@ def import_catalogue(films: DataFrame, titles: DataFrame, countries: list[str],
     return met.withColumns({"netflix": F.when(base.isNotNull(), out), "origin": origin}).drop(*[f"__{c}" for c in ("id", "title", "type", "year", "countryDetails")])
 
 
-def resolve_entities(films: DataFrame, ids: DataFrame) -> DataFrame:
-    """Films without entity get the one that all of their identifiers (kind, id, entity) agree on."""
-    keyed = films.withColumn("__row", F.xxhash64(F.to_json(F.struct("imdb.id", "netflix.id", "tmdb.id"))))
-    owned = keyed.where("wikidata is null").select(
-        "__row", F.explode(F.array(F.struct(F.lit("imdb").alias("kind"), F.col("imdb.id").alias("id")), F.struct(F.lit("netflix").alias("kind"), F.col("netflix.id").cast("string").alias("id")), F.struct(F.lit("tmdb").alias("kind"), F.col("tmdb.id").cast("string").alias("id")))).alias("o")
-    ).select("__row", "o.*").where("id is not null")
-    found = resolve.agreed(owned.join(ids, ["kind", "id"]), "__row", "entity", "__entity")
-    return keyed.join(found, "__row", "left").withColumn("wikidata", F.coalesce("wikidata", "__entity")).drop("__row", "__entity", "n_values")
+def origins() -> dict[str, Column]:
+    """Where a film can come from, and the id that it has there, as text."""
+    return {"imdb": F.col("imdb.id"), "netflix": F.col("netflix.id").cast("string"), "tmdb": F.col("tmdb.id").cast("string")}
+
+
+def resolve_entities(films: DataFrame, ids: DataFrame, owners: dict[str, Column] | None = None) -> DataFrame:
+    """Films without entity get the one that all of their identifiers (kind, id, entity) agree on; ``owners``
+    says which identifiers films have."""
+    owners = owners or origins()
+    keys = [f"__{kind}" for kind in owners]
+    keyed = films.withColumns({f"__{kind}": c for kind, c in owners.items()})
+    entries = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"__{kind}").alias("id")) for kind in owners])
+    owned = keyed.where("wikidata is null").select(F.struct(*keys).alias("__ids"), F.explode(entries).alias("o")).select("__ids", "o.*").where("id is not null")
+    found = resolve.agreed(owned.join(ids, ["kind", "id"]), "__ids", "entity", "__entity").select(*[F.col(f"__ids.{k}").alias(f"{k}_") for k in keys], "__entity")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    return keyed.join(found, same, "left").withColumn("wikidata", F.coalesce("wikidata", "__entity")).drop(*keys, *[f"{k}_" for k in keys], "__entity")
 
 
 def merge_entities(films: DataFrame, order: str) -> DataFrame:

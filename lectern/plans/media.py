@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ def flat_blocks(content: DataFrame) -> DataFrame:
     return content.select("file", "pos", F.col("block.source.ordinal").alias("ordinal"), start.alias("start_us"), end.alias("end_us"), F.array_join(F.transform("block.chunks", lambda c: F.coalesce(c["text"], F.lit(""))), "\n\n").alias("text"), "block")
 
 
-def merge_streams(content: DataFrame, refs: DataFrame, ref_name: str, bucket_us: int | None = None) -> DataFrame:
+def merge_streams(content: DataFrame, refs: DataFrame, ref_name: str, bucket_us: int | None = None, aligner: Callable[..., DataFrame] = intervals.align) -> DataFrame:
     """(file, pos, start_us, end_us, text, ref_name, ref_text, ref_start_us, ref_end_us): two streams of the
     same files aligned by their times. Files that only the references have are left out; a file without
-    references is an error. Both streams' blocks have one chunk at most."""
+    references is an error. Both streams' blocks have one chunk at most. ``aligner`` takes the two streams and
+    gives what ``intervals.align`` does: rows (file, in_pos, ref_pos, g_s, g_e, g_ord)."""
     a, b = flat_blocks(content), flat_blocks(refs)
     for side, what in ((a, "input"), (b, "reference")):
         pass_ = F.when(F.size("block.chunks") > 1, F.raise_error(F.lit(f"several chunks in a block of the {what}")).cast("boolean")).otherwise(F.lit(True))
@@ -32,7 +35,7 @@ def merge_streams(content: DataFrame, refs: DataFrame, ref_name: str, bucket_us:
     missing = files.join(b.select("file").distinct().withColumn("__in", F.lit(True)), "file", "left")
     checked = missing.withColumn("__in", F.when(F.col("__in").isNull(), F.raise_error(F.concat(F.lit("no reference file "), F.col("file"))).cast("boolean")).otherwise(True)).where("__in").select("file")
     b = b.join(checked, "file", "left_semi")
-    merged = intervals.merged_refs(intervals.align(a, b, bucket_us=bucket_us), b)
+    merged = intervals.merged_refs(aligner(a, b, bucket_us=bucket_us), b)
     own = a.select("file", F.col("pos").alias("in_pos"), "text", "block", F.lit(True).alias("__own"))
     out = merged.join(own, ["file", "in_pos"], "left")
     return out.select(

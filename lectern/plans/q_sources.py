@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.functions import bits
+from lectern.functions import bits, tables
 from lectern.functions import text as T
-from lectern.operators import folds, graph, lookup, reshape, resolve, search, stats, upsert
+from lectern.operators import folds, graph, intervals, lookup, reshape, resolve, search, sequence, stats, upsert
 from lectern.operators._store import shared_folder, stored
 from lectern.plans import films, media
 from lectern.plans.q_text import _LEADERS, _SCORES
-from lectern.plans.tables import read, timed_events
+from lectern.plans.tables import EVENTS_SQL, read, timed_events
 from lectern.sources import blocks, captions, markdown, recognition, tabular
 from lectern.streaming import incremental
 
@@ -328,11 +328,35 @@ def leader_stream(spark, d):
     return spark.read.parquet(f"{at}/out").select(F.col("file").cast("int").alias("label"), F.col("pos").alias("vec_id"), "grp", "candidate", F.round("similarity", 6).alias("similarity"))
 
 
+def table_functions(spark, d):
+    """SQL over the registered table functions, caches as files, images of packages, names in natural order of compatible
+    characters, and streams aligned by another aligner."""
+    tables.register(spark)
+    n, at = read(spark, d, "nation"), _folder(spark)
+    n.createOrReplaceTempView("lectern_nation")
+    docs = spark.sql("SELECT 'yaml' AS kind, t.pos + 10 * n_nationkey AS key, t.json AS value FROM lectern_nation, LATERAL yaml_documents('name: ' || n_name || '\\n---\\nkey: ' || n_nationkey || '\\n') t")
+    lines = spark.sql("SELECT 'line' AS kind, line_no + 10 * n_nationkey AS key, line || fits AS value FROM lectern_nation, LATERAL text_lines(n_name || '\\nx', '^A') t")
+    blocks.write_files(reshape.cache_files(n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".json")).alias("f"), F.concat("n_name", F.lit('"')).alias("n"), bits.to_hex(F.col("n_nationkey")).alias("h")), "f", "n", "h"), f"{at}/cache")
+    cache = spark.read.text(f"{at}/cache").select(F.lit("cache").alias("kind"), F.lit(0).cast("long").alias("key"), "value")
+    entries = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('":"'), "n_name", F.when(F.col("n_nationkey") % 2 == 0, ".JPG").otherwise(".mp3"), F.lit('"')))), ",")
+    blocks.write_files(n.groupBy(F.col("n_regionkey").cast("string").alias("file")).agg(F.concat(F.lit("{"), entries, F.lit("}")).alias("content")), f"{at}/media")
+    images = tabular.package_images(spark, f"{at}/media").select(F.lit("image").alias("kind"), F.col("id").cast("long").alias("key"), F.col("name").alias("value"))
+    wide = F.translate(F.col("n_nationkey").cast("string"), "0123456789", "０１２３４５６７８９")
+    ranked = sequence.natural_rank(n.select("n_regionkey", T.nfkc(F.concat(F.lit("Ｆile "), wide)).alias("name")), ["n_regionkey"], "name").select(F.lit("natural").alias("kind"), F.col("natural_rank").cast("long").alias("key"), F.concat_ws("/", F.col("n_regionkey").cast("string"), "name").alias("value"))
+    e = timed_events(spark, d)
+    pairs = intervals.align_by_order(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"))
+    aligned = pairs.select(F.lit("aligned").alias("kind"), F.coalesce("in_pos", "ref_pos").alias("key"), F.concat_ws("/", F.col("in_pos").cast("string"), F.col("ref_pos").cast("string")).alias("value"))
+    out = docs
+    for part in (lines, cache, images, ranked, aligned):
+        out = out.unionByName(part)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         title_tables, list_exports, delimited_import, json_sources, page_sources, xml_sources, file_listing, recognition_sources, plain_documents, yaml_sources, caption_sources, media_import, film_pipeline, title_suggestions, table_upkeep, graph_paths,
-        content_search, incremental_runs, leader_stream,
+        content_search, incremental_runs, leader_stream, table_functions,
     )
 }
 
@@ -386,6 +410,13 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT 'paths' AS kind, p AS key, 'some/some' AS value FROM s WHERE p < 2
         UNION ALL SELECT 'link', 1, s_name || '>' || printf('Supplier#%09d', s_suppkey - 1) FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey - 1 IN (SELECT s_suppkey FROM supplier)
         UNION ALL SELECT 'link', 2, s_name || '>' || s_name FROM supplier WHERE s_suppkey % 2 = 0""",
+    "table_functions": f"""WITH {EVENTS_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY file, event_type ORDER BY pos) AS n FROM ev)
+        SELECT 'yaml' AS kind, 10 * n_nationkey AS key, '{{"name": "' || n_name || '"}}' AS value FROM nation UNION ALL SELECT 'yaml', 10 * n_nationkey + 1, '{{"key": ' || n_nationkey || '}}' FROM nation
+        UNION ALL SELECT 'line', 10 * n_nationkey, n_name || CASE WHEN n_name LIKE 'A%' THEN 'true' ELSE 'false' END FROM nation UNION ALL SELECT 'line', 10 * n_nationkey + 1, 'xfalse' FROM nation
+        UNION ALL SELECT 'cache', 0, '{{"images":{{' || string_agg('"' || n_name || '\\"":"' || lpad(lower(to_hex(n_nationkey)), 16, '0') || '"', ',' ORDER BY n_name) || '}}}}' FROM nation GROUP BY n_regionkey
+        UNION ALL SELECT 'image', n_nationkey, n_name || '.JPG' FROM nation WHERE n_nationkey % 2 = 0
+        UNION ALL SELECT 'natural', row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), n_regionkey || '/File ' || n_nationkey FROM nation
+        UNION ALL SELECT 'aligned', coalesce(a.pos, b.pos), concat_ws('/', a.pos::VARCHAR, b.pos::VARCHAR) FROM (SELECT * FROM v WHERE event_type = 'view') a FULL JOIN (SELECT * FROM v WHERE event_type = 'purchase') b ON a.file = b.file AND a.n = b.n""",
     "leader_stream": _LEADERS,
     "content_search": _SCORES + " SELECT rank, doc_id, score, phrase FROM rk WHERE rank <= 10 AND item_id = (SELECT min(item_id) FROM benchmark)",
     "incremental_runs": """SELECT 'file' AS kind, conv_id AS key, count(*) || '/' || count(*) AS value FROM conversations GROUP BY 2 UNION ALL SELECT 'budget', conv_id, '' FROM (SELECT DISTINCT conv_id FROM conversations ORDER BY 1 LIMIT 21)

@@ -86,6 +86,12 @@ def read_json_map(spark: SparkSession, path: str, value_schema: str, key: str =
     return raw.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias(key, "record"))
 
 
+def package_images(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("jpg", "jpeg", "png", "gif", "webp", "svg")) -> DataFrame:
+    """(id, name) of the images in packages' media maps, objects of file names by id."""
+    names = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name"))
+    return names.where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*kinds))
+
+
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     """``name: value`` lines."""
     line = r"^\s*([^:#]+?)\s*:\s*(.*?)\s*$"
