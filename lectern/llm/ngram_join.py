@@ -36,7 +36,7 @@ SLOTS = 64
 #: Documents outside the hub's component that a list's others are compared with at most, before its gram is ranked last.
 OUTSIDERS = 1_000
 #: Lists of more rows than this, as the planning sample has it, are made in groups.
-GROUP_ROWS = 8_000
+GROUP_ROWS = 500
 #: One document in so many plans which lists are split. It decides the layout only, never a result.
 SAMPLE = 64
 #: Hash ranges of the suffix filter.
@@ -329,3 +329,18 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = jaccard_components(docs, id_col, text_col)
     gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
     return restricted(docs, gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
+#: All pairs that share a shingle, and what links reach.
+ORACLE = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {N} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {N - 1}], ' ') END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE {DEN} * c >= {NUM} * (p.n + q.n - c)
+), pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), walk(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT w.doc_id, l.b FROM walk w JOIN pairs l ON l.a = w.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(w.node) AS component_id FROM documents d JOIN walk w ON w.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
