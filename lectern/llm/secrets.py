@@ -213,3 +213,26 @@ def brute_force(text: str | None) -> list[tuple[int, str, int]]:
 
 def digest_of(spans: list[tuple[int, str, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def _oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same spans in SQL: a text splits at a rule's matches, and the lengths of pieces and matches give places."""
+
+    def row(k: int, r: Rule) -> str:
+        head, tail = (p.replace("(", "(?:").replace("'", "''") for p in (r.head, r.tail))
+        pattern = f"({head}{tail})" if r.whole else f"(?i:{head})({tail})"
+        return f"({k}, '{r.kind}', {str(r.base).lower()}, {r.least}, '{pattern}')"
+
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules if r.base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r(k, kind, base, least, pattern) AS (VALUES {", ".join(row(k, r) for k, r in enumerate(rules))}),
+m AS (SELECT doc_id, k, kind, base, least, regexp_extract_all(t, pattern, 0) AS a, regexp_extract_all(t, pattern, 1) AS g, regexp_split_to_array(t, pattern) AS p FROM d, r),
+x AS (SELECT doc_id, k, kind, base, least, unnest(a) AS s, unnest(g) AS g, unnest(p[1:len(a)]) AS gap, generate_subscripts(a, 1) AS i FROM m WHERE len(a) > 0),
+y AS (SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM x),
+z AS (SELECT doc_id, k, kind, base, stop - length(s) AS start, kind || ':' || (stop - length(s)) || ':' || stop AS span FROM y WHERE length(g) >= least)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (base), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, k), '') AS spans
+FROM d LEFT JOIN z ON z.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+ORACLE = _oracle()
