@@ -7,9 +7,10 @@ import re
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 
-@udtf(returnType="pos int, json string")
+@udtf(returnType=StructType([StructField("pos", IntegerType()), StructField("json", StringType())]))
 class YamlDocuments:
     """The documents of a YAML text, as JSON."""
 
@@ -20,7 +21,7 @@ class YamlDocuments:
             yield pos, json.dumps(doc, ensure_ascii=False)
 
 
-@udtf(returnType="line_no int, line string, fits boolean")
+@udtf(returnType=StructType([StructField("line_no", IntegerType()), StructField("line", StringType()), StructField("fits", BooleanType())]))
 class TextLines:
     """The lines of a text, and whether each fits a pattern."""
 
