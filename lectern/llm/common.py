@@ -111,7 +111,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, len(self.up) + (len(self.up) >> 2))
             self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64), dtype=np.uint64)]) for b in (BASE, BASE_INVERSE))
         return self.up[:n], self.down[:n]
 

@@ -81,6 +81,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op3_secret_scan": secrets.ORACLE,
+    "op5_ngram_join": ngram_join.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_source_mix": mixing.ORACLE,
