@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from lectern.catalog import LIBRARY, VOLUME, Catalog, CatalogError, config_get, config_set, load_config
@@ -16,7 +17,7 @@ def _parser() -> argparse.ArgumentParser:
     lib = top.add_parser("library").add_subparsers(dest="action", required=True)
     for name in ("init", "info"):
         a = lib.add_parser(name)
-        a.add_argument("path")
+        a.add_argument("path", nargs="?", default=os.environ.get("LECTERN_LIBRARY", "."))
         a.add_argument("--force", action="store_true")
     vol = top.add_parser("volume").add_subparsers(dest="action", required=True)
     for name in ("init", "new", "info", "set", "rename", "list"):
@@ -82,6 +83,11 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--quirks", choices=["none", "ky-book3"], default="none")
     a.add_argument("--template", help="a Python file that defines template(file, rows, options) -> text")
     a.add_argument("--block-limit", type=int, default=10_000)
+    st = top.add_parser("stats").add_subparsers(dest="action", required=True)
+    for name in ("content", "aggregates", "analytics"):
+        a = st.add_parser(name)
+        a.add_argument("input")
+        a.add_argument("output", help="folder of JSON lines")
     conf = top.add_parser("config").add_subparsers(dest="action", required=True)
     for name in ("get", "set"):
         a = conf.add_parser(name)
@@ -121,7 +127,6 @@ def _configure(o: argparse.Namespace) -> object:
 
 
 def _markdown(o: argparse.Namespace, content) -> object:
-    import os
     import runpy
 
     from lectern.plans import media
@@ -202,6 +207,10 @@ def run(argv: list[str]) -> object:
         return o.index_path
     if o.group == "markdown":
         return _markdown(o, content)
+    if o.group == "stats":
+        made = {"content": media.content_statistics, "aggregates": media.corpus_aggregates, "analytics": media.corpus_analytics}[o.action]
+        made(content).write.mode("overwrite").json(o.output)
+        return o.output
     if o.action == "link":
         linked, totals = media.linked_blocks(content, Index.load(spark, o.index_path), o.link_name)
         blocks.write_files(blocks.yaml_files(linked), o.output)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import folds, intervals, lookup, search
+from lectern.operators import folds, intervals, lookup, search, stats
 from lectern.sources import blocks as B
 from lectern.sources import markdown
 
@@ -95,6 +95,32 @@ def subtitle_cues(content: DataFrame, include_ref: str | None = None, extend_ms:
     return cues.select(F.concat("base", F.lit(".srt")).alias("file"), "cue_start", "cue_end", text.alias("cue_text"))
 
 
+def content_tokens(content: DataFrame, tokens=search.cjk_tokens) -> DataFrame:
+    """(file, pos, term): the tokens of all chunks."""
+    chunks = content.select(T.base_name("file").alias("file"), "pos", F.explode("block.chunks").alias("chunk"))
+    return chunks.select("file", "pos", F.explode(tokens(F.col("chunk.text"))).alias("term"))
+
+
+def content_statistics(content: DataFrame, tokens=search.cjk_tokens) -> DataFrame:
+    """For each file its tokens, those of timed blocks, their duration and the time for a token."""
+    start, end = B.block_times("block")
+    times = content.select(T.base_name("file").alias("file"), "pos", start.alias("start_us"), end.alias("end_us"))
+    counts = content_tokens(content, tokens).groupBy("file", "pos").agg(F.count("*").alias("n_tokens"))
+    return stats.timed_statistics(times.join(counts, ["file", "pos"]), "file")
+
+
+def corpus_aggregates(content: DataFrame, tokens=search.cjk_tokens) -> DataFrame:
+    """Each term's count and the files that have it."""
+    return stats.document_frequency(stats.term_frequency(content_tokens(content, tokens), ["term"], ["file"]), doc="file")
+
+
+def corpus_analytics(content: DataFrame, tokens=search.cjk_tokens) -> DataFrame:
+    """How common each file's terms are in all files."""
+    counts = stats.term_frequency(content_tokens(content, tokens), ["term"], ["file"])
+    n = content.select("file").distinct().count()
+    return stats.utility(counts, stats.document_frequency(counts, doc="file"), F.lit(n), doc="file")
+
+
 def linked_blocks(content: DataFrame, index: search.Index, name: str, tokens=search.cjk_tokens) -> tuple[DataFrame, DataFrame]:
     """Blocks whose chunks have the text of their best hit as reference ``name``, and the totals of ``link_content``."""
     links, totals = link_content(content, index, name, tokens)

@@ -131,3 +131,13 @@ def test_config_and_volumes(spark, tmp_path):
     inner = run(["volume", "new", str(tmp_path / "lib"), "One", "--moniker", "m-1", "--tags", "b,a"])
     run(["volume", "new", str(tmp_path / "lib"), "Two"])
     assert [v["title"] for v in run(["volume", "list", inner])] == ["One"] and [v["title"] for v in run(["volume", "list", inner, "--all"])] == ["Two", "One"]
+
+
+def test_stats(spark, content):
+    (content / "in" / "two.content.yaml").write_text("chunks:\n- text: 森へ to\n")
+    rows = lambda action: [json.loads(x) for f in sorted((content / action).glob("part*")) for x in f.read_text().splitlines()]
+    for action in ("content", "aggregates", "analytics"):
+        run(["stats", action, str(content / "in"), str(content / action)])
+    assert {(r["file"], r["tokens"], r["timed_tokens"], r["duration_us"]) for r in rows("content")} == {("ep", 4, 4, 1_000_000), ("two", 2, 0, 0)}
+    assert {r["term"]: (r["cnt"], r["n_docs"]) for r in rows("aggregates")}["to"] == (1, 1)
+    assert {(r["file"], r["n_terms"]) for r in rows("analytics")} == {("ep", 4), ("two", 2)}
