@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last
 return the columns of ``documents``.
+
+Each stage takes any table with these columns. Further columns are left out by all stages but the last, whatever
+their names; the last keeps them, but replaces replica and shuffle_key. An empty table stays empty. Rows without an id
+are kept or dropped by their texts alone, lose every boilerplate line, are no near copies, and are repeated by their
+texts. Rows that repeat an id stay or go together, as far as their texts do. Null and empty texts have a quality
+score, no lines, no shingles and no leaks; null sources are no sites, and are mixed at rate 1. Very long texts are
+read whole.
 """
 
 from __future__ import annotations
