@@ -305,9 +305,8 @@ def jaccard_components(
     lists = _lists(texts, counts, n, NONE, group_rows, sample)
     met = lambda hub: (F.col("doc") != F.col(hub)["doc"]) & _passes("size", f"{hub}.size", "pos", f"{hub}.pos")
     spoke = lambda hub: lists.where(met(hub)).select(F.col(hub)["doc"].alias("a"), F.col("doc").alias("b"))
-    # A split list's documents meet their group's hub, and these hubs, like all others, the list's.
-    inner = lists.where("own.doc = doc").where(met("hub")).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"))
-    first = connected(_verified(spoke("own").unionByName(inner).distinct(), texts, reps, n, "spoke"))
+    # A split list's documents meet their group's hub and the list's: either may be the one that is like them.
+    first = connected(_verified(spoke("own").unionByName(spoke("hub")).distinct(), texts, reps, n, "spoke"))
     named = stored(
         reps.select("doc", "rep").distinct().join(first, F.col("rep") == F.col("node"), "left").select("doc", "rep", F.coalesce("component", "rep").alias("component")), "gram-components"
     )
