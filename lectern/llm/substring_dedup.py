@@ -9,8 +9,8 @@ extensions, and these, on both sides of the anchors, tell which windows are equa
 and order; bytes decide.
 
 A gram that very many documents share is sorted in about the square root of its regions, in as many groups.
-Of each window that a group leads, one region goes on to a second sort, where the leaders of all groups meet
-by their 50 bytes' hash.
+Regions that lead a group in some window go on to a second sort, where the leaders of all groups meet by 33
+of the windows' bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import gram_hashes, mixed, prefix_hashes, removed, salts, scratch_path, slices, span_hashes, split_plan, stored, text_buffer, within
+from lectern.llm.common import gram_hashes, mixed, prefix_hashes, removed, restricted, salts, scratch_path, slices, span_hashes, split_plan, stored, text_buffer, within
 from lectern.llm.suffix_sort import Suffixes, same_bytes
 
 LENGTH = 50
@@ -33,7 +33,11 @@ GRAM = 16
 #: Windows that one anchor can serve.
 REACH = LENGTH - GRAM + 1
 #: Grams of more regions than this, as the planning sample has it, are sorted in groups.
-GROUP_ROWS = 4_000
+GROUP_ROWS = 1_000
+#: Leading regions of one key that are sorted at once at most.
+MOST_ROWS = 50_000
+#: Bytes of a window, besides the gram, by which leading regions meet again: half of what it has.
+SIDE = (LENGTH - GRAM) // 2
 #: One document in so many plans which grams are split. It decides the layout only, never a result.
 SAMPLE = 64
 #: Rounds, a power of two, in which grams are compared: each has its part of the regions in a shuffle at a time.
@@ -128,8 +132,8 @@ def _anchored(docs: DataFrame, without: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc long")
 
 
-#: A region, packed: the numbers of HEADER, as many places as it says, as 64-bit integers, and its bytes. One value
-#: for a row is a third smaller in a shuffle than a column for each.
+#: A region, packed: the numbers of HEADER, as many places as it says, as 64-bit integers, and its bytes. So a task
+#: sorts and hands over three columns instead of eight.
 CONTEXT = "gram long, salt int, body binary"
 HEADER = np.dtype([("doc", "<i8"), ("row", "<i8"), ("before", "u1"), ("windows", "u1"), ("places", "<u4")])
 
@@ -280,7 +284,7 @@ def _by_bytes(rows: np.ndarray, doc: np.ndarray, windows: np.ndarray, raw: bytes
         (covered if least[window] < doc[k] else leading)[k] |= np.uint64(1 << j)
 
 
-RESOLVED = "doc long, row long, places binary, mask long, salt int, leading long, windows int, bytes binary"
+RESOLVED = "doc long, row long, places binary, mask long, salt int, leading long, before int, windows int, bytes binary"
 
 
 def _resolved(contexts: DataFrame) -> DataFrame:
@@ -302,8 +306,8 @@ def _resolved(contexts: DataFrame) -> DataFrame:
             if leading.any():
                 raw = data.tobytes()
                 texts = pa.array([raw[a:b] if some else None for a, b, some in zip(bounds[:-1].tolist(), bounds[1:].tolist(), (leading != 0).tolist(), strict=True)], pa.binary())
-            out = [pa.array(doc), pa.array(header["row"].astype(np.int64)), _binary(places, header["places"]), pa.array(covered.view(np.int64)), pa.array(salt), pa.array(leading.view(np.int64)), pa.array(windows.astype(np.int32)), texts]
-            return pa.record_batch([x.take(keep) for x in out], names=["doc", "row", "places", "mask", "salt", "leading", "windows", "bytes"])
+            out = [pa.array(doc), pa.array(header["row"].astype(np.int64)), _binary(places, header["places"]), pa.array(covered.view(np.int64)), pa.array(salt), pa.array(leading.view(np.int64)), pa.array(header["before"].astype(np.int32)), pa.array(windows.astype(np.int32)), texts]
+            return pa.record_batch([x.take(keep) for x in out], names=["doc", "row", "places", "mask", "salt", "leading", "before", "windows", "bytes"])
 
         for batch in batches:
             held.append(batch)
@@ -325,40 +329,80 @@ def _resolved(contexts: DataFrame) -> DataFrame:
 
 
 def _leaders(rows: DataFrame) -> DataFrame:
-    """Each window that a part of a split group leads, as a region of its own, to meet by the hash of its bytes."""
+    """The regions in which parts of split groups lead some window, by narrower keys: a window has SIDE bytes more
+    than the anchor's gram after it or before it. The windows of either kind are a region of their own, and
+    those that can be equal meet by the hash of gram and side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, row, places, before, windows, raw = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("doc", "row", "places", "before", "windows", "bytes"))
+            out = []
+            for k in range(len(doc)):
+                at = before[k]  # window j has at - j bytes before the anchor
+                cut = min(max(at - SIDE, 0), windows[k])
+                for first, end, start in ((cut, windows[k], at), (0, cut, at - SIDE)):
+                    if first < end:
+                        moved = places[k] if not first else (np.frombuffer(places[k], np.int64) + first).tobytes()
+                        out.append((doc[k], row[k], at - first, end - first, moved, raw[k][first : end + LENGTH - 1], raw[k][start : start + GRAM + SIDE]))
+            if out:
+                yield _rows(out)
+
+    return rows.mapInArrow(run, CONTEXT)
 
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        raw = b"".join(x[3] for x in out)
-        at = np.arange(len(out)) * LENGTH
-        key = span_hashes(prefix_hashes(np.frombuffer(raw, np.uint8)), at, at + LENGTH)
-        header = np.zeros(len(out), HEADER)
-        header["doc"], header["row"], header["windows"], header["places"] = [x[0] for x in out], [x[1] for x in out], 1, [len(x[2]) // 8 for x in out]
-        bodies = _packed(header, b"".join(x[2] for x in out), raw, at, np.full(len(out), LENGTH))
-        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(len(out), -1, np.int32)), bodies], names=["gram", "salt", "body"])
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    """Packed regions (doc, row, before, windows, places, bytes, key), grouped by the hash of the key's bytes."""
+    doc, row, before, windows, places, texts, keys = zip(*out, strict=True)
+    joined = np.frombuffer(b"".join(keys), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+    header = np.zeros(len(out), HEADER)
+    header["doc"], header["row"], header["before"], header["windows"], header["places"] = doc, row, before, windows, [len(x) // 8 for x in places]
+    size = np.array([len(x) for x in texts])
+    bodies = _packed(header, b"".join(places), b"".join(texts), np.cumsum(size) - size, size)
+    gram = span_hashes(prefix_hashes(joined), at[:-1], at[1:])
+    return pa.record_batch([pa.array(gram.view(np.int64)), pa.array(np.full(len(out), -1, np.int32)), bodies], names=["gram", "salt", "body"])
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """Each window of packed regions as a region of its own, to meet by the hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
         for batch in batches:
-            columns = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("doc", "row", "places", "leading", "windows", "bytes"))
-            for doc, row, places, leading, windows, raw in zip(*columns, strict=True):
-                for j in range(windows):
-                    if leading >> j & 1:
-                        out.append((doc, row, (np.frombuffer(places, np.int64) + j).tobytes(), raw[j : j + LENGTH]))
-                        size += LENGTH + len(places)
-                        if size > 1 << 20:
-                            yield packed(out)
-                            out, size = [], 0
-        if out:
-            yield packed(out)
+            header, places, data, bounds = _unpacked(batch.column(2))
+            raw, ends = data.tobytes(), np.cumsum(header["places"].astype(np.int64))
+            out, size = [], 0
+            for k in range(len(header)):
+                own = places[ends[k] - header["places"][k] : ends[k]]
+                for j in range(header["windows"][k]):
+                    text = raw[bounds[k] + j : bounds[k] + j + LENGTH]
+                    out.append((header["doc"][k], header["row"][k], 0, 1, (own + j).tobytes(), text, text))
+                    size += LENGTH + 8 * len(own)
+                    if size > 1 << 20:
+                        yield _rows(out)
+                        out, size = [], 0
+            if out:
+                yield _rows(out)
 
     return rows.mapInArrow(run, CONTEXT)
 
 
-def repeated_windows(docs: DataFrame, group_rows: int = GROUP_ROWS, sample: int = SAMPLE) -> DataFrame:
+def _merged(leading: DataFrame, most: int) -> DataFrame:
+    """``_resolved`` of what leads in the parts of split groups. Keys of over ``most`` regions, as of a line that very
+    many documents have between different texts, are taken apart into windows, which no part leads twice."""
+    leaders = stored(_leaders(leading), "leaders")
+    large = stored(leaders.groupBy("gram").count().where(F.col("count") > most).select(F.col("gram").alias("__gram")), "large")
+    if large.isEmpty():
+        return _resolved(leaders)
+    same = F.col("gram") == F.col("__gram")
+    return _resolved(restricted(leaders, large, same, "left_anti")).unionByName(_resolved(_windows(restricted(leaders, large, same, "left_semi"))))
+
+
+def repeated_windows(docs: DataFrame, group_rows: int = GROUP_ROWS, sample: int = SAMPLE, most: int = MOST_ROWS) -> DataFrame:
     """For rows (doc, row, text), (doc, row, places, mask): regions' first windows, as 64-bit integers, and a bit for each window from there on
     that an earlier document has."""
     some = docs.select("doc", "text").where(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0)
-    split, parts = split_plan(_anchored(some, np.zeros(0, np.uint64)), group_rows, sample)
+    some = _anchored(some, np.zeros(0, np.uint64))
+    split, parts = split_plan(some, group_rows, sample)
     gram = Window.partitionBy("gram")
     shared = _anchored(docs.select("doc", "text"), split).withColumns({"lo": F.min("doc").over(gram), "hi": F.max("doc").over(gram)}).where("lo < hi")
     # Each shuffle is gone before the next one, so that they don't add up on disk.
@@ -373,8 +417,8 @@ def repeated_windows(docs: DataFrame, group_rows: int = GROUP_ROWS, sample: int
     found = reduce(DataFrame.unionAll, found)
     masks = found.where("mask <> 0").select("doc", "row", "places", "mask")
     if (parts > 1).any():
-        late = _resolved(_leaders(found.where("leading <> 0")))
-        masks = masks.unionByName(late.select("doc", "row", "places", "mask"))
+        late = _merged(found.where("leading <> 0"), most)
+        masks = masks.unionByName(late.where("mask <> 0").select("doc", "row", "places", "mask"))
     return masks
 
 
@@ -435,7 +479,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, sample: int = SAMPLE) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, sample: int = SAMPLE, most: int = MOST_ROWS) -> DataFrame:
     """A row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (starts
     and ends in bytes).
 
@@ -443,7 +487,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others: they don't count as earlier than each other, and each loses what an earlier document has. A row
     without id loses nothing and is nobody's earlier document. An empty table gives no rows. Matches don't
     cross texts; long texts are read whole. The result is exact: equal hashes bring regions together, and
-    bytes are compared before any goes.
+    bytes are compared before any goes. Grams of more regions than ``group_rows`` are
+    sorted in groups, and ``most`` of them at most meet again at once: this affects speed only.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc")).where("doc is not null")
     repeats = not ids.groupBy("doc").count().where("count > 1").isEmpty()
@@ -451,7 +496,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = F.xxhash64(F.col(text_col)) if repeats else F.lit(0).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), row.alias("row"), F.col(text_col).alias("text"))
     known = texts.where("doc is not null")
-    masks = repeated_windows(known, group_rows, sample).groupBy("doc", "row").agg(F.collect_list(F.struct("places", "mask")).alias("found"))
+    masks = repeated_windows(known, group_rows, sample, most).groupBy("doc", "row").agg(F.collect_list(F.struct("places", "mask")).alias("found"))
     nothing = F.array().cast("array<struct<places:binary,mask:bigint>>")
     joined = known.join(masks, ["doc", "row"], "left").select("doc", "text", F.coalesce("found", nothing).alias("found"))
     return stored(_cut(joined).unionByName(_cut(texts.where("doc is null").select("doc", "text", nothing.alias("found")))), "spans")
