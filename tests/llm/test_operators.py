@@ -93,8 +93,8 @@ def brute_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize(("group_rows", "sample"), [(50_000, 64), (2, 1), (8, 2)])
-def test_substring_dedup(spark, group_rows, sample):
+@pytest.mark.parametrize(("group_rows", "sample", "most"), [(50_000, 64, 50_000), (2, 1, 50_000), (8, 2, 3), (2, 1, 2)])
+def test_substring_dedup(spark, group_rows, sample, most):
     rng = random.Random(1)
     shared = [prose(rng, 40) for _ in range(4)]
     rows = []
@@ -105,7 +105,7 @@ def test_substring_dedup(spark, group_rows, sample):
             parts.insert(rng.randrange(4), s[a : a + rng.randrange(40, 150)])
         rows.append((i, " ".join(parts)))
     rows += [(60, "ab" * 100), (61, "x" + "ab" * 60), (62, rows[0][1]), (63, "é" * 40), (64, "é" * 26 + "x"), (65, "z" * 49), (66, "z" * 50), (67, "z" * 51)]
-    got = {r[0]: tuple(r[1:5]) for r in substring_dedup.repeated_spans(table(spark, rows), group_rows=group_rows, sample=sample).collect()}
+    got = {r[0]: tuple(r[1:5]) for r in substring_dedup.repeated_spans(table(spark, rows), group_rows=group_rows, sample=sample, most=most).collect()}
     assert got == brute_substrings(rows)
 
 
