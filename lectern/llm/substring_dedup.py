@@ -35,7 +35,7 @@ REACH = LENGTH - GRAM + 1
 #: Grams of more regions than this, as the planning sample has it, are sorted in groups.
 GROUP_ROWS = 1_000
 #: Leading regions of one key that are sorted at once at most.
-MOST_ROWS = 50_000
+MOST_ROWS = 2_000
 #: Bytes of a window, besides the gram, by which leading regions meet again: half of what it has.
 SIDE = (LENGTH - GRAM) // 2
 #: One document in so many plans which grams are split. It decides the layout only, never a result.
@@ -135,7 +135,7 @@ def _anchored(docs: DataFrame, without: np.ndarray) -> DataFrame:
 #: A region, packed: the numbers of HEADER, as many places as it says, as 64-bit integers, and its bytes. So a task
 #: sorts and hands over three columns instead of eight.
 CONTEXT = "gram long, salt int, body binary"
-HEADER = np.dtype([("doc", "<i8"), ("row", "<i8"), ("before", "u1"), ("windows", "u1"), ("places", "<u4")])
+HEADER = np.dtype([("doc", "<i8"), ("row", "<i8"), ("lead", "<u8"), ("before", "u1"), ("windows", "u1"), ("places", "<u4")])
 
 
 def _packed(header: np.ndarray, places: bytes, raw: bytes, first: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -335,15 +335,16 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, row, places, before, windows, raw = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("doc", "row", "places", "before", "windows", "bytes"))
+            doc, row, places, leading, before, windows, raw = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("doc", "row", "places", "leading", "before", "windows", "bytes"))
             out = []
             for k in range(len(doc)):
                 at = before[k]  # window j has at - j bytes before the anchor
                 cut = min(max(at - SIDE, 0), windows[k])
                 for first, end, start in ((cut, windows[k], at), (0, cut, at - SIDE)):
-                    if first < end:
+                    lead = (leading[k] & (1 << end) - 1) >> first if first < end else 0
+                    if lead:
                         moved = places[k] if not first else (np.frombuffer(places[k], np.int64) + first).tobytes()
-                        out.append((doc[k], row[k], at - first, end - first, moved, raw[k][first : end + LENGTH - 1], raw[k][start : start + GRAM + SIDE]))
+                        out.append((doc[k], row[k], lead, at - first, end - first, moved, raw[k][first : end + LENGTH - 1], raw[k][start : start + GRAM + SIDE]))
             if out:
                 yield _rows(out)
 
@@ -351,12 +352,12 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    """Packed regions (doc, row, before, windows, places, bytes, key), grouped by the hash of the key's bytes."""
-    doc, row, before, windows, places, texts, keys = zip(*out, strict=True)
+    """Packed regions (doc, row, lead, before, windows, places, bytes, key), grouped by the hash of the key's bytes."""
+    doc, row, lead, before, windows, places, texts, keys = zip(*out, strict=True)
     joined = np.frombuffer(b"".join(keys), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
     header = np.zeros(len(out), HEADER)
-    header["doc"], header["row"], header["before"], header["windows"], header["places"] = doc, row, before, windows, [len(x) // 8 for x in places]
+    header["doc"], header["row"], header["lead"], header["before"], header["windows"], header["places"] = doc, row, lead, before, windows, [len(x) // 8 for x in places]
     size = np.array([len(x) for x in texts])
     bodies = _packed(header, b"".join(places), b"".join(texts), np.cumsum(size) - size, size)
     gram = span_hashes(prefix_hashes(joined), at[:-1], at[1:])
@@ -364,7 +365,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """Each window of packed regions as a region of its own, to meet by the hash of its bytes."""
+    """Each window that packed regions lead, as a region of its own, to meet by the hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,9 +374,10 @@ def _windows(rows: DataFrame) -> DataFrame:
             out, size = [], 0
             for k in range(len(header)):
                 own = places[ends[k] - header["places"][k] : ends[k]]
-                for j in range(header["windows"][k]):
+                lead = int(header["lead"][k])
+                for j in (j for j in range(header["windows"][k]) if lead >> j & 1):
                     text = raw[bounds[k] + j : bounds[k] + j + LENGTH]
-                    out.append((header["doc"][k], header["row"][k], 0, 1, (own + j).tobytes(), text, text))
+                    out.append((header["doc"][k], header["row"][k], 1, 0, 1, (own + j).tobytes(), text, text))
                     size += LENGTH + 8 * len(own)
                     if size > 1 << 20:
                         yield _rows(out)
