@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decontaminate, exact_dedup, language, line_dedup, mixing, ngram_join, quality, secrets, substring_dedup
+from lectern.llm import chat_format, decontaminate, exact_dedup, language, lexical, line_dedup, mixing, ngram_join, quality, secrets, substring_dedup
 from lectern.llm.common import fold, table
 
 
@@ -67,6 +67,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chat(rows))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE = {
@@ -88,4 +93,5 @@ ORACLE = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_source_mix": mixing.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
 }
