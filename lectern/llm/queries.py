@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decontaminate, exact_dedup, language, lexical, line_dedup, mixing, ngram_join, quality, secrets, substring_dedup
+from lectern.llm import chat_format, decontaminate, exact_dedup, language, lexical, line_dedup, mixing, ngram_join, quality, repair, secrets, substring_dedup
 from lectern.llm.common import fold, table
 
 
@@ -71,6 +71,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(said), every=said)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
     "op12_lexical_search": op12_lexical_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
@@ -94,4 +100,5 @@ ORACLE = {
     "op7_source_mix": mixing.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
     "op12_lexical_search": lexical.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
 }
