@@ -20,19 +20,23 @@ BAND = 0.3
 
 
 def _row(id_col: str, text_col: str) -> Column:
-    return F.when(F.col(id_col).cast("long").isNull(), F.md5(F.col(text_col))).otherwise("")
+    """What tells the rows of one id apart, or those without an id: rows of the same text share it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.when(F.col(id_col).cast("long").isNull(), F.md5(text)).otherwise(F.hex(F.xxhash64(text)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """(line, site, doc, row): the hash of each trimmed line that is long enough; a null site stays null.
-    ``row`` tells texts of rows without an id apart and is empty for the others."""
-    hashes = F.transform(
-        F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= min_chars), lambda x: F.xxhash64(x)
-    )
+    """(line, pos, lead, site, doc, row): the hash of each trimmed line that is long enough, its place in the text, and
+    whether the text has it for the first time there; a null site stays null."""
+    hashes = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    hashes = F.transform(hashes, lambda x, i: F.when(F.length(x) >= min_chars, F.struct(F.xxhash64(x).alias("line"), i.alias("pos"))))
+    # Sorted by hash and place, a line comes first where the entry before is another; the array of one makes that array once.
+    by_hash = F.array_sort(F.filter(hashes, lambda x: x.isNotNull()))
+    led = F.transform(F.array(by_hash), lambda s: F.transform(s, lambda x, i: F.struct(x["line"].alias("line"), x["pos"].alias("pos"), F.coalesce(F.get(s, i - 1)["line"] != x["line"], F.lit(True)).alias("lead"))))
     site = F.when(F.col(site_col).isNotNull(), F.xxhash64(F.col(site_col)))
     # The row's key is made before the lines are exploded, so that no line carries its whole text along.
-    keyed = docs.select(hashes.alias("__hashes"), site.alias("site"), F.col(id_col).cast("long").alias("doc"), _row(id_col, text_col).alias("row"))
-    return keyed.select(F.explode("__hashes").alias("line"), "site", "doc", "row")
+    keyed = docs.select(led[0].alias("__lines"), site.alias("site"), F.col(id_col).cast("long").alias("doc"), _row(id_col, text_col).alias("row"))
+    return keyed.select(F.explode("__lines").alias("__line"), "site", "doc", "row").select("__line.*", "site", "doc", "row")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -76,40 +80,24 @@ def without_boilerplate(
     # Hashes of lines are a small part of the texts: texts are taken apart once, and all counts read these.
     lines = stored(_lines(docs, id_col, text_col, site_col, min_chars), "lines")
     bad = stored(boilerplate(lines, min_sites), "boilerplate")
-    hits = by_top(lines.select("line", "doc", "row"), bad, ["line"], "n")
-    is_first = F.coalesce(F.col("doc") == F.col("first_doc"), F.lit(False))
-    # Rows without an id have their text's digest as key; the others have none, so that the two never meet.
-    per_doc = hits.groupBy(F.coalesce("doc", F.lit(0)).alias("__doc"), F.col("row").alias("__key")).agg(
-        F.collect_set(F.when(~is_first, F.col("line"))).alias("__drop"),
-        F.collect_set(F.when(is_first, F.col("line"))).alias("__first"),
-    )
+    hits = by_top(lines.select("line", "pos", "lead", "doc", "row"), bad, ["line"], "n")
+    stays = F.col("lead") & F.coalesce(F.col("doc") == F.col("first_doc"), F.lit(False))
+    # Places to take out, in order. Rows without an id stand apart by their key. Rows of one id and text give the same places.
+    per_doc = hits.where(~stays).groupBy(F.coalesce("doc", F.lit(0)).alias("__doc"), F.col("row").alias("__key")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     others = [c for c in kept if c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row") if others else F.lit(0).alias("__row"), F.col(text_col).alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__doc"), _row(id_col, text_col).alias("__key"))
-    # A null text has no key; it has no lines either.
-    joined = rows.join(per_doc, ["__doc", "__key"], "left")
-    none = F.array().cast("array<bigint>")
-    lines = F.split("__text", "\n")
-    trimmed = F.transform("__lines", lambda x: F.btrim(x, F.lit(" \t\r")))
-    hashes = F.transform(trimmed, lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(x)))
-    drop = F.when(F.size("__drop") > 0, F.transform("__hash", lambda h: F.coalesce(F.array_contains("__drop", h), F.lit(False))))
-    first = F.when(F.size("__first") > 0, F.transform("__hash", lambda h, i: F.coalesce(F.array_contains("__first", h) & (F.array_position("__hash", h) <= i), F.lit(False))))
-    either = F.transform("__lines", lambda x, i: F.coalesce(F.get("__gone1", i), F.lit(False)) | F.coalesce(F.get("__gone2", i), F.lit(False)))
-    touched = (F.size("__drop") > 0) | (F.size("__first") > 0)
-    marked = (
-        joined.withColumn("__drop", F.coalesce("__drop", none))
-        .withColumn("__first", F.coalesce("__first", none))
-        .withColumn("__lines", lines)
-        .withColumn("__hash", F.when(touched, hashes))
-        .withColumn("__gone1", drop)
-        .withColumn("__gone2", first)
-        .withColumn("__gone", F.when(touched, either))
-    )
-    left = F.array_join(F.transform(F.filter(F.arrays_zip("__lines", "__gone"), lambda p: ~p["__gone"]), lambda p: p["__lines"]), "\n")
-    text = F.when(F.col("__gone").isNotNull() & F.exists("__gone", lambda g: g), left).otherwise(F.col("__text"))
-    removed = F.coalesce(F.size(F.filter("__gone", lambda g: g)), F.lit(0))
+    joined = rows.join(per_doc, ["__doc", "__key"], "left").withColumn("__lines", F.split("__text", "\n"))
+    # The marks of all lines come from the places by their distances, so that the work is linear in a text's lines; a last
+    # one, behind the text, is taken away with those of lines that go.
+    before = F.concat(F.array(F.lit(-1)), F.col("__gone"))
+    after = F.concat(F.col("__gone"), F.array(F.size("__lines")))
+    marks = F.flatten(F.zip_with(before, after, lambda a, b: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True)))))
+    left = F.filter(F.arrays_zip(F.col("__lines").alias("line"), marks.alias("gone")), lambda p: ~p["gone"])
+    text = F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(left, lambda p: p["line"]), "\n")).otherwise(F.col("__text"))
     out = [(text if c == text_col else F.col("__row").getField(c)).alias(c) for c in kept]
-    return marked.select(*out, F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(removed, F.lit(0)).cast("long").alias("n_removed"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return joined.select(*out, count("__lines").alias("n_lines"), F.when(F.col("__gone").isNotNull(), count("__gone")).otherwise(F.lit(0).cast("long")).alias("n_removed"))
 
 
 ORACLE = f"""
