@@ -61,21 +61,21 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 7, id_col: str =
         steps = F.try_element_at(table, F.col("__source"))
     steps = F.coalesce(steps, F.array(*[F.lit(p) for p in poisson_steps(1.0)]))
     name = F.coalesce(doc.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
-    count = F.size(F.filter(steps, lambda p: uniform(seed, F.col("__name")) >= p))
+    # An array of one holds a value while a lambda uses it: one digest is made for each count, whatever its steps.
+    held = lambda value, use: F.transform(F.array(value), use)[0]
+    drawn = lambda key: held(uniform(seed, key), lambda u: F.size(F.filter(steps, lambda p: u >= p)))
+    count = drawn(F.col("__name"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("replica", "shuffle_key")]
     named = docs.select(F.struct(*kept).alias("__row"), name.alias("__name"), source.alias("__source"))
     if parts:
         more = F.try_element_at(F.create_map(*[x for s in sorted(parts) for x in (F.lit(s), F.lit(parts[s] - 1))]), F.col("__source"))
-        draw = lambda k: F.size(F.filter(steps, lambda p: uniform(seed, F.concat(F.col("__name"), F.lit(":part:"), k.cast("string"))) >= p))
-        count = count + F.when(more.isNotNull(), F.aggregate(F.sequence(F.lit(1), more), F.lit(0), lambda n, k: n + draw(k))).otherwise(0)
-    last = F.when(F.col("__count") > 0, F.col("__count"))
-    counted = named.select("__row", "__name", count.alias("__count")).where("__count > 0")
-    if parts:  # a long list of copies is never one array
-        counted = counted.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(__count - 1) div {RUN}").cast("int"))).alias("__run"))
-        numbers = F.sequence(F.col("__run") * RUN + 1, F.least(last, F.col("__run") * RUN + RUN))
-    else:
-        numbers = F.sequence(F.lit(1), last)
-    copies = counted.select("__row", "__name", F.explode(numbers).alias("replica"))
+        part = lambda k: F.concat(F.col("__name"), F.lit(":part:"), k.cast("string"))
+        count = count + F.when(more.isNotNull(), F.aggregate(F.sequence(F.lit(1), more), F.lit(0), lambda n, k: n + drawn(part(k)))).otherwise(0)
+    # No filter on the count, which would make it anew: a document without copies has no list to explode. A long list of copies is
+    # several of RUN.
+    runs = held(count, lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda r: F.struct((r * RUN + 1).alias("first"), F.least(n, r * RUN + RUN).alias("last")))))
+    counted = named.select("__row", "__name", F.explode(runs).alias("__run"))
+    copies = counted.select("__row", "__name", F.explode(F.sequence("__run.first", "__run.last")).alias("replica"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), "__name", F.col("replica").cast("string"))))
     dealt = keyed.withColumn("__at", F.monotonically_increasing_id() % 1024).repartition("shuffle_key", "__at").sortWithinPartitions("shuffle_key")
     return dealt.select("__row.*", "replica", "shuffle_key")
