@@ -141,24 +141,6 @@ def gram_hashes(prefix: np.ndarray, n: int) -> np.ndarray:
     return mixed((prefix[n:] - prefix[:-n]) * down[: len(prefix) - n] + _U(n * int(_LENGTH) % (1 << 64)))
 
 
-def sparse_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = SLICE_BYTES) -> np.ndarray:
-    """``span_hashes`` of ascending spans, from prefix hashes that are made and dropped ``step`` bytes at a time."""
-    first, last, down = (np.zeros(len(starts), np.uint64) for _ in range(3))
-    carry, up, inverse = _U(0), _U(1), _U(1)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(data), step):
-            part = data[at : at + step]
-            local = prefix_hashes(part)
-            ups, downs = POWERS.to(len(part) + 1)
-            i, j = np.searchsorted(starts, [at, at + len(part)])
-            here = starts[i:j] - at
-            first[i:j], down[i:j] = carry + up * local[here], inverse * downs[here]
-            i, j = np.searchsorted(ends, [at, at + len(part)], "right")
-            last[i:j] = carry + up * local[ends[i:j] - at]
-            carry, up, inverse = carry + up * local[-1], up * ups[-1], inverse * downs[-1]
-    return mixed((last - first) * down + (ends - starts).astype(np.uint64) * _LENGTH)
-
-
 # Hot keys ------------------------------------------------------------------------------------------
 
 #: Keys that are split at most: any other has less than a thousandth or so of all rows.

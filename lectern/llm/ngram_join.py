@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_IDS, SPACES, by_group, mixed, restricted, salts, slices, sparse_span_hashes, split_plan, stored, text_buffer
+from lectern.llm.common import BROADCAST_IDS, SLICE_BYTES, SPACES, by_group, mixed, restricted, salts, slices, split_plan, stored, text_buffer
 from lectern.llm.components import connected
 
 N = 5
@@ -63,7 +63,7 @@ def gram_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
         finishes = inside.copy()
         finishes[:-1] &= ~inside[1:] | begins[1:]
         starts, ends = np.nonzero(begins)[0], np.nonzero(finishes)[0] + 1
-        words = sparse_span_hashes(low, starts, ends)
+        words = word_hashes(low, starts, ends)
         first = np.searchsorted(starts, bounds)
         grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
         for j in range(n):
@@ -82,6 +82,29 @@ def gram_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = SLICE_BYTES) -> np.ndarray:
+    """A hash of each word, ``step`` bytes at a time: the sum of a random number for each pair of a byte and its place in the
+    word. Unlike a polynomial modulo 2^64 it has no structure in which long words could collide."""
+    first, last = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    carry, seen = np.uint64(0), 0
+    known = np.concatenate([[0], starts])
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), step):
+            part = data[at : at + step]
+            i, j = np.searchsorted(starts, [at, at + len(part)])
+            begins = np.zeros(len(part), np.int64)
+            begins[starts[i:j] - at] = 1
+            place = np.arange(at, at + len(part)) - known[np.cumsum(begins) + seen]
+            seen += j - i
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(mixed(place.astype(np.uint64) << np.uint64(8) | part, 21), out=sums[1:])
+            first[i:j] = carry + sums[starts[i:j] - at]
+            i, j = np.searchsorted(ends, [at, at + len(part)], "right")
+            last[i:j] = carry + sums[ends[i:j] - at]
+            carry += sums[-1]
+    return mixed(last - first, 22)
+
+
 def set_digest(grams: np.ndarray) -> tuple[int, int]:
     """128 bits that tell sets apart, whatever their order."""
     return tuple(int(mixed(grams, salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (11, 12))
