@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_BATCH = 1_000
 
 
+#: The folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; on a cluster
     that would be a folder of each machine's own, so it is an error."""
@@ -22,10 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="lectern-")
-        atexit.register(shutil.rmtree, path, True)
-        base = f"file://{path}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:  # the setting can't be changed while a session runs
+            path = tempfile.mkdtemp(prefix="lectern-")
+            atexit.register(shutil.rmtree, path, True)
+            _OWN[app] = f"file://{path}"
+        base = _OWN[app]
     return base.rstrip("/")
 
 
@@ -40,6 +46,23 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder; whether it did. If another was there first, that one stays and ``source`` is deleted."""
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = not fs.exists(new) and fs.rename(old, new)
+    if not done:
+        fs.delete(old, True)
+    elif fs.exists(nested := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new, old.getName())):
+        fs.delete(nested, True)  # the other one came between: ours went into it
+    return done
+
+
 def stored(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet below the shared folder and reads it back: lineage ends here, and the
     table outlives the executors that wrote it."""

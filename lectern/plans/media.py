@@ -174,12 +174,14 @@ def index_content(content: DataFrame, tokens=search.cjk_tokens) -> search.Index:
     return search.build(rows, "doc", "text", ["file", "block"], tokens)
 
 
-def search_content(index: search.Index, query: str, limit: int = 100, tokens=search.cjk_tokens) -> DataFrame:
-    """Blocks with the phrase, else with any of its tokens, best first; a row for each matching chunk."""
-    spark = index.docs.sparkSession
-    q = spark.createDataFrame([(0, query)], "q int, text string")
-    hits = search.search(index, q, "q", "text", limit, tokens)
-    return hits.join(index.docs, "doc").orderBy("rank").select("rank", "score", "phrase", "file", "block")
+def search_content(index: search.Index, query: str | DataFrame, limit: int = 100, query_col: str = "q", text_col: str = "text", tokens=search.cjk_tokens) -> DataFrame:
+    """Blocks with the phrase, else with any of its tokens, best first; a row for each matching chunk. ``query`` is a text, or a table of many, whose
+    ids (``query_col``) then lead the rows."""
+    one = isinstance(query, str)
+    q = index.docs.sparkSession.createDataFrame([(0, query)], "q int, text string") if one else query
+    hits = search.search(index, q, query_col, text_col, limit, tokens)
+    out = hits.join(index.docs, "doc").select(F.col("query").alias(query_col), "rank", "score", "phrase", "file", "block")
+    return out.drop(query_col).orderBy("rank") if one else out
 
 
 def link_content(content: DataFrame, index: search.Index, name: str, tokens=search.cjk_tokens) -> tuple[DataFrame, DataFrame]:

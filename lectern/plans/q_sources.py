@@ -45,9 +45,9 @@ def list_exports(spark, d):
     """Exports with headers, of several lists, each row with its list's name; ids in order."""
     c, at = read(spark, d, "customer"), _folder(spark)
     rows = c.select(F.col("c_mktsegment").alias("list"), F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")).alias("Position"), F.concat(F.lit("tt"), F.col("c_custkey").cast("string")).alias("Const"), F.concat(F.col("c_name"), F.lit(', "x"')).alias("Title"))
-    for name in ("BUILDING", "MACHINERY"):
-        tabular.write_csv(rows.where(F.col("list") == name).drop("list"), f"{at}/{name}")
-    found = tabular.read_lists(spark, [f"{at}/MACHINERY", f"{at}/BUILDING", f"{at}/MACHINERY"])
+    rows.repartition("list").write.partitionBy("list").csv(at, header=True)
+    lists = [f"{at}/list={r[0]}" for r in c.select("c_mktsegment").distinct().collect()]
+    found = tabular.read_lists(spark, [*lists, *lists])
     return found.select(F.col("list").isNotNull().alias("named"), F.col("Position").cast("long").alias("position"), F.col("Const").alias("const"), F.col("Title").alias("title"))
 
 
@@ -61,6 +61,24 @@ def delimited_import(spark, d):
     return tabular.mapped(rows, spec).select(F.regexp_replace("file", r"\.txt$", "").alias("region"), F.col("pos").cast("long").alias("pos"), "key", F.to_json("block").alias("block"))
 
 
+def yaml_stream(spark, d):
+    """All documents' texts as streams of YAML, written by all tasks and read again in ranges."""
+    at = _folder(spark)
+    blocks.write_stream(read(spark, d, "documents").select(F.struct("doc_id", "text", F.struct("lang", "source").alias("origin")).alias("block")), at)
+    rows = blocks.read_yaml(spark, at, "doc_id bigint, text string, origin struct<lang:string,source:string>", "*.txt")
+    return rows.select("doc.doc_id", "doc.origin.lang", "doc.origin.source", F.length("doc.text").cast("long").alias("n_chars"), F.md5("doc.text").alias("md5"))
+
+
+def delimited_stream(spark, d):
+    """All orders as delimited files below a header, read in ranges: each row, and whether its place is behind that of the order before it in its file."""
+    at = _folder(spark)
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.concat(F.lit("a|"), F.lit("b")).alias("x"), "o_orderpriority")
+    o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.csv(at, sep=";", header=True)
+    rows = tabular.read_delimited(spark, at, ["key", "status", "x", "priority", "none"], sep=";", skip=1)
+    before = F.lag(F.col("key").cast("long")).over(Window.partitionBy("file").orderBy("pos"))
+    return rows.select(F.col("key").cast("long").alias("o_orderkey"), "status", "x", "priority", F.col("none").isNull().alias("missing"), F.coalesce(before < F.col("key").cast("long"), F.lit(True)).alias("ordered"))
+
+
 def json_sources(spark, d):
     """Records by id in one object, a whole table as one array, name and value lines, streams of records by extension."""
     n, at = read(spark, d, "nation"), _folder(spark)
@@ -162,10 +180,10 @@ def plain_documents(spark, d):
 def yaml_sources(spark, d):
     """Content files of their names, one document, a missing database, and workflow files as a graph of edges."""
     c, at = read(spark, d, "conversations"), _folder(spark)
-    block = F.struct(F.col("turn").cast("string").alias("id"), F.array(F.struct(F.md5("text").alias("text"), F.col("role"))).alias("chunks"))
+    block = F.struct(F.col("turn").cast("string").alias("id"), F.array(F.struct("text", "role")).alias("chunks"))
     blocks.write_files(blocks.yaml_files(c.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".content.yaml")).alias("file"), F.col("turn").alias("pos"), block.alias("block"))), f"{at}/content")
     content = blocks.read_content(spark, f"{at}/content")
-    turns = content.select(T.base_name("file").alias("a"), F.col("block.id").alias("b"), F.col("block.chunks")[0]["text"].alias("c"))
+    turns = content.select(T.base_name("file").alias("a"), F.col("block.id").alias("b"), F.md5(F.col("block.chunks")[0]["text"]).alias("c"))
     r, n = read(spark, d, "region"), read(spark, d, "nation")
     ops = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("inputs"))
     record = F.struct(F.col("r_name").alias("name"), "inputs", F.array(F.concat("r_name", F.lit(" out"))).alias("outputs"))
@@ -181,7 +199,7 @@ def yaml_sources(spark, d):
 def caption_sources(spark, d):
     """Captions written as WebVTT files of their names, sorted by time, and read again."""
     e, at = timed_events(spark, d), _folder(spark)
-    cues = e.where("start_us < end_us and start_us % 7 < 3").select(F.concat(F.col("file").cast("string"), F.lit(".vtt")).alias("file"), ((F.col("start_us") / 1_000_000).cast("long") % 90_000 * 1_000_000 + F.col("pos") % 7 * 1000).alias("cue_start"), F.col("event_type").alias("cue_text"), (F.col("end_us") - F.col("start_us")).alias("long"))
+    cues = e.where("start_us < end_us").select(F.concat(F.col("file").cast("string"), F.lit(".vtt")).alias("file"), ((F.col("start_us") / 1_000_000).cast("long") % 90_000 * 1_000_000 + F.col("pos") % 7 * 1000).alias("cue_start"), F.col("event_type").alias("cue_text"), (F.col("end_us") - F.col("start_us")).alias("long"))
     cues = cues.withColumn("cue_end", F.col("cue_start") + F.col("long"))
     blocks.write_files(captions.caption_files(cues, "file", "vtt"), at)
     return captions.read_captions(spark, at).select(F.regexp_replace("file", r"\.vtt$", "").cast("long").alias("user_id"), F.col("ordinal").cast("long").alias("ordinal"), "start_us", "end_us", F.col("markdown").alias("text"))
@@ -285,22 +303,21 @@ def graph_paths(spark, d):
 
 
 def content_search(spark, d):
-    """An index that grows by appending, opened again and searched for one text: blocks, best first."""
+    """An index that grows by appending, opened again and searched for all items: their blocks, best first."""
     docs, at = read(spark, d, "documents"), _folder(spark)
     content = docs.select(F.format_string("%012d", "doc_id").alias("file"), F.lit(0).cast("long").alias("pos"), F.struct(F.col("doc_id").cast("string").alias("id"), F.array(F.struct("text")).alias("chunks")).alias("block"))
     early = F.col("file") < F.format_string("%012d", F.lit(500))
     media.index_content(content.where(early), tokens=stats.words).save(at)
     index = media.index_content(content.where(~early), tokens=stats.words).append(at)
-    query = read(spark, d, "benchmark").orderBy("item_id").first()["text"]
-    hits = media.search_content(search.Index.load(spark, at), query, 10, tokens=stats.words)
-    assert index.docs.count() >= 0
-    return hits.select(F.col("rank").cast("long").alias("rank"), F.col("block.id").cast("long").alias("doc_id"), "score", "phrase")
+    assert index.docs.count() == docs.where("text <> ''").count()
+    hits = media.search_content(search.Index.load(spark, at), read(spark, d, "benchmark"), 10, "item_id", "text", tokens=stats.words)
+    return hits.select("item_id", F.col("rank").cast("long").alias("rank"), F.col("block.id").cast("long").alias("doc_id"), "score", "phrase")
 
 
 def incremental_runs(spark, d):
     """Files that arrive, taken up once each; blocks folded as they come; leaders kept between runs; a budget for each run."""
     c, at = read(spark, d, "conversations"), _folder(spark)
-    block = F.struct(F.array(F.struct(F.col("role").alias("text"))).alias("chunks"))
+    block = F.struct(F.array(F.struct("text")).alias("chunks"))
     files = blocks.yaml_files(c.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".content.yaml")).alias("file"), F.col("turn").alias("pos"), block.alias("block"))).withColumn("half", F.length("file") % 2)
     files = stored(files)
     fold = lambda raw: blocks.parsed_yaml(raw, blocks.BLOCK, "block").withColumn("n", F.size(folds.merge_reference_chunks(F.transform("block.chunks", lambda x: F.struct(x["text"].alias("text"), x["actor"].alias("actor"), x["role"].alias("role"), F.lit(None).cast("map<string,struct<text:string,actor:string,role:string>>").alias("references")))))).select("file", "pos", "n")
@@ -355,7 +372,7 @@ def table_functions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        title_tables, list_exports, delimited_import, json_sources, page_sources, xml_sources, file_listing, recognition_sources, plain_documents, yaml_sources, caption_sources, media_import, film_pipeline, title_suggestions, table_upkeep, graph_paths,
+        title_tables, list_exports, delimited_import, yaml_stream, delimited_stream, json_sources, page_sources, xml_sources, file_listing, recognition_sources, plain_documents, yaml_sources, caption_sources, media_import, film_pipeline, title_suggestions, table_upkeep, graph_paths,
         content_search, incremental_runs, leader_stream, table_functions,
     )
 }
@@ -363,9 +380,11 @@ QUERIES = {
 _CHUNK = """'[{{"text":"' || {0} || '","role":"OnScreenText","image":{{"textSpans":[{{"text":"' || {0} || '","confidence":{1}}}]}}}}]'"""
 ORACLE: dict[str, str] = {
     "title_tables": r"""SELECT 'tt' || p_partkey AS tconst, p_name AS "primaryTitle", CASE WHEN p_partkey % 3 <> 0 THEN 'original' END AS "originalTitle", p_partkey % 2 = 1 AS "isAdult", (p_size + 1900)::BIGINT AS "startYear", CAST(NULL AS INTEGER) AS "endYear", p_type || '|' || p_brand AS genres FROM part""",
-    "list_exports": """SELECT true AS named, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS position, 'tt' || c_custkey AS const, c_name || ', "x"' AS title FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
+    "list_exports": """SELECT true AS named, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS position, 'tt' || c_custkey AS const, c_name || ', "x"' AS title FROM customer""",
     "delimited_import": """SELECT n_regionkey::VARCHAR AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, n_nationkey::VARCHAR AS key,
           '{"title":"' || array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || '"' || CASE WHEN n_nationkey % 2 = 1 THEN ',"note":"odd"' ELSE '' END || '}' AS block FROM nation""",
+    "yaml_stream": "SELECT doc_id, lang, source, length(text) AS n_chars, md5(text) AS md5 FROM documents",
+    "delimited_stream": "SELECT o_orderkey, o_orderstatus AS status, 'a|b' AS x, o_orderpriority AS priority, true AS missing, true AS ordered FROM orders",
     "json_sources": """SELECT 'map' AS kind, n_nationkey::VARCHAR AS key, n_name || '/' || n_regionkey AS value FROM nation UNION ALL SELECT 'line', n_name, n_nationkey || ': x' FROM nation
         UNION ALL SELECT 'array', 'region', '[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY '{"r_regionkey":' || r_regionkey) || ']' FROM region UNION ALL SELECT 'stream', n_name, n_regionkey::VARCHAR FROM nation""",
     "page_sources": r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS l FROM pages),
@@ -383,7 +402,7 @@ ORACLE: dict[str, str] = {
         SELECT 'conv' || conv_id AS a, turn::VARCHAR AS b, md5(text) AS c FROM conversations UNION ALL SELECT 'mermaid', '', '    ' || replace(s, ' ', '_') || '["' || s || '"] --> ' || replace(t, ' ', '_') || '["' || t || '"]' FROM e
         UNION ALL SELECT 'graphviz', '', '  "' || s || '" -> "' || t || '";' FROM e UNION ALL SELECT 'first', '', min(r_name) FROM n""",
     "caption_sources": """WITH x AS (SELECT user_id, event_type, epoch_us(ts) AS s0, CAST(round(value * 600) AS BIGINT) * 1000000 AS d, event_id FROM events),
-          y AS (SELECT user_id, event_type, s0 // 1000000 % 90000 * 1000000 + event_id % 7 * 1000 AS s, d FROM x WHERE d > 0 AND s0 % 7 < 3)
+          y AS (SELECT user_id, event_type, s0 // 1000000 % 90000 * 1000000 + event_id % 7 * 1000 AS s, d FROM x WHERE d > 0)
         SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY s, s + d, event_type) AS ordinal, s AS start_us, s + d AS end_us, event_type AS text FROM y""",
     "media_import": """WITH x AS (SELECT s_suppkey, s_name, s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 1 AS seen, s_suppkey % 3 = 0 AS ref FROM supplier WHERE s_suppkey % 7 <> 0)
         SELECT s_suppkey, CASE WHEN seen THEN s_name || '.jpg' END AS image, CASE WHEN NOT ref THEN '<audio controls src="audio/' || replace(s_name, '#', '%23') || '.mp3"></audio>' END AS audio,
@@ -418,7 +437,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'natural', row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), n_regionkey || '/File ' || n_nationkey FROM nation
         UNION ALL SELECT 'aligned', coalesce(a.pos, b.pos), concat_ws('/', a.pos::VARCHAR, b.pos::VARCHAR) FROM (SELECT * FROM v WHERE event_type = 'view') a FULL JOIN (SELECT * FROM v WHERE event_type = 'purchase') b ON a.file = b.file AND a.n = b.n""",
     "leader_stream": _LEADERS,
-    "content_search": _SCORES + " SELECT rank, doc_id, score, phrase FROM rk WHERE rank <= 10 AND item_id = (SELECT min(item_id) FROM benchmark)",
+    "content_search": _SCORES + " SELECT item_id, rank, doc_id, score, phrase FROM rk WHERE rank <= 10",
     "incremental_runs": """SELECT 'file' AS kind, conv_id AS key, count(*) || '/' || count(*) AS value FROM conversations GROUP BY 2 UNION ALL SELECT 'budget', conv_id, '' FROM (SELECT DISTINCT conv_id FROM conversations ORDER BY 1 LIMIT 21)
         UNION ALL SELECT 'window', epoch(date_trunc('day', ts))::BIGINT, event_type || '/' || count(*) FROM events GROUP BY 2, event_type""",
 }

@@ -99,13 +99,13 @@ def _queries(spark, d):
 
 
 def phrase_search(spark, d):
-    index = search.opened(read(spark, d, "documents"), "doc_id", "text", ["lang"])
+    index = search.opened(spark, f"{d}/documents.parquet", "doc_id", "text", ["lang"])
     out = search.search(index, _queries(spark, d), "item_id", "q", 10)
     return out.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "phrase", "score")
 
 
 def search_link_top1(spark, d):
-    index = search.opened(read(spark, d, "documents"), "doc_id", "text", ["lang"])
+    index = search.opened(spark, f"{d}/documents.parquet", "doc_id", "text", ["lang"])
     return search.link(index, _queries(spark, d), "item_id", "q", ["lang"]).select("item_id", "linked_doc", "linked_lang")
 
 

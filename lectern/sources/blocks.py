@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.time import format_vtt, vtt_time
+from lectern.sources import splits
 
 _GROUP = "struct<name:string,similarity:double>"
 _IMAGE = f"struct<name:string,group:{_GROUP},groupCandidate:{_GROUP}>"
@@ -62,11 +63,27 @@ def documents(text: str, file: str = "") -> Iterator[Any]:
         raise ValueError(f"{file}: {e}") from e
 
 
+#: What parts the documents of a stream. A document's own text can't hold it, as a line of it would be indented or quoted.
+SEPARATOR = "\n---\n"
+
+
 def read_yaml(spark: SparkSession, path: str, schema: str, glob: str = "*.yaml", column: str = "doc") -> DataFrame:
     """(file, pos, <column>): each document of each file below ``path``, not recursive, as ``schema`` reads
-    it; unknown keys are in ``extra``, as JSON. A file is one task's work; files are read in any order."""
-    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return parsed_yaml(raw, schema, column)
+    it; unknown keys are in ``extra``, as JSON. Null documents are left out. Many tasks read a file, each a range of it, so pos ascends in a
+    file and is 0, 1, 2, .. in files of one range (see ``splits``). Documents that are parted otherwise, as by ``---`` with a comment or
+    before a carriage return, stay together for one task."""
+    made = splits.placed(splits.records(spark, path, glob, SEPARATOR), _jsons)
+    return made.select("file", "pos", F.from_json("json", schema).alias(column), F.col("json").alias("extra"))
+
+
+def _jsons(file: str, text: str) -> Iterator[str]:
+    return (json.dumps(d, ensure_ascii=False) for d in documents(text, file))
+
+
+def write_stream(rows: DataFrame, path: str, record: str = "block") -> None:
+    """Records as YAML streams, a file for each task: a document a record, of JSON in one line, which is YAML too. ``read_yaml`` reads them, as
+    does any reader of YAML, in as many ranges as their sizes ask for."""
+    rows.select(F.to_json(record).alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def parsed_yaml(files: DataFrame, schema: str, column: str = "doc") -> DataFrame:

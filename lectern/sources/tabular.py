@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources import splits
 
 #: Leading columns of the public title datasets; later ones are not parsed.
 TITLE_TABLES = {
@@ -51,10 +54,10 @@ def read_lists(spark: SparkSession, paths: list[str], schema: str = "Position in
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", skip: int = 0) -> DataFrame:
-    """Lines after the first ``skip`` of each file, split into the columns; missing ones are null."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), T.lines("value").alias("lines"))
-    rows = raw.select("file", F.posexplode(F.slice("lines", F.lit(skip + 1), F.greatest(F.size("lines") - skip, F.lit(0)))).alias("pos", "line"))
-    parts = F.split("line", sep.replace("|", r"\|"), -1)
+    """Lines after the first ``skip`` of each file, split into the columns; missing ones are null. Many tasks read a file; pos ascends
+    in it, and is 0, 1, 2, .. in files that one range holds (see ``splits``)."""
+    rows = splits.placed(splits.records(spark, path), lambda _, line: iter((line,)), "line", skip)
+    parts = F.split("line", re.escape(sep), -1)
     return rows.select("file", "pos", *[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(columns)])
 
 
