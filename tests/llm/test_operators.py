@@ -367,15 +367,6 @@ def test_one_passage_in_many_components(spark, monkeypatch):
     assert all(sum(made[n]) <= 4 * n for n in made), made
 
 
-@pytest.mark.parametrize("step", [1, 7, 64, 1000])
-def test_sparse_span_hashes(step):
-    rng = np.random.default_rng(3)
-    data = rng.integers(0, 256, 500).astype(np.uint8)
-    cuts = np.sort(rng.choice(501, 80, replace=False))
-    starts, ends = cuts[:-1], cuts[1:]
-    assert (common.sparse_span_hashes(data, starts, ends, step) == common.span_hashes(common.prefix_hashes(data), starts, ends)).all()
-
-
 def test_prefix_length():
     for n in range(1, 200):
         assert ngram_join.prefix_length(n) == n - math.ceil(0.75 * n) + 1
