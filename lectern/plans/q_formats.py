@@ -6,19 +6,30 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import folds
-from lectern.plans.tables import EVENTS_SQL, timed_events
+from lectern.plans.tables import EVENTS_SQL, read, timed_events
 from lectern.sources import blocks, captions, markdown
 
-_VTT = "WEBVTT\n\nNOTE a note\n\nSTYLE\n::cue { color: red }\n\n1\n00:01.000 --> 00:02.500 align:start\nこれは<ruby>音<rt>おと</rt></ruby>です\n<i>two</i>\n\n00:00:03.000 --> 00:00:04.000\n<b>open\n"
-_TTML = '<tt xmlns="http://www.w3.org/ns/ttml" xmlns:tts="http://www.w3.org/ns/ttml#styling"><head><styling><style xml:id="r" tts:ruby="container"/><style xml:id="t" tts:ruby="text"/></styling></head><body><div><p begin="00:00:01.5" end="2500ms">A<br/>B</p><p begin="3s" end="0.1m">x<span style="r">音<span style="t">おと</span></span></p></div></body></tt>'
+_STYLES = '<head><styling><style xml:id="r" tts:ruby="container"/><style xml:id="t" tts:ruby="text"/></styling></head>'
+
+
+def _caption_texts(spark, d, kind, head, cue, tail, between):
+    """Each user's events as the text of one file, in order."""
+    e = timed_events(spark, d).select(F.concat(F.col("file").cast("string"), F.lit(f".{kind}")).alias("file"), "pos", cue.alias("cue"))
+    one = e.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "cue"))).alias("c"))
+    return one.select("file", F.concat(F.lit(head), F.array_join(F.transform("c", lambda x: x["cue"]), between), F.lit(tail)).alias("content"))
 
 
 def vtt_parse(spark, d):
-    return captions.cues_of(spark.createDataFrame([("a.vtt", _VTT)], "file string, content string"))
+    """All events as cues of WebVTT files with notes, styles, settings, ruby and tags, parsed."""
+    clock = lambda s: F.format_string("%02d:%02d:%02d.%03d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60, F.lit(250))
+    cue = F.concat("pos", F.lit("\n"), clock(F.col("pos")), F.lit(" --> "), clock(F.col("pos") + 2), F.lit(" align:start\nこれは<ruby>音<rt>おと</rt></ruby>です\n<i>"), "event_type", F.lit("</i> "), "pos")
+    return captions.cues_of(_caption_texts(spark, d, "vtt", "WEBVTT\n\nNOTE a note\n\nSTYLE\n::cue { color: red }\n\n", cue, "\n", "\n\n"))
 
 
 def ttml_parse(spark, d):
-    return captions.cues_of(spark.createDataFrame([("a.ttml", _TTML)], "file string, content string"))
+    """All events as paragraphs of TTML files with breaks and ruby by styles, parsed."""
+    cue = F.concat(F.lit('<p begin="'), "pos", F.lit('s" end="'), F.col("pos") * 1000 + 1500, F.lit('ms">'), "event_type", F.lit('<br/>x<span style="r">音<span style="t">おと</span></span> '), "pos", F.lit("</p>"))
+    return captions.cues_of(_caption_texts(spark, d, "ttml", f'<tt xmlns="http://www.w3.org/ns/ttml" xmlns:tts="http://www.w3.org/ns/ttml#styling">{_STYLES}<body><div>', cue, "</div></body></tt>", ""))
 
 
 def caption_export(spark, d):
@@ -51,23 +62,27 @@ def markdown_export(spark, d):
 
 
 def low_confidence_fold(spark, d):
-    rows = [("ab cd", [("ab", 0.1), ("cd", 0.9)]), ("ab cd", [("ab", 0.1), ("cd", 0.2)]), ("ab cd", [("ab", 0.9), ("cd", 0.1)]), ("x", []), ("ab cd tail", [("ab", 0.1), ("cd", 0.9)])]
-    df = spark.createDataFrame(rows, "text string, spans array<struct<text:string,confidence:double>>")
-    return df.select("text", folds.confident_text("text", "spans", 0.5).alias("cleaned"))
+    """Texts of all events, each of two spans with their confidence, without what isn't sure."""
+    e = read(spark, d, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("no"))
+    sure = lambda k: (F.col("event_id") % k) / 10.0 + 0.05
+    spans = F.array(F.struct(F.col("event_type").alias("text"), sure(10).alias("confidence")), F.struct(F.col("no").alias("text"), sure(7).alias("confidence")))
+    return e.select("event_id", folds.confident_text(F.concat_ws(" ", "event_type", "no"), spans, 0.5).alias("cleaned"))
 
 
 def japanese_filter(spark, d):
-    rows = [(t,) for t in ("", "やま", "山川", "latin", "人日", "ロ", "森[もり]の", None)]
-    df = spark.createDataFrame(rows, "text string")
-    return df.select("text", T.is_japanese_text("text").alias("kept"), T.ruby("text").alias("ruby"))
+    """Names of all parts, some between Japanese words: which count as Japanese text, and their ruby as HTML."""
+    k = F.col("p_partkey")
+    text = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("やま"), "p_name")).when(k % 6 == 2, F.col("p_name")).when(k % 6 == 3, F.concat(F.lit("森[もり]の"), "p_name")).when(k % 6 == 4, "ロ")
+    df = read(spark, d, "part").select("p_partkey", text.alias("text"))
+    return df.select("p_partkey", T.is_japanese_text("text").alias("kept"), T.ruby("text").alias("ruby"))
 
 
 QUERIES = {f.__name__: f for f in (vtt_parse, ttml_parse, caption_export, yaml_roundtrip, markdown_export, low_confidence_fold, japanese_filter)}
 ORACLE = {
-    "vtt_parse": r"""SELECT file, ordinal, id, start_us::BIGINT AS start_us, end_us::BIGINT AS end_us, settings, raw, markdown FROM (VALUES ('a.vtt', 1, '1', 1000000, 2500000, 'align:start', 'これは<ruby>音<rt>おと</rt></ruby>です' || chr(10) || '<i>two</i>', 'これは 音[おと]です  ' || chr(10) || 'two'),
-        ('a.vtt', 2, NULL, 3000000, 4000000, NULL, '<b>open', 'open')) t(file, ordinal, id, start_us, end_us, settings, raw, markdown)""",
-    "ttml_parse": r"""SELECT file, ordinal, id::VARCHAR AS id, start_us::BIGINT AS start_us, end_us::BIGINT AS end_us, settings::VARCHAR AS settings, raw, markdown FROM (VALUES ('a.ttml', 1, NULL, 1500000, 2500000, NULL, 'A' || chr(10) || 'B', 'A  ' || chr(10) || 'B'),
-        ('a.ttml', 2, NULL, 3000000, 6000000, NULL, 'x<ruby>音<rt>おと</rt></ruby>', 'x 音[おと]')) t(file, ordinal, id, start_us, end_us, settings, raw, markdown)""",
+    "vtt_parse": """SELECT user_id || '.vtt' AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ordinal, event_id::VARCHAR AS id, event_id * 1000000 + 250000 AS start_us, event_id * 1000000 + 2250000 AS end_us, 'align:start' AS settings,
+        'これは<ruby>音<rt>おと</rt></ruby>です' || chr(10) || '<i>' || event_type || '</i> ' || event_id AS raw, 'これは 音[おと]です  ' || chr(10) || event_type || ' ' || event_id AS markdown FROM events""",
+    "ttml_parse": """SELECT user_id || '.ttml' AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ordinal, NULL::VARCHAR AS id, event_id * 1000000 AS start_us, event_id * 1000000 + 1500000 AS end_us, NULL::VARCHAR AS settings,
+        event_type || chr(10) || 'x<ruby>音<rt>おと</rt></ruby> ' || event_id AS raw, event_type || '  ' || chr(10) || 'x 音[おと] ' || event_id AS markdown FROM events""",
     "caption_export": """SELECT user_id || '.srt' AS file, count(*) AS n_cues, min(event_type) AS first_text FROM events WHERE round(value * 600) >= 1 GROUP BY user_id""",
     "yaml_roundtrip": """WITH b AS (SELECT user_id, event_id, '{"id":"' || event_id || '","source":{"timecodes":{"start":"00:00:01.000","end":"00:00:02.000"},"note":"' || event_type || '"},"chunks":[{"text":"' || event_type || ' ' || event_id || '"}]}' AS j FROM events)
         SELECT user_id::VARCHAR AS file, count(*) AS n_docs, md5(string_agg(j, chr(10) ORDER BY event_id)) AS md5 FROM b GROUP BY 1""",
@@ -77,6 +92,6 @@ ORACLE = {
           CASE event_type WHEN 'purchase' THEN '<audio controls src="audio/s.mp3"></audio>' ELSE '---' END) AS t FROM n),
         f AS (SELECT file::VARCHAR AS file, '# ' || file || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY pos) || chr(10) AS c FROM m GROUP BY m.file)
         SELECT file, length(c) AS n_chars, md5(c) AS md5 FROM f""",
-    "low_confidence_fold": "SELECT * FROM (VALUES ('ab cd', 'cd'), ('ab cd', NULL), ('ab cd', 'ab cd'), ('x', 'x'), ('ab cd tail', 'cd')) t(text, cleaned)",
-    "japanese_filter": """SELECT * FROM (VALUES ('', false, ''), ('やま', true, 'やま'), ('山川', true, '山川'), ('latin', false, 'latin'), ('人日', false, '人日'), ('ロ', false, 'ロ'), ('森[もり]の', true, '<ruby>森<rt>もり</rt></ruby>の'), (NULL, false, NULL)) t(text, kept, ruby)""",
+    "low_confidence_fold": "SELECT event_id, CASE WHEN event_id % 10 >= 5 THEN event_type || ' ' || event_id WHEN event_id % 7 >= 5 THEN event_id::VARCHAR END AS cleaned FROM events",
+    "japanese_filter": """SELECT p_partkey, p_partkey % 6 IN (1, 3) AS kept, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'やま' || p_name WHEN 2 THEN p_name WHEN 3 THEN '<ruby>森<rt>もり</rt></ruby>の' || p_name WHEN 4 THEN 'ロ' END AS ruby FROM part""",
 }
