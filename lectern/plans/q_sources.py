@@ -14,7 +14,7 @@ from lectern.operators._store import shared_folder, stored
 from lectern.plans import films, media
 from lectern.plans.q_text import _LEADERS, _SCORES
 from lectern.plans.tables import EVENTS_SQL, read, timed_events
-from lectern.sources import blocks, captions, markdown, recognition, tabular
+from lectern.sources import blocks, captions, markdown, recognition, tabular, templates
 from lectern.streaming import incremental
 
 
@@ -177,6 +177,23 @@ def plain_documents(spark, d):
     return shown.join(made, "file").select(F.col("file").cast("long").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "plain", "html", F.col("content").alias("made"))
 
 
+_TEMPLATE = """# {{ file_heading }} ({{ settings.kind }}{{ settings.none }}{{ nothing.at.all }})
+{{ for block in blocks -}}
+{{ if block.first }}## {{ format_timecode block.at }} {{ block_index }}
+{{ else }}---
+{{ end -}}
+{{ block.role }}: {{ block.text }}
+{{- render_image block.picture }}{{ render_audio block.absent }}{{ if block.absent }}never{{ end }}
+{{ end }}"""
+
+
+def templated_turns(spark, d):
+    """All conversations as files of a user's template, with a loop, choices, functions and names that nothing has."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", "role", "text", (F.col("role") == "user").alias("first"), (F.col("turn") * 61_000_000).cast("long").alias("at"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("a b"), "turn", F.lit(".jpg"))).alias("picture"))
+    files = templates.rendered(c, _TEMPLATE, "conv_id", "turn", {"kind": "chat"})
+    return files.select(F.col("file").alias("conv_id"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("md5"))
+
+
 def yaml_sources(spark, d):
     """Content files of their names, one document, a missing database, and workflow files as a graph of edges."""
     c, at = read(spark, d, "conversations"), _folder(spark)
@@ -372,7 +389,7 @@ def table_functions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        title_tables, list_exports, delimited_import, yaml_stream, delimited_stream, json_sources, page_sources, xml_sources, file_listing, recognition_sources, plain_documents, yaml_sources, caption_sources, media_import, film_pipeline, title_suggestions, table_upkeep, graph_paths,
+        title_tables, list_exports, delimited_import, yaml_stream, delimited_stream, json_sources, page_sources, xml_sources, file_listing, recognition_sources, plain_documents, templated_turns, yaml_sources, caption_sources, media_import, film_pipeline, title_suggestions, table_upkeep, graph_paths,
         content_search, incremental_runs, leader_stream, table_functions,
     )
 }
@@ -398,6 +415,10 @@ ORACLE: dict[str, str] = {
     "plain_documents": """WITH x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) - 1 AS n, role, md5(text) AS t FROM conversations)
         SELECT conv_id, pos, role || ' is at here' || chr(10) || t || chr(10) AS plain, '<p><strong>' || role || '</strong> <em>is</em> <code>at</code> <a href="x">here</a><br />' || chr(10) || t || '</p>' || chr(10) AS html,
           conv_id || ': ' || string_agg(length(role) + 59 + CASE WHEN pos = n THEN 1 ELSE 0 END, ',') OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS made FROM x""",
+    "templated_turns": """WITH x AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations),
+        y AS (SELECT conv_id, k, CASE WHEN role = 'user' THEN '## ' || printf('%02d:%02d:%02d', turn * 61 // 3600, turn * 61 // 60 % 60, turn * 61 % 60) || ' ' || k || chr(10) ELSE '---' || chr(10) END || coalesce(role, '') || ': ' || coalesce(text, '') ||
+          CASE WHEN turn % 3 = 1 THEN '![](images/a%20b' || turn || '.jpg)' ELSE '' END || chr(10) AS t FROM x), z AS (SELECT conv_id, '# ' || conv_id || ' (chat)' || chr(10) || string_agg(t, '' ORDER BY k) AS c FROM y GROUP BY 1)
+        SELECT conv_id, length(c) AS n_chars, md5(c) AS md5 FROM z""",
     "yaml_sources": r"""WITH n AS (SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey), e AS (SELECT n_name AS s, r_name AS t FROM n UNION ALL SELECT DISTINCT r_name, r_name || ' out' FROM n)
         SELECT 'conv' || conv_id AS a, turn::VARCHAR AS b, md5(text) AS c FROM conversations UNION ALL SELECT 'mermaid', '', '    ' || replace(s, ' ', '_') || '["' || s || '"] --> ' || replace(t, ' ', '_') || '["' || t || '"]' FROM e
         UNION ALL SELECT 'graphviz', '', '  "' || s || '" -> "' || t || '";' FROM e UNION ALL SELECT 'first', '', min(r_name) FROM n""",

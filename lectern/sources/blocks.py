@@ -83,7 +83,19 @@ def _jsons(file: str, text: str) -> Iterator[str]:
 def write_stream(rows: DataFrame, path: str, record: str = "block") -> None:
     """Records as YAML streams, a file for each task: a document a record, of JSON in one line, which is YAML too. ``read_yaml`` reads them, as
     does any reader of YAML, in as many ranges as their sizes ask for."""
-    rows.select(F.to_json(record).alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    rows.select(_yaml_safe(F.to_json(record)).alias("value")).write.option("lineSep", SEPARATOR).text(path)
+
+
+#: Characters that JSON may hold as they are, while YAML takes them for line ends or refuses them.
+_UNSAFE = [*range(0x7F, 0xA0), 0x2028, 0x2029, 0xFEFF, 0xFFFE, 0xFFFF]
+
+
+def _yaml_safe(json_text: Column) -> Column:
+    """JSON whose strings have such characters escaped."""
+    escaped = json_text
+    for code in _UNSAFE:
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.when(json_text.rlike(r"[\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff]"), escaped).otherwise(json_text)
 
 
 def parsed_yaml(files: DataFrame, schema: str, column: str = "doc") -> DataFrame:
