@@ -11,18 +11,19 @@ from lectern.operators._store import stored
 def breadth_first(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", child_no: str = "child_no", node: str = "node", max_depth: int = 1_000) -> DataFrame:
     """(node, depth, parent) of all nodes that the roots reach, each at its least depth; of the parents
     there, the least one that first lists it. Frontiers grow level by level; each level is a join with the
-    edges and an anti-join with what has been seen."""
+    edges and an anti-join with what has been seen. A graph of over ``max_depth`` levels is an error."""
     kind = dict(edges.dtypes)[child]
     seen = stored(roots.select(F.col(node).cast(kind).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).dropDuplicates(["node"]))
-    levels, front = [seen], seen
+    front = seen
     for depth in range(1, max_depth + 1):
         step = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c"), F.col(child_no).alias("__n")).join(front.select(F.col("node").alias("__p")), "__p")
         best = step.groupBy("__c").agg(F.min(F.struct("__n", "__p")).alias("m")).select(F.col("__c").alias("node"), F.lit(depth).alias("depth"), F.col("m.__p").alias("parent"))
         front = stored(best.join(seen.select("node"), "node", "left_anti"))
         if front.isEmpty():
             break
-        levels.append(front)
         seen = seen.unionByName(front)
+    else:
+        raise ValueError(f"the graph is deeper than {max_depth} levels")
     return seen
 
 
@@ -39,7 +40,7 @@ def hierarchy(spark: SparkSession, view: str, parent: str, child: str, root: str
 
 def acyclic_paths(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", node: str = "node", max_depth: int = 50) -> DataFrame:
     """(root, parent, child, depth, dashed): edges on the way down from each root. An edge back to an
-    ancestor is dashed and not followed; an edge that is met again is listed once."""
+    ancestor is dashed and not followed; an edge that is met again is listed once. Paths of over ``max_depth`` edges are an error."""
     front = stored(roots.select(F.col(node).alias("root"), F.col(node).alias("at"), F.array(node).alias("path")))
     found = None
     for depth in range(1, max_depth + 1):
@@ -54,6 +55,9 @@ def acyclic_paths(edges: DataFrame, roots: DataFrame, parent: str = "parent", ch
         front = rows.where("not dashed").select("root", F.col("child").alias("at"), F.concat("path", F.array("child")).alias("path"))
         if front.isEmpty():
             break
+    else:
+        if not front.join(edges.select(F.col(parent).alias("at")), "at", "left_semi").isEmpty():
+            raise ValueError(f"paths are longer than {max_depth} edges")
     return found if found is not None else roots.limit(0).select(F.col(node).alias("root"), F.col(node).alias("parent"), F.col(node).alias("child"), F.lit(0).alias("depth"), F.lit(False).alias("dashed"))
 
 
