@@ -56,7 +56,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--image-prefix", default="")
     a.add_argument("--audio-prefix", default="")
     a.add_argument("--provider", default="acv4", help="whose results of recognition the images have")
-    a.add_argument("--images", help="folder of the images' recognition results or signatures")
+    a.add_argument("--images", help="folder of the images or of their recognition results, or a table of their signatures")
     a.add_argument("--similarity-threshold", type=float, default=0.9)
     a.add_argument("input")
     a.add_argument("output")
@@ -182,7 +182,7 @@ def run(argv: list[str]) -> object:
     from lectern.operators.search import Index
     from lectern.functions import bits
     from lectern.plans import media
-    from lectern.sources import blocks, captions, recognition, tabular
+    from lectern.sources import blocks, captions, images, recognition, tabular
 
     spark = local_session()
     if o.group == "subtitles" and o.action == "ttml-to-webvtt":
@@ -228,8 +228,9 @@ def run(argv: list[str]) -> object:
     elif o.name == "import-image-text":
         rows = media.import_image_text(content, recognition.recognised_chunks(recognition.read_recognised(spark, o.images, o.provider)), o.role)
     elif o.name == "group-similar-images":
-        # No decoder here: signatures come as a table (name, 16 hexadecimal digits).
-        found = spark.read.csv(o.images, header=True, schema="name string, signature string").select("name", bits.from_hex("signature").alias("signature"))
+        # Either a table (name, 16 hexadecimal digits), or the images themselves.
+        table = o.images.endswith((".csv", ".tsv"))
+        found = spark.read.csv(o.images, header=True, schema="name string, signature string").select("name", bits.from_hex("signature").alias("signature")) if table else images.read_signatures(spark, o.images)
         rows = media.group_images(content, found, o.similarity_threshold)
     else:
         options = {"role": o.role} if o.name == "remove-non-japanese-text" else {"threshold": o.threshold} if o.name == "remove-low-confidence-text" else {}

@@ -142,3 +142,19 @@ def nearest_ancestor(paths: DataFrame, marked: DataFrame, path: str = "path", di
     met = paths.withColumn("__up", F.explode(ups)).join(marked.select(F.col(directory).alias("__up")).distinct(), "__up")
     best = met.groupBy(path).agg(F.max_by("__up", F.length("__up")).alias(directory))
     return paths.join(best, path, "left")
+
+
+def resolved_ancestor(paths: DataFrame, entries: DataFrame, marked: DataFrame, path: str = "path", directory: str = "directory", strict: bool = False) -> DataFrame:
+    """Each path with ``directory``, the nearest marked one that it is in or is, and ``state``: found, none (an
+    existing directory without one), file or missing. ``entries`` has (path, is_dir) of all that exists. With ``strict``
+    a file and a missing path are errors, each of its own kind. Repeated rows stay; a null path is missing."""
+    known = entries.select(F.col("path").alias(path), F.col("is_dir").alias("__dir")).groupBy(path).agg(F.bool_or("__dir").alias("__dir"))
+    met = paths.join(known, path, "left")
+    up = nearest_ancestor(met.where("__dir").select(path).distinct(), marked, path, directory)
+    state = F.when(F.col("__dir").isNull(), "missing").when(~F.col("__dir"), "file").when(F.col(directory).isNull(), "none").otherwise("found")
+    out = met.join(up, path, "left").withColumn("state", state).drop("__dir")
+    if not strict:
+        return out
+    shown = F.coalesce(F.col(path), F.lit("null"))
+    wrong = F.when(F.col("state") == "file", F.raise_error(F.concat(F.lit("a file where a directory is expected: "), shown))).when(F.col("state") == "missing", F.raise_error(F.concat(F.lit("no such path: "), shown)))
+    return out.withColumn("state", F.coalesce(wrong.cast("string"), "state"))

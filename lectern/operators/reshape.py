@@ -93,11 +93,45 @@ def line_kinds(blocks: DataFrame, file: str = "file", pos: str = "pos", text: st
 
 
 def json_array(rows: DataFrame) -> DataFrame:
-    """The whole table as one JSON array: for a small export; larger tables are written by line."""
+    """The whole table as one JSON array in one row: for a small export; others go by ``write_json_array``."""
     item = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
     return rows.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(item)), ","), F.lit("]")).alias("value"))
 
 
+def write_json_array(rows: DataFrame, path: str, order: list[str], partitions: int | None = None) -> list[str]:
+    """Writes the whole table as one JSON array, by ``order``, in fragments: the files below ``path``, in the order of their
+    names, are the array. Where the file system can join files (HDFS), they become one.
+
+    Each task sorts and writes a range. A comma goes before each item but the first, which is the first row of its partition
+    with the least key, as equal keys lie in one range. Nulls come first and are left out of their items; an empty table is
+    an empty array. Returns the files' names.
+    """
+    spark = rows.sparkSession
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    least = rows.agg(F.min(key).alias("k"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *[F.col(f"`{c}`") for c in order]).sortWithinPartitions(*[F.col(f"`{c}`") for c in order])
+    item = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    first = F.col("at").bitwiseAND((1 << 33) - 1) == 0
+    lines = ranged.select(item.alias("item"), key.alias("key"), F.monotonically_increasing_id().alias("at")).join(F.broadcast(least))  # one row
+    lines.select(F.concat(F.when(first & F.col("key").eqNullSafe(F.col("k")), "").otherwise(","), "item").alias("value")).write.text(path)
+    jvm = spark.sparkContext._jvm
+    place = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, text in (("part--head.txt", "[\n"), ("part-~tail.txt", "]\n")):
+        out = fs.create(place(path, name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place(path)) if s.getPath().getName().startswith("part-"))
+    if fs.getScheme() == "hdfs":
+        others = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(names) - 1)
+        for i, name in enumerate(names[1:]):
+            others[i] = place(path, name)
+        fs.concat(place(path, names[0]), others)
+        names = names[:1]
+    return names
+
+
 def update_cache(cache: DataFrame, computed: DataFrame, key: str = "path") -> DataFrame:
     """Cached rows by key, those computed anew in their place."""
     return cache.join(computed.select(key), key, "left_anti").unionByName(computed)

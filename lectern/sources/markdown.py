@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql.types import StringType
 from lectern.functions import text as T
 from lectern.functions.time import format_clock
 from lectern.operators import sequence
+from lectern.sources import inline
 
 
 @dataclass(frozen=True)
@@ -126,28 +125,14 @@ def markdown_files(blocks: DataFrame, style: Style = Style(), most: int = 10_000
     return one.select("file", F.concat(F.lit("# "), F.col("file"), F.lit("\n\n"), F.array_join(F.transform("b", lambda x: x["markdown"]), "\n\n"), F.lit("\n")).alias("content"))
 
 
-_INLINE = ((re.compile(r"\*\*(.+?)\*\*|__(.+?)__"), "strong"), (re.compile(r"\*(.+?)\*|(?<!\w)_(.+?)_(?!\w)"), "em"), (re.compile(r"`(.+?)`"), "code"))
-
-
 def to_html(text: str) -> str:
-    """Paragraphs, emphasis, code, links and hard breaks of Markdown as HTML."""
-    out = []
-    for part in re.split(r"\n\s*\n", text.strip("\n")):
-        body = html.escape(part, quote=False)
-        for pattern, tag in _INLINE:
-            body = pattern.sub(lambda m, tag=tag: f"<{tag}>{next(g for g in m.groups() if g)}</{tag}>", body)
-        body = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', body)
-        out.append("<p>" + re.sub(r" {2,}\n|\\\n", "<br />\n", body) + "</p>")
-    return "\n".join(out) + ("\n" if out else "")
+    """Markdown as HTML; an empty text stays empty."""
+    return inline.html_blocks(inline.tree(inline.lines_of(text)))
 
 
 def to_plain(text: str) -> str:
-    """The text of Markdown without its marks; a line end closes it."""
-    body = text.strip("\n")
-    for pattern, _ in _INLINE:
-        body = pattern.sub(lambda m: next(g for g in m.groups() if g), body)
-    body = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", body)
-    return re.sub(r" {2,}\n", "\n", re.sub(r"(?m)^(?:#{1,6}|>|[-*+])\s+", "", body)) + "\n"
+    """The text of Markdown without its marks, each block on its own lines; a line end closes it."""
+    return inline.plain_blocks(inline.tree(inline.lines_of(text))) or "\n"
 
 
 @F.pandas_udf(StringType())
