@@ -24,6 +24,7 @@ _TOKEN = re.compile(
     r"(?P<escape>\\[!-/:-@\[-`{-~])|(?P<hard>(?<! ) {2,}\n|\\\n) *|(?P<soft> ?\n) *|(?P<code>`+)|<(?P<auto>[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>"
     r"|(?P<tag></?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>)|(?P<entity>&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)|(?P<open>!?\[)|(?P<close>\])|(?P<run>\*+|_+)"
 )
+_PLAIN = re.compile(r"[^\\`*_\[\]<&\n]*$")
 _TAIL = re.compile(r"\(\s*(?:<([^<>\n]*)>|([^\s()<]?[^\s()]*(?:\([^\s()]*\)[^\s()]*)*))(?:\s+(\"[^\"]*\"|'[^']*'))?\s*\)")
 
 
@@ -152,6 +153,8 @@ def _emphasised(nodes: list, runs: list, bottom: int) -> None:
 def nodes_of(text: str) -> list:
     """Inline nodes: [kind, ..] with kind text, raw (a tag), code, hard, soft, run ([run, closed tags, opened tags, left]),
     link, unlink or image."""
+    if _PLAIN.match(text):
+        return [["text", text]]
     nodes: list = []
     runs: list = []
     brackets: list[tuple[int, int, bool]] = []
