@@ -30,11 +30,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of its own for the call: what another call indexed is of other documents."""
+    """An index of its own for the call, as what another call indexed is of other documents; filled in two batches."""
     docs = table(spark, sf_dir, "documents")
     index = exact_dedup.DigestIndex(spark, expected=docs.count())
     try:
-        return index.ingest(docs)
+        return index.ingest_in_order(docs)
     finally:
         index.drop(files=True)
 

@@ -288,6 +288,40 @@ def test_digest_index_outlasts_its_session(spark, tmp_path):
     assert not spark.catalog.tableExists("other_name") and exact_dedup.DigestIndex(spark, "third_name", path).seen().count() == 0
 
 
+def test_digest_index_is_compacted_and_found_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COMPACT_AFTER", 3)
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, "compacted", path)
+    first = {}
+    for k in range(6):
+        for i in range(4):
+            first.setdefault(i + k, 10 * k + i)
+        got = {r.doc_id: r.keep_id for r in index.ingest(table(spark, [(10 * k + i, f"text {i + k}") for i in range(4)])).collect()}
+        assert got == {10 * k + i: first[i + k] for i in range(4)}
+    assert index.folder != "digests" and not (tmp_path / "index" / "digests").exists() and index.ingests() == 2
+    assert index.seen().count() == 9
+    kept = {(bytes(r.digest), r.keep_id) for r in index.seen().collect()}
+    index.compact()
+    files = [p.name.split("_")[-1] for p in (tmp_path / "index" / index.folder).glob("part-*")]
+    assert len(files) == len(set(files)) and {(bytes(r.digest), r.keep_id) for r in index.seen().collect()} == kept
+    index.drop()
+    again = exact_dedup.DigestIndex(spark, "compacted", path)
+    assert again.folder == index.folder and {(bytes(r.digest), r.keep_id) for r in again.seen().collect()} == kept
+    with pytest.raises(ValueError, match="not the index at"):
+        exact_dedup.DigestIndex(spark, "compacted", f"file://{tmp_path}/elsewhere")
+    assert exact_dedup.DigestIndex(spark, "compacted", path).seen().count() == 9
+    again.drop(files=True)
+
+
+def test_two_batches_are_one_result(spark):
+    rows = [(i * 37 % 101, ["x  y", "x y", f"t {i % 9}", "", None][i % 5]) for i in range(90)] + [(None, "x y"), (None, "only"), (3, "again"), (3, "again"), (100, "again")]
+    whole = lambda df: sorted(map(repr, df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert whole(exact_dedup.DigestIndex(spark).ingest_in_order(docs)) == whole(exact_dedup.DigestIndex(spark).ingest(docs))
+    assert exact_dedup.DigestIndex(spark).ingest_in_order(docs.where("false")).count() == 0
+    assert exact_dedup.DigestIndex(spark).ingest_in_order(docs.where("doc_id is null")).count() == 2
+
+
 def test_hot_group(spark):
     rows = [(i, "same" if i % 3 else f"text {i}") for i in range(9000)]
     got = exact_dedup.DigestIndex(spark).ingest(table(spark, rows))
