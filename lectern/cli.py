@@ -146,10 +146,10 @@ def _markdown(o: argparse.Namespace, content) -> object:
         files = markdown.markdown_files(rows, style, o.block_limit)
     if o.combine:
         folder, name = os.path.split(o.output)
-        return blocks.write_files(markdown.combined_file(files, name), folder)
+        return blocks.write_files(markdown.combined_file(files, name), folder, listed=True)
     from pyspark.sql import functions as F
 
-    return blocks.write_files(files.select(F.concat("file", F.lit(".md")).alias("file"), "content"), o.output)
+    return blocks.write_files(files.select(F.concat("file", F.lit(".md")).alias("file"), "content"), o.output, listed=True)
 
 
 def run(argv: list[str]) -> object:
@@ -187,10 +187,10 @@ def run(argv: list[str]) -> object:
     spark = local_session()
     if o.group == "subtitles" and o.action == "ttml-to-webvtt":
         raw = spark.read.option("pathGlobFilter", "*.{ttml,dfxp,xml}").text(o.input, wholetext=True)
-        return blocks.write_files(captions.webvtt_files(raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))), o.output)
+        return blocks.write_files(captions.webvtt_files(raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))), o.output, listed=True)
     if o.group == "subtitles" and o.action == "generate":
         cues = media.subtitle_cues(blocks.read_content(spark, o.input), o.include_ref, o.extend_audio, o.purpose == "media-extraction")
-        return blocks.write_files(captions.caption_files(cues), o.output)
+        return blocks.write_files(captions.caption_files(cues), o.output, listed=True)
     if o.group == "subtitles":
         cues = captions.read_captions(spark, o.input)
         chunk = F.array(F.struct(F.col("markdown").alias("text")))

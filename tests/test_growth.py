@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.operators import analysis
+from lectern.sources import blocks
 
 
 def test_words_of_runs_stream_past_the_dictionary(spark, monkeypatch):
@@ -18,3 +19,17 @@ def test_words_of_runs_stream_past_the_dictionary(spark, monkeypatch):
     one = shown()
     monkeypatch.setattr(analysis, "FEW_ENTRIES", 2)  # three parts
     assert shown() == one and len({r[3] for r in one}) > 3
+
+
+def test_tasks_name_their_files(spark, tmp_path, monkeypatch):
+    rows = lambda word: spark.range(50).selectExpr("concat('a b#', id, '.txt') AS file", f"concat('{word}', id, '\\n') AS content")
+    at, elsewhere = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(elsewhere).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    text = lambda df: df.withColumn("content", blocks.F.regexp_replace("content", "\n$", ""))
+    assert len(blocks._renamed(text(rows("x")), fs, elsewhere)) == 50  # leaves sums, which later files must not fail on
+    monkeypatch.setattr(blocks, "_renamed", None)  # the driver touches no file
+    assert blocks.write_files(rows("old"), at) == []
+    for path in (at, elsewhere):
+        assert len(blocks.write_files(rows("new"), path, listed=True)) == 50
+        got = spark.read.text(path, wholetext=True).collect()
+        assert {r.value for r in got} == {f"new{i}\n" for i in range(50)}
