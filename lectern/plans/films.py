@@ -133,15 +133,23 @@ def enrich_levels(films: DataFrame, levels: DataFrame, languages: list[str] = ()
 def suggest_identifiers(films: DataFrame, basics: DataFrame, akas: DataFrame, ratings: DataFrame, order: list[str] = filters.TITLE_TYPES) -> DataFrame:
     """For films with a catalogue id and no entity: works of a fitting type and a Japanese signal that share
     a normalised title, best first."""
+    shared, lists = suggested_lists(films, basics, akas, ratings, order)
+    return shared.join(lists, "titles").select("film", "best", "ranked")
+
+
+def suggested_lists(films: DataFrame, basics: DataFrame, akas: DataFrame, ratings: DataFrame, order: list[str] = filters.TITLE_TYPES) -> tuple[DataFrame, DataFrame]:
+    """``suggest_identifiers`` in two tables: (film, titles), and (titles, best, ranked) for each set of normalised titles. Films of
+    the same titles have the same list, which is made once."""
     f = films.where("netflix.id is not null and wikidata is null").select(F.col("netflix.id").alias("film"), F.col("netflix.title").alias("t"))
     titles = basics.where(F.col("titleType").isin(order)).select(F.col("tconst").alias("work"), F.explode(F.array("primaryTitle", "originalTitle")).alias("t")).unionByName(akas.select(F.col("titleId").alias("work"), F.col("title").alias("t")))
     signal = akas.where((F.col("language") == "ja") | (F.col("region") == "JP")).select(F.col("titleId").alias("work")).unionByName(basics.where(T.has_japanese("originalTitle")).select(F.col("tconst").alias("work"))).distinct()
     # The few film titles filter the many works' titles first, then everything else.
-    wanted = f.select(T.title_key("t").alias("k"), "film").where("k <> ''").distinct()
-    hit = titles.select("work", T.title_key("t").alias("k")).where("k <> ''").join(wanted, "k").select("film", "work").distinct()
+    shared = f.select(T.title_key("t").alias("k"), "film").where("k <> ''").groupBy("film").agg(F.array_sort(F.collect_set("k")).alias("titles"))
+    wanted = shared.select("titles").distinct().select("titles", F.explode("titles").alias("k"))
+    hit = titles.select("work", T.title_key("t").alias("k")).where("k <> ''").join(wanted, "k").select("titles", "work").distinct()
     met = hit.join(signal, "work", "left_semi").join(basics.where(F.col("titleType").isin(order)).withColumnRenamed("tconst", "work"), "work").join(ratings.select(F.col("tconst").alias("work"), F.col("numVotes").try_cast("int").alias("votes")), "work", "left")
     rank = [resolve.type_rank("titleType", order), F.coalesce("votes", F.lit(0)).desc(), F.col("work")]
-    return resolve.ranked(met, "film", rank, F.struct("work", "primaryTitle", "titleType", "startYear"))
+    return shared, resolve.ranked(met, "titles", rank, F.struct("work", "primaryTitle", "titleType", "startYear"))
 
 
 def export_json(films: DataFrame) -> DataFrame:
