@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,12 +52,12 @@ def markdown_forms(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
     marks = ("**{0} _x_ y**", "- *{0}*", "> ***x** {0}*", "[`{0}`](u \"t\")", "{0}\\*x", "# {0} #", "1. {0}\n   - __x__")
-    kinds = [F.concat(*[part for i, text in enumerate(m.split("{0}")) for part in ([F.lit(text)] if i == 0 else [F.col("__w"), F.lit(text)])]) for m in marks]
+    kind = lambda m, w: F.concat(*[part for i, text in enumerate(m.split("{0}")) for part in ([F.lit(text)] if i == 0 else [w, F.lit(text)])])
+    marked = lambda w, k: reduce(lambda rest, j: F.when(k == j, kind(marks[j], w)).otherwise(rest), range(len(marks)), F.lit(None).cast("string"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: few bytes are much work here
-    each = docs.select("doc_id", F.posexplode(words).alias("i", "__w")).repartition(n, "doc_id").select("doc_id", "i", F.element_at(F.array(*kinds), F.pmod("i", F.lit(len(marks))) + 1).alias("m"))
-    whole = each.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]), "\n\n").alias("text"))
-    made = whole.select("doc_id", markdown.markdown_to_plain("text").alias("plain"), markdown.markdown_to_html("text").alias("html"))  # before the join, which may run in few tasks
-    shown = docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("plain", F.lit("\n")).alias("plain"), F.coalesce("html", F.lit("")).alias("html"))
+    each = docs.repartition(n, "doc_id").select("doc_id", words.alias("w"))
+    whole = each.select("doc_id", F.array_join(F.transform("w", lambda w, i: marked(w, F.pmod(i, F.lit(len(marks))))), "\n\n").alias("text"))
+    shown = whole.select("doc_id", markdown.markdown_to_both("text").alias("b")).select("doc_id", "b.plain", "b.html")
     tags = F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "), r"\s+", " ")
     return shown.select("doc_id", F.md5("plain").alias("plain"), F.regexp_count("html", F.lit("<strong>")).cast("long").alias("n_strong"), F.regexp_count("html", F.lit("<em>")).cast("long").alias("n_em"), F.md5(F.trim(tags)).alias("shown"))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from lectern.functions import text as T
 from lectern.functions.time import format_clock
@@ -145,6 +145,19 @@ def markdown_to_plain(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else to_plain(t))
 
 
+@F.pandas_udf(StructType().add("plain", StringType()).add("html", StringType()))
+def markdown_to_both(texts: pd.Series) -> pd.DataFrame:
+    """Plain text and HTML of Markdown that is parsed once."""
+
+    def both(t: str | None) -> tuple:
+        if t is None:
+            return None, None
+        blocks = inline.tree(inline.lines_of(t))
+        return inline.plain_blocks(blocks) or "\n", inline.html_blocks(blocks)
+
+    return pd.DataFrame(texts.map(both).tolist(), columns=["plain", "html"], dtype=object)
+
+
 def paragraphs(texts: DataFrame, file: str, content: str) -> DataFrame:
     """(file, pos, text): the paragraphs of Markdown files, as blocks."""
     parts = F.filter(F.split(content, r"\r?\n\s*\r?\n"), lambda p: F.trim(p) != "")
