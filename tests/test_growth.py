@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.operators import analysis
-from lectern.sources import blocks
+from pyspark.sql import functions as F
+
+from lectern.operators import analysis, resolve, search
+from lectern.plans import films
+from lectern.sources import blocks, markdown, splits
 
 
 def test_words_of_runs_stream_past_the_dictionary(spark, monkeypatch):
@@ -33,3 +36,52 @@ def test_tasks_name_their_files(spark, tmp_path, monkeypatch):
         assert len(blocks.write_files(rows("new"), path, listed=True)) == 50
         got = spark.read.text(path, wholetext=True).collect()
         assert {r.value for r in got} == {f"new{i}\n" for i in range(50)}
+
+
+def test_preferred_ids_need_no_lists(spark):
+    rows = [(k, i, kind, o) for k in range(5) for i, kind, o in [(7, "tv", 3), (3, "tv", 9 if k % 2 else None), (5, "movie", 1), (9, None, 0)] if (i + k) % 4]
+    df = spark.createDataFrame(rows, "k int, id long, kind string, ordinal int")
+    kinds = ["tv", "movie"]
+    old = df.groupBy("k").agg(resolve.preferred_id(F.collect_list(F.struct("id", "kind", "ordinal")), kinds).alias("id"))
+    new = resolve.preferred(df, "k", "id", "kind", "ordinal", kinds)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+    assert "collect_list" not in new._jdf.queryExecution().executedPlan().toString()
+
+
+def test_films_of_a_title_share_a_list(spark):
+    film = [(i, "Same Name") for i in range(40)] + [(40, "Other"), (3, "Other")]
+    frame = spark.createDataFrame(film, "id int, title string").selectExpr("struct(id, title) AS netflix", "cast(null as string) AS wikidata")
+    basics = spark.createDataFrame([(f"tt{i}", "movie", "same name!" if i % 3 else "other", "山の道") for i in range(30)], "tconst string, titleType string, primaryTitle string, originalTitle string")
+    basics = basics.withColumn("startYear", F.lit(1999))
+    akas = spark.createDataFrame([], "titleId string, title string, language string, region string")
+    ratings = spark.createDataFrame([("tt4", "5", "9")], "tconst string, averageRating string, numVotes string")
+    shared, lists = films.suggested_lists(frame, basics, akas, ratings)
+    assert shared.count() == 41 and lists.count() == 3
+    got = {r.film: [x.work for x in r.ranked] for r in films.suggest_identifiers(frame, basics, akas, ratings).collect()}
+    assert len(got) == 41 and got[0][0] == "tt4" and len(got[0]) == 20 and len(got[3]) == 30 and len(got[40]) == 10
+
+
+def test_markdown_both_ways(spark):
+    texts = ["**a _x_ y**\n\n- *b*\n\n> ***x** c*\n\n# d #", "", None, "`x" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", markdown.markdown_to_both("t").alias("b")).select("t", "b.*")
+    for t, plain, html in df.collect():
+        assert (plain, html) == ((None, None) if t is None else (markdown.to_plain(t), markdown.to_html(t)))
+
+
+def test_records_are_given_on_by_characters(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MOST_CHARS", 10)
+    rows = spark.createDataFrame([("f", 0, False, f"{i:08d}") for i in range(7)], "file string, begin long, more boolean, value string").coalesce(1)
+    got = splits.placed(rows, lambda file, value: iter([value, value + "!"]), skip=1).collect()
+    assert [r.pos for r in got] == list(range(13)) and got[0].json == "00000000!"
+
+
+def test_scores_of_any_word_add_up_where_documents_lie(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 9))) for i in range(60)], "doc long, text string")
+    asked = spark.createDataFrame([(1, "w1 w5 w3 nothing"), (2, "w2 w6 zz"), (3, "w0 w0")], "q int, text string")
+    index = search.build(docs, "doc", "text").written()
+    shown = lambda: sorted(map(tuple, search.search(index, asked, "q", "text", 5).select("query", "doc", "score", "phrase", "rank").collect()))
+    few = shown()
+    plan = search._loose(index, search.query_terms(asked, "q", "text").select("query", "term").distinct(), asked.select(F.col("q").alias("query"), F.lit(2).alias("q_terms")), search._frequencies(index), 60)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query" not in plan and "hashpartitioning(doc#" in plan.replace("(doc ", "(doc#")
+    monkeypatch.setattr(search, "FEW_TERMS", 0)
+    assert shown() == few and len(few) == 15
