@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from lectern.operators import analysis, resolve, search
 from lectern.plans import films
 from lectern.sources import blocks, markdown, splits
+from lectern.streaming import incremental
 
 
 def test_words_of_runs_stream_past_the_dictionary(spark, monkeypatch):
@@ -85,3 +88,37 @@ def test_scores_of_any_word_add_up_where_documents_lie(spark, monkeypatch):
     assert "hashpartitioning(query" not in plan and "hashpartitioning(doc#" in plan.replace("(doc ", "(doc#")
     monkeypatch.setattr(search, "FEW_TERMS", 0)
     assert shown() == few and len(few) == 15
+
+
+def test_small_files_of_a_stream_share_tasks(spark, tmp_path):
+    texts = {f"f{i}.yaml": f"a: é{i}\r\n" * (1 + i % 5) for i in range(150)}
+    folder, packed = tmp_path / "in", tmp_path / "packed"
+    folder.mkdir(), packed.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_bytes(text.encode())
+        (packed / f"{name}.gz").write_bytes(gzip.compress(text.encode()))
+    tracker, setting = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def run(path, glob, name):
+        query = incremental.process_new_files(spark, f"file://{path}", glob, lambda d: d, str(tmp_path / f"out-{name}"), str(tmp_path / f"cp-{name}"))
+        query.awaitTermination()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+        return max((s.numTasks for s in stages if s), default=0), sorted(map(tuple, spark.read.parquet(str(tmp_path / f"out-{name}")).collect()))
+
+    most, got = run(folder, "*.yaml", "plain")
+    assert 0 < most <= 16 and got == sorted(texts.items())  # a file was a task when they were listed
+    (folder / "late.yaml").write_text("b")
+    most, got = run(folder, "*.yaml", "plain")
+    assert 0 < most <= 16 and got == sorted([*texts.items(), ("late.yaml", "b")])
+    assert run(packed, "*.gz", "packed")[1] == sorted((f"{name}.gz", text) for name, text in texts.items())
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == setting
+
+
+def test_documents_of_small_files_share_a_batch(spark, monkeypatch):
+    files = spark.createDataFrame([("a", "x: 1\n---\nx: 2\n"), ("b", ""), ("c", "x: 3\n")], "file string, content string").coalesce(1)
+    batches = lambda df: [r.n for r in df.mapInArrow(lambda it: (blocks.pa.record_batch([blocks.pa.array([b.num_rows])], names=["n"]) for b in it if b.num_rows), "n long").collect()]
+    made = blocks.parsed_yaml(files, "x int")
+    assert [tuple(r) for r in made.select("file", "pos", "doc.x").collect()] == [("a", 0, 1), ("a", 1, 2), ("c", 0, 3)]
+    assert batches(made.select("file")) == [3]
+    monkeypatch.setattr(blocks.splits, "MOST_CHARS", 5)
+    assert [tuple(r) for r in blocks.parsed_yaml(files, "x int").select("file", "pos", "doc.x").collect()] == [("a", 0, 1), ("a", 1, 2), ("c", 0, 3)]
