@@ -15,6 +15,8 @@ KANJI = r"一-鿿㐀-䶿"
 #: Characters that stand in other scripts' texts too, as shapes.
 KANA_LOOKALIKES = "ロ"
 KANJI_LOOKALIKES = "口入人日"
+#: What lies below all these ranges. One comparison a character tells it, a class of many ranges takes one for each; and a run is one match.
+_BELOW = r"[\x00-\x{2FFF}]++"
 
 
 def _c(x: Column | str) -> Column:
@@ -148,7 +150,13 @@ def is_word_char(x: Column | str) -> Column:
 
 
 def has_japanese(x: Column | str) -> Column:
-    return F.coalesce(_c(x).rlike(r"[\p{InHiragana}\p{InKatakana}\p{InCJK_Unified_Ideographs}]"), F.lit(False))
+    """Any character of the blocks Hiragana, Katakana and CJK Unified Ideographs."""
+    return F.coalesce(_c(x).rlike(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"), F.lit(False))
+
+
+def upper_count(x: Column | str) -> Column:
+    """Upper-case letters of all scripts; null if the text is missing."""
+    return F.length(F.regexp_replace(_c(x), r"[^\p{Lu}]++", ""))
 
 
 def has_ideograph(x: Column | str) -> Column:
@@ -229,12 +237,12 @@ def natural_key(x: Column | str, digits: int = 10) -> Column:
 
 
 def kana_count(x: Column | str, without: str = "") -> Column:
-    kept = F.regexp_replace(F.coalesce(_c(x), F.lit("")), f"[^{KANA}]", "")
+    kept = F.regexp_replace(F.coalesce(_c(x), F.lit("")), f"{_BELOW}|[^{KANA}]++", "")
     return F.length(F.regexp_replace(kept, f"[{without}]", "") if without else kept)
 
 
 def kanji_count(x: Column | str, without: str = "") -> Column:
-    kept = F.regexp_replace(F.coalesce(_c(x), F.lit("")), f"[^{KANJI}]", "")
+    kept = F.regexp_replace(F.coalesce(_c(x), F.lit("")), f"{_BELOW}|[^{KANJI}]++", "")
     return F.length(F.regexp_replace(kept, f"[{without}]", "") if without else kept)
 
 

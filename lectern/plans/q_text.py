@@ -67,8 +67,7 @@ def subtitle_clean(spark, d):
 
 def script_filter(spark, d):
     x = read(spark, d, "documents")
-    upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]", ""))
-    return x.select("doc_id", upper.cast("long").alias("n_upper"), T.kana_count("text").cast("long").alias("n_kana"), T.has_japanese("text").alias("japanese"), T.is_japanese_text("text").alias("kept"))
+    return x.select("doc_id", T.upper_count("text").cast("long").alias("n_upper"), T.kana_count("text").cast("long").alias("n_kana"), T.has_japanese("text").alias("japanese"), T.is_japanese_text("text").alias("kept"))
 
 
 def ruby_markup(spark, d):

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import re
+import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import analysis, resolve, search
 from lectern.plans import films
 from lectern.sources import blocks, markdown, splits
@@ -122,3 +126,27 @@ def test_documents_of_small_files_share_a_batch(spark, monkeypatch):
     assert batches(made.select("file")) == [3]
     monkeypatch.setattr(blocks.splits, "MOST_CHARS", 5)
     assert [tuple(r) for r in blocks.parsed_yaml(files, "x int").select("file", "pos", "doc.x").collect()] == [("a", 0, 1), ("a", 1, 2), ("c", 0, 3)]
+
+
+def test_scripts_are_counted_by_runs(spark):
+    odd = ["", None, "Aé ÉΩ\n\x00ǅ", "かナｦㇰーヿ・゠゛", "口人日入桃㐀鿿ロ", "　、。〇々ー", "𠀀𝐀😀か" * 3, "a、" * 200_000 + "か桃Z", "\u3040\u30ff\u4dff\ufdd0\uffff"]
+    df = spark.createDataFrame(list(enumerate(odd)), "k int, t string")
+    got = df.select(T.upper_count("t"), T.kana_count("t"), T.kana_count("t", T.KANA_LOOKALIKES), T.kanji_count("t"), T.kanji_count("t", T.KANJI_LOOKALIKES), T.has_japanese("t")).collect()
+    for text, row in zip(odd, got, strict=True):
+        t = text or ""
+        kana, kanji = re.findall(f"[{T.KANA}]", t), re.findall(f"[{T.KANJI}]", t)
+        upper = None if text is None else sum(unicodedata.category(c) == "Lu" for c in t)
+        few = (sum(c not in T.KANA_LOOKALIKES for c in kana), sum(c not in T.KANJI_LOOKALIKES for c in kanji))
+        assert tuple(row) == (upper, len(kana), few[0], len(kanji), few[1], bool(re.search("[\u3040-\u30ff\u4e00-\u9fff]", t)))
+    long = spark.range(8).select(F.repeat(F.concat(F.lit("Plain words, été. "), F.col("id").cast("string")), 50_000).alias("t"))
+
+    def seconds(count):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            long.select(F.sum(count)).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    for chars, count in ((T.KANA, T.kana_count("t")), (T.KANJI, T.kanji_count("t"))):
+        assert seconds(count) < 0.7 * seconds(F.length(F.regexp_replace("t", f"[^{chars}]", "")))
