@@ -6,6 +6,9 @@ import hashlib
 import json
 import re
 
+from pyspark.sql import functions as F
+
+from lectern.operators import resolve
 from lectern.plans import catalogue
 from lectern.sources import blocks
 
@@ -27,6 +30,18 @@ def test_fuzzy_title_ranked(spark, tmp_path):
     assert len(got) == len(want) and {r.p_partkey: (r.best, r.ranked) for r in got} == want
 
 
+def test_lists_of_one_title_are_many_tasks(spark, tmp_path, monkeypatch):
+    """A title's lists are its number squared: they are dealt out by their bytes, and each is its title's text but for one place."""
+    monkeypatch.setattr(resolve, "LIST_BYTES", 50, raising=False)
+    keys = [1, 9, 10, 11, 99, 100, 101, 110, 111, 1010, 1111]
+    spark.createDataFrame([(k, "red fox", "B", "ODD", float(k % 7)) for k in keys], "p_partkey bigint, p_name string, p_brand string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.QUERIES["fuzzy_title_ranked"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    want = sorted(keys, key=lambda k: (-(k % 7), k))
+    rest = {k: [w for w in want if w != k] for k in keys}
+    assert len(got) == len(keys) and {r.p_partkey: (r.best, r.ranked) for r in got} == {k: (v[0], ",".join(map(str, v))) for k, v in rest.items()}
+    assert len({r.task for r in got}) > 1
+
+
 def events(spark, folder) -> dict[int, list[tuple[int, str]]]:
     """Writes a table of events; returns each user's (id, type)."""
     kinds = ["click", "view", "purchase", "error"]
