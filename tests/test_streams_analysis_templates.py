@@ -8,6 +8,7 @@ import subprocess
 import sys
 import textwrap
 
+import numpy as np
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -140,6 +141,38 @@ def test_best_path():
         assert got in ways and len(got) == min(map(len, ways))
 
 
+def test_best_paths_of_many_runs():
+    """Runs that go forward together are cut as each is by itself, ties and classes without costs too; costs that are too large for one number as well."""
+    rng = random.Random(5)
+    for scale in (1, 1, 1, 1, 1 << 40):
+        runs, joins = [], {(a, b): rng.randrange(4) for a in range(-2, 3) for b in range(-2, 2) if rng.random() < 0.8}
+        for _ in range(60):
+            n = rng.randrange(1, 12)
+            words = {(s, e, a, b): {"start": s, "end": e, "left": a, "right": b, "cost": rng.randrange(-1, 4) * scale} for s in range(n) for e in range(s + 1, min(n, s + 4) + 1) for a, b in [(rng.randrange(-2, 4), rng.randrange(-2, 4)) for _ in range(2)]}
+            runs.append(sorted(words.values(), key=lambda w: (w["start"], w["left"])))
+        rows = [(k, w) for k, words in enumerate(runs) for w in words]
+        table = {c: np.array([w[c] for _, w in rows]) for c in ("start", "end", "left", "right", "cost")}
+        on = analysis.best_paths(np.array([k for k, _ in rows]), table, analysis._Costs(joins, 2))
+        got = [[w for (k, w), x in zip(rows, on, strict=True) if x and k == n] for n in range(len(runs))]
+        assert got == [analysis.best_path(words, joins, 2) for words in runs]
+
+
+def test_lattice_in_parts_and_batches(spark, monkeypatch):
+    """A dictionary in parts and few words at once give the same words; an entry's length is found by its first characters."""
+    known = [("abcd", 300), ("abcdefgh", 10), ("abcdef", 900), ("cd", 40), ("efgh", 300), ("gh", 20), ("x", 5)]
+    entries = spark.createDataFrame([(w, w, NOUN, w, k % 2, k % 2, c) for k, (w, c) in enumerate(known)], analysis.ENTRY)
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["abcdefgh", "abcdef", "xabcdgh", "xxcdefg", "q", "abcdabcdefghx"] * 2)], "id long, t string")
+    cut = lambda: sorted((r.doc, r.unit_no, r.token_no, r.term, r.pos) for r in analysis.analysed(texts, "id", "t", entries, JOINS, 50).collect())
+    want = cut()
+    assert [r[3] for r in want if r[0] == 0] == ["abcdefgh"] and [r[3] for r in want if r[0] == 5] == ["abcd", "abcdefgh", "x"]
+    monkeypatch.setattr(analysis, "WORDS_AT_ONCE", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    assert cut() == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(analysis, "FEW_ENTRIES", 2)
+    assert cut() == want
+
+
 def test_unknown_and_long_runs(spark):
     entries = spark.createDataFrame([], analysis.ENTRY)
     texts = spark.createDataFrame([(1, "カタカナ漢字かな12" + "x" * 1000)], "id long, t string")
