@@ -127,12 +127,12 @@ def markdown_files(blocks: DataFrame, style: Style = Style(), most: int = 10_000
 
 def to_html(text: str) -> str:
     """Markdown as HTML; an empty text stays empty."""
-    return inline.html_blocks(inline.tree(inline.lines_of(text)))
+    return inline.shown(text)[1]
 
 
 def to_plain(text: str) -> str:
     """The text of Markdown without its marks, each block on its own lines; a line end closes it."""
-    return inline.plain_blocks(inline.tree(inline.lines_of(text))) or "\n"
+    return inline.shown(text)[0] or "\n"
 
 
 @F.pandas_udf(StringType())
@@ -152,8 +152,8 @@ def markdown_to_both(texts: pd.Series) -> pd.DataFrame:
     def both(t: str | None) -> tuple:
         if t is None:
             return None, None
-        blocks = inline.tree(inline.lines_of(t))
-        return inline.plain_blocks(blocks) or "\n", inline.html_blocks(blocks)
+        plain, page = inline.shown(t)
+        return plain or "\n", page
 
     return pd.DataFrame(texts.map(both).tolist(), columns=["plain", "html"], dtype=object)
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.errors import PySparkException
 
 from lectern.operators import lookup, reshape, search
 from lectern.plans import media, q_media
-from lectern.sources import images, markdown
+from lectern.sources import images, inline, markdown
 
 
 @pytest.mark.parametrize("channels", [1, 2, 3, 4])
@@ -125,3 +127,15 @@ def test_bounded_search_loses_nothing_and_skips_blocks(spark):
     bounds = spark.createDataFrame([(1, b, float(b)) for b in range(10)], "query long, block long, bound double")
     left = search.reachable(bounds, spark.createDataFrame([(1, 6.5)], "query long, score double"), bounds.where("block = 9"))
     assert sorted(r.block for r in left.collect()) == [7, 8]
+
+
+def test_markdown_in_parts():
+    """A text that is parsed in parts is shown as in one; parts that were met before are not parsed again."""
+    rng, some = random.Random(8), ["a *b*", "- x", "* y", "+ z", "1. one", "2) two", "   - in", "    code", "  p", "> q", ">", "# h", "---", "===", "***", "\\*", "`c", "é", "", "", "", "\t t", "**s", "<b>", "[l](u)", "_e_", "\xa0n", "\x0b", "![a b](c \"d\")", "é% %s", "&amp;", "\U00020001", "a\u0301b 5x"]
+    for n in range(6000):
+        text = rng.choice(["\n", "\n\n", "\r\n"]).join(rng.choices([x for x in some if n % 2 or not re.search("```|~~~|[&<\U00020000-\U0010ffff]", x)] + (["```", "~~~ x"] if n % 5 == 0 else []), k=rng.randrange(1, 12)))
+        blocks = inline.tree(inline.lines_of(text))
+        assert (markdown.to_plain(text), markdown.to_html(text)) == (inline.plain_blocks(blocks) or "\n", inline.html_blocks(blocks)), text
+    before = inline._formed.cache_info().misses
+    got = markdown.to_html("\n\n".join(f"**w{chr(97 + k % 26)}{'é' * (k // 26)} _x_** 5%" for k in range(500)))
+    assert got.count("<strong>") == 500 and "<p><strong>wbé <em>x</em></strong> 5%</p>" in got and inline._formed.cache_info().misses - before <= 1
