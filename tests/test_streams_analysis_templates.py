@@ -181,6 +181,16 @@ def test_unknown_and_long_runs(spark):
     assert {r.pos for r in got} == {analysis.UNKNOWN} and max(r.unit_no for r in got) == 2
 
 
+def test_kinds_from_each_character(spark):
+    """A run of one kind needs no pattern at each character; the long mark is of two kinds."""
+    units = ["abcé" * 8, "ーアーー", "aーア", "漢々字かな", "12٣a", "ー", "かなx" * 9, "𠀀𠀁a", "ªº½"]
+    runs = spark.createDataFrame(list(enumerate(units)), "id long, unit string")
+    known = spark.createDataFrame([], "surface string, left int, right int, cost int")
+    got = {(r.id, r.start): r.n for r in analysis.lattice(runs, known).groupBy("id", "start").agg(F.max(F.col("end") - F.col("start")).alias("n")).collect()}
+    one = runs.select("id", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start")).select("id", "start", F.length(F.regexp_extract(F.substring(F.col("unit"), F.col("start") + 1, F.lit(24)), analysis.KINDS, 0)).alias("n"))
+    assert got == {(r.id, r.start): r.n for r in one.collect()}
+
+
 # Templates ------------------------------------------------------------------------------------------
 
 
